@@ -208,6 +208,26 @@ def _apply_shuffled(
     return df.join(ids, row_key, "left")
 
 
+def apply_to_files(
+    df: DataFrame,
+    features: Sequence[str],
+    vocabulary: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    oov_id: int = -1,
+) -> None:
+    """Apply a vocabulary and write each feature of each input file apart.
+
+    ``df`` is a plain file scan. Output folders are ``feature=F/source=FILE``;
+    ``keys`` are written along. Tasks write what they read, without a shuffle.
+    """
+    source = F.col("_metadata.file_name").alias("source")
+    named = df.select(*[quoted(c) for c in df.columns], source)
+    encoded = apply_vocabulary(named, features, vocabulary, "oov", oov_id)
+    long = cells(encoded, features, ["source", *keys]).withColumnRenamed("value", "idx")
+    long.write.partitionBy("feature", "source").parquet(path)
+
+
 class Categorify(Estimator):
     """Learns one vocabulary per column; usable in a ``pyspark.ml.Pipeline``."""
 

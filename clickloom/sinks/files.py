@@ -53,13 +53,14 @@ def compact(
     files_per_group: int = 16,
     rows: int = COMPACT_GROUP_ROWS,
     tasks_per_group: int = 1,
+    pattern: str = r"part[-_](\d+)",
 ) -> None:
     """Merge each run of ``files_per_group`` numbered files into larger files.
 
     Every group ends up in ``tasks_per_group`` files in folder ``group=N``.
     """
     df = spark.read.parquet(source)
-    grouped = df.select("*", F.floor(file_ordinal() / files_per_group).cast("int").alias("group"))
+    grouped = df.select("*", F.floor(file_ordinal(pattern) / files_per_group).cast("int").alias("group"))
     spread = F.pmod(F.xxhash64(*df.columns), F.lit(tasks_per_group))
     write_row_groups(grouped.repartition("group", spread), target, rows, ["group"])
 

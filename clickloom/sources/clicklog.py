@@ -53,12 +53,12 @@ def read_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*([path] if isinstance(path, str) else path))
 
 
-def file_ordinal(pattern: str = r"(\d+)") -> Column:
-    """The number in a row's file name, the last match of ``pattern``."""
-    found = F.regexp_extract_all("_metadata.file_name", F.lit(pattern), 1)
+def file_ordinal(pattern: str = r"part[-_](\d+)") -> Column:
+    """The number in a row's file path, where ``pattern`` matches last."""
+    found = F.regexp_extract_all("_metadata.file_path", F.lit(pattern), 1)
     return F.element_at(found, -1).cast("int")
 
 
 def with_split_from_file(df: DataFrame, pattern: str, name: str = "split") -> DataFrame:
-    """Split id of each row from the number in its file's name."""
+    """Split id of each row from the number in its file's path."""
     return df.select(*[quoted(c) for c in df.columns], file_ordinal(pattern).alias(name))
