@@ -30,15 +30,40 @@ def uniform(seed: int | str, *keys: Column) -> Column:
     return draw(seed, *keys).cast("double") / F.lit(float(DRAW_RANGE))
 
 
+# Multiplier and prime modulus of the "minimal standard"
+# multiplicative generator.
+LEHMER_MULTIPLIER = 16807
+LEHMER_MODULUS = 2**31 - 1
+
+
+def lehmer_steps(dim: int) -> list[tuple[int, int]]:
+    """Two factors per component: multiplier**(2i+1) and **(2i+2) mod modulus."""
+    powers = [pow(LEHMER_MULTIPLIER, k, LEHMER_MODULUS) for k in range(1, 2 * dim + 1)]
+    return list(zip(powers[::2], powers[1::2]))
+
+
 def gaussian_vector(seed: int | str, dim: int, *keys: Column) -> Column:
-    """``dim`` standard normal FLOATs: the polar form of two uniforms each."""
+    """``dim`` standard normal FLOATs from one draw per row.
+
+    The draw starts a multiplicative sequence; each component takes two of its
+    numbers through the polar form.
+    """
+    scale = F.lit(float(LEHMER_MODULUS))
+    steps = F.array(
+        *[
+            F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
+            for a, b in lehmer_steps(dim)
+        ]
+    )
 
-    def one(i: Column) -> Column:
-        d = digest(seed, *keys, i)
-        high = F.conv(F.substring(d, 1, 13), 16, 10).cast("double")
-        low = F.conv(F.substring(d, 14, 13), 16, 10).cast("double")
-        scale = F.lit(float(16**13))
-        radius = F.sqrt(F.lit(-2.0) * F.ln((high + 1.0) / scale))
-        return (radius * F.cos(F.lit(2.0) * F.pi() * low / scale)).cast("float")
+    def component(start: Column, step: Column) -> Column:
+        u = (start * step["a"] % LEHMER_MODULUS).cast("double") / scale
+        v = (start * step["b"] % LEHMER_MODULUS).cast("double") / scale
+        radius = F.sqrt(F.lit(-2.0) * F.ln(u))
+        return (radius * F.cos(F.lit(2.0) * F.pi() * v)).cast("float")
 
-    return F.transform(F.sequence(F.lit(1), F.lit(dim)), one)
+    start = draw(seed, *keys) % (LEHMER_MODULUS - 1) + 1
+    # The outer transform binds the draw once; inlined, it would be drawn again
+    # for every component.
+    one = F.transform(F.array(start), lambda s: F.transform(steps, lambda t: component(s, t)))
+    return F.get(one, F.lit(0))

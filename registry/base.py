@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.session import tune
+from clickloom.session import spread, tune
 from clickloom.spec import STANDARD, FeatureSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,8 @@ def clicklog(spark: SparkSession, sf_dir: str, spec: FeatureSpec = STANDARD) ->
     for j, c in enumerate(spec.sparse, start=1 + len(spec.dense)):
         value = F.substring(F.md5(F.concat(F.lit(f"{j}|"), keys[j % 4])), 1, 8)
         columns.append(F.when((e + j) % 13 == 0, "").otherwise(value).alias(c))
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return spread(events).select(
         e.alias("row_id"), (e % SPLITS).cast("int").alias("split"), *columns
     )
 
