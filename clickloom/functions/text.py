@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Characters deleted from marked-up text.
 MARKUP = "@<>"
 
-# The tokenizer's rules, applied in this order to the text with a
-# space on both ends. Each is (pattern, replacement) in syntax that Java, RE2
+# The tokenizer's rules, applied in this order to the text with a space on both
+# ends. Each is (pattern, replacement) in syntax that Java, RE2
 # and Python share, except that Java writes group references as $1.
 TOKEN_RULES = (
     # quotes, brackets and symbols stand alone
@@ -18,17 +18,20 @@ TOKEN_RULES = (
     (r"([,:]+)([^0-9,:])", r" \1 \2"),
     # dashes of two or more
     (r"(-{2,})", r" \1 "),
-    # a period ends a sentence at the end of the text ...
-    (r"\.(['’)\s]*)\z", r" . \1"),
-    # ... or before a word that does not begin with a small letter
-    (r"\.(['’)]*\s+[^\p{Ll}\s])", r" . \1"),
     # runs of periods
     (r"(\.{2,})", r" \1 "),
+    # a period ends a sentence at the end of the text ...
+    (r"([^.\s])\.(['’)\s]*)\z", r"\1 . \2"),
+    # ... or before a word that does not begin with a small letter; twice,
+    # because a one-letter sentence ends where the next match would begin
+    (r"([^.\s])\.(['’)]*\s+[^\p{Ll}\s])", r"\1 . \2"),
+    (r"([^.\s])\.(['’)]*\s+[^\p{Ll}\s])", r"\1 . \2"),
+    # a single quote before a word
+    (r"(\s)(['’])(\p{L})", r"\1\2 \3"),
     # negation and other English endings
     (r"(?i)(n['’]t)(\s)", r" \1\2"),
     (r"(?i)(['’](?:s|m|d|ll|re|ve))(\s)", r" \1\2"),
-    # single quotes at the edge of a word
-    (r"(\s)(['’])(\p{L})", r"\1\2 \3"),
+    # a single quote after a word
     (r"(\S)(['’])(\s)", r"\1 \2\3"),
 )
 

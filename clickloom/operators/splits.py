@@ -101,8 +101,9 @@ def shuffle_into_splits(
     split offsets fills every bucket exactly and is random inside each one.
     The ``last`` split, when given, keeps its rows in key order.
     """
-    offsets = split_offsets(rows_per_split(df, split), split).orderBy(split)
-    sizes = [(r[split], r["offset"]) for r in offsets.collect()]  # one per split
+    open_sizes = rows_per_split(df.where(~F.col(split).eqNullSafe(F.lit(last))), split)
+    offsets = split_offsets(open_sizes, split).orderBy(split)
+    open_splits = [(r[split], r["offset"]) for r in offsets.collect()]  # one per split
     dealt = shuffle_within_split(
         df.withColumn("_pin", F.col(split).eqNullSafe(F.lit(last)).cast("int")),
         "_pin",
@@ -111,7 +112,6 @@ def shuffle_into_splits(
         pinned=1 if last is not None else None,
         name="_pos",
     )
-    open_splits = [s for s in sizes if s[0] != last]
     index = block_of(F.col("_pos"), [start for _, start in open_splits[1:]])
     ids = F.array(*[F.lit(s) for s, _ in open_splits])
     begins = F.array(*[F.lit(start) for _, start in open_splits])

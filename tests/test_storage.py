@@ -15,18 +15,36 @@ from clickloom.sources import clicklog, generate, records, tfrecord, text
 from clickloom.spec import STANDARD, FeatureSpec
 
 
-def test_shared_folder_follows_the_session(spark, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        stored, rows = session.store_counted(spark.range(5), "numbers")
-        assert rows == 5 and stored.count() == 5
-        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["numbers"]
-    finally:
-        if old is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", old)
+class Session:
+    """The parts of a session that decide where stored tables go."""
+
+    def __init__(self, configured=None, checkpoints=None, master="local[2]"):
+        self.settings = {"spark.checkpoint.dir": configured}
+        self.conf, self.sparkContext = self, self
+        self.master, self.checkpoints = master, checkpoints
+
+    def get(self, key, default=None):
+        return self.settings.get(key) or default
+
+    def getCheckpointDir(self):
+        return self.checkpoints
+
+    def setCheckpointDir(self, folder):
+        self.checkpoints = folder
+
+
+def test_shared_folder():
+    assert session.shared_folder(Session("hdfs://x/y/", "/z", "yarn")) == "hdfs://x/y"
+    assert session.shared_folder(Session(None, "hdfs://z", "yarn")) == "hdfs://z"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session(master="spark://host"))
+    local = Session()
+    assert session.shared_folder(local) == session.shared_folder(local) == local.checkpoints
+
+
+def test_store_counts_its_rows(spark):
+    stored, rows = session.store_counted(spark.range(5), "numbers")
+    assert rows == 5 and stored.count() == 5
 
 
 def test_tune_keeps_the_users_choice(spark):

@@ -29,14 +29,14 @@ def value(spark, expression, text):
         ("etc. and so on...", ["etc.", "and", "so", "on", "...",]),
         ("They'll say \"no\" -- we've heard", ["They", "'ll", "say", '"', "no", '"', "--", "we", "'ve", "heard"]),
         ("'quoted' word", ["'", "quoted", "'", "word"]),
+        ("A. B. C. Then", ["A", ".", "B", ".", "C", ".", "Then"]),
+        ("Wait... What", ["Wait", "...", "What"]),
         ("", []),
         ("  \n ", []),
     ],
 )
 def test_tokenize(spark, text, tokens):
-    found = value(spark, X.tokenize, text)
-    assert [t for t in found if t.strip(".")] == [t for t in tokens if t.strip(".")]
-    assert "".join(found) == "".join(tokens)
+    assert value(spark, X.tokenize, text) == tokens
 
 
 def test_preprocess_text(spark):
