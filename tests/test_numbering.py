@@ -26,6 +26,16 @@ def test_ranged_equals_plain(spark):
     assert sorted(ranged.collect()) == sorted(plain.collect())
 
 
+@pytest.mark.parametrize("scale", [1, 2**50, -(2**50)])
+def test_lead_does_not_change_the_numbers(spark, scale):
+    data, df = skewed(spark)
+    df = df.withColumn("id", F.col("id") * scale)
+    lead = numbering.lead_of(F.col("g"), 200, F.col("id"))
+    led = numbering.number_rows(df, [F.col("id")], within=["g"], lead=lead)
+    plain = numbering.number_rows(df, [F.col("id")], within=["g"], rows=len(data))
+    assert sorted(led.collect()) == sorted(plain.collect())
+
+
 def test_ranged_is_consecutive(spark):
     data, df = skewed(spark)
     out = numbering.number_rows(df, [F.col("id")]).collect()

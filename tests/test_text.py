@@ -136,7 +136,7 @@ def test_pad_vector(spark):
 
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_lookup_order_and_batches(spark, limit, monkeypatch):
-    monkeypatch.setattr(E, "BROADCAST_WORDS", limit)
+    monkeypatch.setattr(E, "BROADCAST_FLOATS", limit)
     text = " ".join(["the"] * 40 + ["odd", "cat", "odd", "the", "cat"])
     docs = spark.createDataFrame([(1, text), (2, ""), (3, "dog the")], "doc_id bigint, text string")
     words = spark.createDataFrame(
