@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 MARKUP = "@<>"
 
 # The tokenizer's rules, applied in this order to the text with a space on both
-# ends. Each is (pattern, replacement) in syntax that Java, RE2
-# and Python share, except that Java writes group references as $1.
+# ends. Each is (pattern, replacement) in syntax that Java and RE2 share, except
+# that Java writes group references as $1. Patterns begin with a rare character
+# where they can, which lets the matcher skip the rest of the text.
 TOKEN_RULES = (
     # quotes, brackets and symbols stand alone
     (r"([\"“”„‘«»\[\](){}<>;!?#$%&*@…|=+/\\~^`])", r" \1 "),
@@ -20,19 +21,20 @@ TOKEN_RULES = (
     (r"(-{2,})", r" \1 "),
     # runs of periods
     (r"(\.{2,})", r" \1 "),
-    # a period ends a sentence at the end of the text ...
-    (r"([^.\s])\.(['’)\s]*)\z", r"\1 . \2"),
-    # ... or before a word that does not begin with a small letter; twice,
-    # because a one-letter sentence ends where the next match would begin
-    (r"([^.\s])\.(['’)]*\s+[^\p{Ll}\s])", r"\1 . \2"),
-    (r"([^.\s])\.(['’)]*\s+[^\p{Ll}\s])", r"\1 . \2"),
+    # a period ends a sentence before a word that does not begin with a small
+    # letter ...
+    (r"\.(['’)]*\s+[^\p{Ll}\s])", r" . \1"),
+    # ... and at the end of the text
+    (r"\.(['’)\s]*)\z", r" . \1"),
+    # the last period of a run belongs to the run
+    (r"(\.+) +\.(\s)", r"\1.\2"),
     # a single quote before a word
     (r"(\s)(['’])(\p{L})", r"\1\2 \3"),
     # negation and other English endings
     (r"(?i)(n['’]t)(\s)", r" \1\2"),
     (r"(?i)(['’](?:s|m|d|ll|re|ve))(\s)", r" \1\2"),
     # a single quote after a word
-    (r"(\S)(['’])(\s)", r"\1 \2\3"),
+    (r"(['’])(\s)", r" \1\2"),
 )
 
 # Fixed value: a token made of letters only.

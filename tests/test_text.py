@@ -31,6 +31,8 @@ def value(spark, expression, text):
         ("'quoted' word", ["'", "quoted", "'", "word"]),
         ("A. B. C. Then", ["A", ".", "B", ".", "C", ".", "Then"]),
         ("Wait... What", ["Wait", "...", "What"]),
+        ("The end. ... Then", ["The", "end", ".", "...", "Then"]),
+        ("'No.' (Yes.)", ["'", "No", ".", "'", "(", "Yes", ".", ")"]),
         ("", []),
         ("  \n ", []),
     ],
