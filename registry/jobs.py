@@ -12,10 +12,10 @@ from clickloom.sources.clicklog import read_tsv
 from clickloom.spec import STANDARD, WIDE, FeatureSpec
 from registry.base import (
     DENSE, M, M_LARGE, ROW, SPARSE, SPLITS, cells_sql, clicklog, clip_log, draw_sql, fill,
-    hexmod, listed, prepared_sql, query, rounded, table, with_f1,
+    listed, prepared_sql, query, rounded, table, with_f1,
 )
 from registry.storage import text_log
-from registry.vocabularies import cells_cte, vocab_cte
+from registry.vocabularies import vocab_cte
 
 EXTRA = "row_id BIGINT, split INT"
 

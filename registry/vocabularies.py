@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickloom.functions.dense import fill_missing
-from clickloom.functions.sparse import hex_mod
 from clickloom.operators import vocabulary as V
 from clickloom.session import new_path
 from clickloom.sinks import files as sinks
@@ -18,7 +16,6 @@ def cells_cte(m: int = M) -> str:
     return f", cells AS ({cells_sql(m)})"
 
 
-COUNTS = "counts AS (SELECT feature, value, count(*) AS cnt, min(row_id) AS first FROM {src} GROUP BY ALL)"
 ORDERS = {
     "frequency": "cnt desc, cast(value as varchar) desc",
     "sorted": "value",

@@ -5,7 +5,6 @@ import struct
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from clickloom import session
 from clickloom.functions.rows import row_to_tsv
