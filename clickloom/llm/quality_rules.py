@@ -29,10 +29,10 @@ class Limits:
     """
 
     repeated: dict[int, float] = field(
-        default_factory=lambda: {5: 0.50, 6: 0.48, 7: 0.46, 8: 0.44, 9: 0.42, 10: 0.40}
+        default_factory=lambda: {5: 0.50, 6: 0.49, 7: 0.48, 8: 0.47, 9: 0.46, 10: 0.45}
     )
     lines: float = 0.30
-    symbols: float = 0.50
+    symbols: float = 0.10
 
 
 def covered(ids: np.ndarray, weights: np.ndarray, sizes) -> dict[int, int]:
