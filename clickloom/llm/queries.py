@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import near_dup, packing, pieces, pii, quality_rules, url_filter
+from clickloom.llm import near_dup, packing, pieces, pii, quality_rules, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.deduplicated(docs).select(
+        "row.doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("left", 256).alias("kept_sha256"),
+    )
+
+
 @query("op6_bootstrapped_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
