@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import near_dup, packing, pieces, pii, quality_rules, suffix_dedup, url_filter
+from clickloom.llm import (
+    near_dup,
+    neighbours,
+    packing,
+    pieces,
+    pii,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    weak_quality,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,3 +148,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"),
         (F.col("text") == F.coalesce("row.text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query("op4_projection_forest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query("op5_toxic_spans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    found = toxicity.scored(docs, toxicity.learned(docs, labels))
+    return found.select(
+        "row.doc_id",
+        F.coalesce(toxicity.held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").cast("long").alias("n_toxic_words"),
+        F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"]))).alias("spans"),
+    )
+
+
+@query("op8_weak_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels, scorer = weak_quality.learned(docs)
+    found = weak_quality.scored(docs, labels, scorer)
+    return found.select("row.doc_id", "pattern", "posterior", "score", "kept")
