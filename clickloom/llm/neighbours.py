@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from clickloom.llm.common import keep
 
 NEAREST = 20
-TREES = 16
+TREES = 12
 SAMPLE = 16_384  # vectors that the trees are fitted on
-LEAF = 32  # sample vectors in a leaf at most
-LEAVES = 480  # leaves that a query opens, over all trees: enough for vectors without any clusters
+LEAF = 64  # sample vectors in a leaf at most
+LEAVES = 240  # leaves that a query opens, over all trees: enough for vectors without any clusters
 BLOCK = 20_000  # vectors, and queries, of one leaf that one task handles at once
 
 
