@@ -47,9 +47,20 @@ def neg_to_zero_log_lenient(c: Column) -> Column:
     return F.coalesce(log1p(neg_to_zero(c.try_cast("double"))), F.lit(0.0))
 
 
+def _strict(c: Column, kind: str, what: str) -> Column:
+    """A cast that fails on text that cannot be read, whatever the ANSI setting; NULL stays."""
+    value = c.try_cast(kind)
+    failure = F.raise_error(F.lit(f"{what} cannot be read")).cast(kind)
+    return F.when(c.isNotNull() & value.isNull(), failure).otherwise(value)
+
+
+def dense_double(c: Column) -> Column:
+    return _strict(c, "double", "dense value")
+
+
 def label_int(c: Column) -> Column:
-    return c.cast("int")
+    return _strict(c, "int", "label")
 
 
 def label_float(c: Column) -> Column:
-    return c.cast("float")
+    return _strict(c, "float", "label")

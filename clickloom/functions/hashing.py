@@ -66,8 +66,14 @@ def upper_bits(h: Column, low: int) -> Column:
 
 
 def pack_entry(h: Column, idx: Column, low: int = 24) -> Column:
-    """Upper hash bits and, in place of the lower ones, the word's index."""
-    return F.shiftleft(upper_bits(h, low), low).bitwiseOR(low_bits(idx, low))
+    """Upper hash bits and, in place of the lower ones, the word's index.
+
+    An index that needs more than ``low`` bits fails the query.
+    """
+    fits = idx.isNull() | ((idx >= 0) & (idx < (1 << low)))
+    failure = F.raise_error(F.lit(f"index does not fit {low} bits")).cast("bigint")
+    index = F.when(fits, low_bits(idx, low)).otherwise(failure)
+    return F.shiftleft(upper_bits(h, low), low).bitwiseOR(index)
 
 
 def unsigned(h: Column) -> Column:

@@ -14,7 +14,7 @@ MARKUP = "@<>"
 # where they can, which lets the matcher skip the rest of the text.
 TOKEN_RULES = (
     # quotes, brackets and symbols stand alone
-    (r"([\"“”„‘«»\[\](){}<>;!?#$%&*@…|=+/\\~^`])", r" \1 "),
+    (r"([\"“”„‘«»\[\](){}<>;!?#$%&*@…`])", r" \1 "),
     # commas and colons stand alone, unless a digit follows
     (r"([,:]+)([^0-9,:])", r" \1 \2"),
     # dashes of two or more
@@ -33,6 +33,11 @@ TOKEN_RULES = (
     # negation and other English endings
     (r"(?i)(n['’]t)(\s)", r" \1\2"),
     (r"(?i)(['’](?:s|m|d|ll|re|ve))(\s)", r" \1\2"),
+    # words that are two
+    (r"(?i)\b(can)(not)\b", r"\1 \2"),
+    (r"(?i)\b(gim|lem)(me)\b", r"\1 \2"),
+    (r"(?i)\b(gon|wan)(na)\b", r"\1 \2"),
+    (r"(?i)\b(got)(ta)\b", r"\1 \2"),
     # a single quote after a word
     (r"(['’])(\s)", r" \1\2"),
 )

@@ -9,8 +9,8 @@ from clickloom.functions.draws import gaussian_vector
 from clickloom.functions.text import preprocess_text
 from clickloom.operators.lookup import SAMPLE, skewed_lookup
 
-# Floats of a word table that may be broadcast (48 MB).
-BROADCAST_FLOATS = 12_000_000
+# Bytes of a word table that may be broadcast: words, vectors and 64 bytes a row.
+BROADCAST_BYTES = 48_000_000
 BATCH = 512
 
 
@@ -27,8 +27,10 @@ def lookup_words(
     """Tokens with ``idx`` and ``vec`` of their word; NULL when it is unknown."""
     tokens = token_rows(docs, doc, text)
     table = words.withColumnRenamed("word", "token")
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    if size["n"] * (size["dim"] or 0) <= BROADCAST_FLOATS:
+    floats = F.greatest(F.coalesce(F.size("vec"), F.lit(0)), F.lit(0))
+    row = F.lit(64) + F.coalesce(F.octet_length("word"), F.lit(0)) + 4 * floats
+    size = words.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] <= BROADCAST_BYTES:
         return tokens.join(F.broadcast(table), "token", "left").select(
             doc, "pos", "token", "idx", "vec"
         )

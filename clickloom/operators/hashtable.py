@@ -26,11 +26,13 @@ def most_collided(histogram: DataFrame) -> DataFrame:
     return histogram.join(F.broadcast(top), "n", "left_semi").select("h", "n")
 
 
-def entries(words: DataFrame, hash_fn: HashFn, low: int = 24) -> DataFrame:
-    """``(bucket, idx, entry)`` of each word."""
+def entries(
+    words: DataFrame, hash_fn: HashFn, low: int = 24, bits: int | None = None
+) -> DataFrame:
+    """``(bucket, idx, entry)`` of each word; buckets by ``bits`` bits, by default ``low``."""
     hashed = words.select("idx", hash_fn(F.col("word")).alias("_h"))
     return hashed.select(
-        H.low_bits(F.col("_h"), low).alias("bucket"),
+        H.low_bits(F.col("_h"), bits or low).alias("bucket"),
         "idx",
         H.pack_entry(F.col("_h"), F.col("idx"), low).alias("entry"),
     )

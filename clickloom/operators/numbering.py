@@ -17,6 +17,8 @@ from clickloom.session import store
 
 # A table this small may be numbered by one window: a single task can hold it.
 PLAIN_ROWS = 500_000
+# Files whose starts are broadcast.
+BROADCAST_FILES = 1_000_000
 _TASK_BITS = 33  # monotonically_increasing_id keeps the task in the bits above
 
 
@@ -91,7 +93,7 @@ def lead_of(code: Column, codes: int, key: Column) -> Column:
 
 
 def positions_in_files(df: DataFrame, name: str = "pos") -> DataFrame:
-    """0-based position in file-name order, without a shuffle of the rows.
+    """0-based position in file-name order; rows are shuffled only beyond ``BROADCAST_FILES``.
 
     ``df`` must come straight from ``spark.read.parquet``; the row index inside
     each file is Spark's own metadata column.
@@ -109,6 +111,9 @@ def positions_in_files(df: DataFrame, name: str = "pos") -> DataFrame:
         .select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")),
         "file-starts",
     )
+    # A start is a path and a number: up to that many files, a few hundred MB at most.
+    if starts.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return located.join(starts, "_file").select(
         *df.columns, (F.col("_start") + F.col("_index")).alias(name)
     )

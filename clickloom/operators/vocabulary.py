@@ -189,7 +189,8 @@ def apply_vocabulary(
 
     Vocabularies are broadcast, smallest first, while their measured rows stay
     within ``broadcast_rows`` in total. The other columns share one shuffled
-    lookup of their cells, which needs a unique ``row_key``.
+    lookup of their cells, for which ``df`` is kept once. Cells find their row
+    again by ``row_key``, or without one by a number that the kept rows get.
     """
     wanted = vocabulary.where(F.col("feature").isin(list(features)))
     weight = F.count(F.lit(1)).cast("double")
@@ -204,10 +205,10 @@ def apply_vocabulary(
             break
         small.append(f)
     large = [f for f in features if f not in small]
-    if large and row_key is None:
-        raise ValueError(f"vocabularies too large to broadcast need row_key: {large}")
-
-    out = _apply_shuffled(df, large, wanted, row_key) if large else df
+    out = df
+    if large:
+        numbered = df if row_key else df.withColumn("_row", F.monotonically_increasing_id())
+        out = _apply_shuffled(store(numbered, "rows"), large, wanted, row_key or "_row")
     for f in small:
         part = wanted.where(F.col("feature") == f).select(
             F.col("value").alias(f"_v_{f}"), F.col("idx").alias(f"_i_{f}")
@@ -245,17 +246,28 @@ def apply_to_files(
     path: str,
     keys: Sequence[str],
     oov_id: int = -1,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> None:
     """Apply a vocabulary and write each feature of each input file apart.
 
     ``df`` is a plain file scan. Output folders are ``feature=F/source=FILE``;
-    ``keys`` are written along. Tasks write what they read, without a shuffle.
+    ``keys`` are written along. Cells are looked up as they are written, so a
+    vocabulary of any size needs no row key.
     """
     source = F.col("_metadata.file_name").alias("source")
     named = df.select(*[quoted(c) for c in df.columns], source)
-    encoded = apply_vocabulary(named, features, vocabulary, "oov", oov_id)
-    long = cells(encoded, features, ["source", *keys]).withColumnRenamed("value", "idx")
-    long.write.partitionBy("feature", "source").parquet(path)
+    wanted = vocabulary.where(F.col("feature").isin(list(features))).select("feature", "value", "idx")
+    long = cells(named, features, ["source", *keys])
+    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = long.join(F.broadcast(wanted), ["feature", "value"], "left")
+    else:
+        sampled = cells(named.sample(SAMPLE, seed=7), features)
+        found = skewed_lookup(
+            long, wanted, ["feature", "value"], ["source", *keys, "feature"], sampled
+        )
+    found = found.withColumn("idx", _settle(F.col("idx"), "oov", oov_id))
+    out = found.select("source", *[quoted(k) for k in keys], "feature", "idx")
+    out.write.partitionBy("feature", "source").parquet(path)
 
 
 class Categorify(Estimator):
@@ -270,8 +282,10 @@ class Categorify(Estimator):
         first_id: int = 0,
         unseen: str = "oov",
         oov_id: int = -1,
+        broadcast_rows: int = BROADCAST_ROWS,
     ):
         super().__init__()
+        self.broadcast_rows = broadcast_rows
         self.features = list(features)
         self.order = order
         self.row_key = row_key
@@ -290,7 +304,7 @@ class Categorify(Estimator):
             self.first_id,
         )
         return CategorifyModel(
-            vocabulary, self.features, self.unseen, self.oov_id, self.row_key
+            vocabulary, self.features, self.unseen, self.oov_id, self.row_key, self.broadcast_rows
         )
 
 
@@ -304,8 +318,10 @@ class CategorifyModel(Model):
         unseen: str = "oov",
         oov_id: int = -1,
         row_key: str | None = None,
+        broadcast_rows: int = BROADCAST_ROWS,
     ):
         super().__init__()
+        self.broadcast_rows = broadcast_rows
         self.vocabulary = vocabulary
         self.features = list(features)
         self.unseen = unseen
@@ -314,5 +330,11 @@ class CategorifyModel(Model):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return apply_vocabulary(
-            dataset, self.features, self.vocabulary, self.unseen, self.oov_id, self.row_key
+            dataset,
+            self.features,
+            self.vocabulary,
+            self.unseen,
+            self.oov_id,
+            self.row_key,
+            self.broadcast_rows,
         )

@@ -13,6 +13,7 @@ from clickloom.functions.rows import apply_by_role, fill_missing_rows, quoted
 from clickloom.operators import embeddings, splits
 from clickloom.operators.filters import subsample_negatives
 from clickloom.operators.vocabulary import (
+    BROADCAST_ROWS,
     Categorify,
     apply_identity,
     apply_vocabulary,
@@ -42,7 +43,7 @@ def preprocess(
     def dense(name: str):
         text = kinds[name].typeName() in ("string", "char", "varchar")
         filled = D.fill_missing(quoted(name)) if text else F.coalesce(quoted(name), F.lit(0))
-        return D.log1p(D.neg_to_zero(filled.cast("double")))
+        return D.log1p(D.neg_to_zero(D.dense_double(filled)))
 
     tune(df.sparkSession)
     return df.select(
@@ -60,10 +61,13 @@ def preprocess_with_vocabulary(
     keep: Sequence[str] = (),
     order: str = "frequency",
     row_key: str | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``preprocess``, then learn and apply a vocabulary for each sparse column."""
     prepared = preprocess(df, spec, modulus, keep)
-    encoder = Categorify(spec.sparse, order=order, row_key=row_key)
+    encoder = Categorify(
+        spec.sparse, order=order, row_key=row_key, broadcast_rows=broadcast_rows
+    )
     return encoder.fit(prepared).transform(prepared)
 
 
@@ -77,30 +81,49 @@ def preprocess_with_identity(
     )
 
 
+def _raw(spark: SparkSession, source: str | DataFrame, spec: FeatureSpec, extra: str) -> DataFrame:
+    return read_tsv(spark, source, spec, extra) if isinstance(source, str) else source
+
+
 def two_pass_vocabulary(
-    spark: SparkSession, source: str, vocabulary_path: str, spec: FeatureSpec, modulus: int,
+    spark: SparkSession,
+    source: str | DataFrame,
+    vocabulary_path: str,
+    spec: FeatureSpec,
+    modulus: int,
     extra: str = "",
 ) -> None:
-    """Pass 1: learn the vocabularies of a text click log and keep them."""
-    prepared = preprocess(read_tsv(spark, source, spec, extra), spec, modulus)
+    """Pass 1: learn the vocabularies of a click log and keep them.
+
+    ``source`` is a text click log's path, or raw rows from anywhere else.
+    """
+    prepared = preprocess(_raw(spark, source, spec, extra), spec, modulus)
     sinks.write_vocabulary(fit_vocabulary(prepared, spec.sparse), vocabulary_path)
 
 
 def two_pass_apply(
     spark: SparkSession,
-    source: str,
+    source: str | DataFrame,
     vocabulary_path: str,
     target: str,
     spec: FeatureSpec,
     modulus: int,
     extra: str = "",
     keep: Sequence[str] = (),
+    kind: str = "tsv",
+    row_key: str | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> None:
-    """Pass 2: apply the kept vocabularies and write tab-separated rows."""
-    raw = read_tsv(spark, source, spec, extra)
-    prepared = preprocess(raw, spec, modulus, keep)
+    """Pass 2: apply the kept vocabularies and write rows, ``kind`` ``tsv`` or ``parquet``."""
+    if kind not in ("tsv", "parquet"):
+        raise ValueError(f"kind must be tsv or parquet, not {kind!r}")
+    prepared = preprocess(_raw(spark, source, spec, extra), spec, modulus, keep)
     vocabulary = sinks.read_vocabulary(spark, vocabulary_path)
-    sinks.write_tsv(apply_vocabulary(prepared, spec.sparse, vocabulary, "oov"), target)
+    encoded = apply_vocabulary(
+        prepared, spec.sparse, vocabulary, "oov", row_key=row_key, broadcast_rows=broadcast_rows
+    )
+    write = sinks.write_tsv if kind == "tsv" else sinks.write_snappy
+    write(encoded, target)
 
 
 def prepare_days(

@@ -96,7 +96,10 @@ def write_vocabulary(vocabulary: DataFrame, path: str, kind: str = "parquet") ->
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("value BIGINT, idx BIGINT, cnt BIGINT, feature STRING").parquet(path)
+    """A vocabulary kept as Parquet; its values have the type they were kept with."""
+    kind = spark.read.parquet(path).schema["value"].dataType.simpleString()
+    schema = f"value {kind}, idx BIGINT, cnt BIGINT, feature STRING"
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

@@ -1,4 +1,4 @@
-"""Files for the Python data sources: listing, byte ranges, staged output.
+"""Files for the Python data sources: listing, byte ranges, output parts.
 
 This module runs inside tasks, so it holds small helpers only.
 """
@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import fnmatch
 import posixpath
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,9 @@ from dataclasses import dataclass
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import InputPartition, WriterCommitMessage
 
+MARKER = "_committed-"
+_PART = re.compile(r"part-[0-9a-f]{32}-[0-9a-f]{32}\.")
+
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; a plain absolute path is a local one."""
@@ -21,19 +25,34 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def list_files(uri: str, pattern: str = "*") -> list[tuple[str, int]]:
-    """``(path, bytes)`` of the data files under a path, in name order."""
+    """``(path, bytes)`` of the data files under a path, in name order.
+
+    Hidden files and folders are skipped, and so are parts of a job of this
+    library that no marker of a finished job names.
+    """
     fs, path = open_fs(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.File:
-        found = [info]
-    else:
-        found = [
-            f
-            for f in fs.get_file_info(pafs.FileSelector(path, recursive=True))
-            if f.type == pafs.FileType.File
-            and not f.base_name.startswith(("_", "."))
-            and fnmatch.fnmatch(f.base_name, pattern)
-        ]
+        return [(info.path, info.size)]
+    files = [
+        f
+        for f in fs.get_file_info(pafs.FileSelector(path, recursive=True))
+        if f.type == pafs.FileType.File
+    ]
+    finished = set()
+    for f in files:
+        if f.base_name.startswith(MARKER):
+            with fs.open_input_stream(f.path) as source:
+                names = source.read().decode().split()
+            finished.update(posixpath.join(posixpath.dirname(f.path), n) for n in names)
+    root = len(path.rstrip("/")) + 1
+    found = [
+        f
+        for f in files
+        if not any(p.startswith(("_", ".")) for p in f.path[root:].split("/"))
+        and (f.path in finished or not _PART.match(f.base_name))
+        and fnmatch.fnmatch(f.base_name, pattern)
+    ]
     if not found:
         raise FileNotFoundError(f"no file matches {uri}/{pattern}")
     return sorted((f.path, f.size) for f in found)
@@ -51,40 +70,39 @@ class PartWritten(WriterCommitMessage):
     name: str
 
 
-class StagedParts:
-    """Part files that become visible only when the whole job commits.
+class JobParts:
+    """Part files of one write job, beside those of earlier jobs.
 
-    Every task attempt writes its own hidden file, so retried and speculative
-    attempts never meet; commit moves the winners, abort removes the folder.
+    Every task attempt writes a file of its own name, so retried and speculative
+    attempts never meet. The job ends with one marker that names the attempts
+    that count; nothing is moved, and other files are not data to ``list_files``.
     """
 
     def __init__(self, uri: str, suffix: str):
         self.uri = uri
         self.suffix = suffix
-        self.staging = f"_staging-{uuid.uuid4().hex}"
+        self.job = uuid.uuid4().hex
 
     def write(self, chunks: Iterator[bytes]) -> PartWritten:
         fs, path = open_fs(self.uri)
-        folder = posixpath.join(path, self.staging)
-        fs.create_dir(folder, recursive=True)
-        name = uuid.uuid4().hex
-        with fs.open_output_stream(posixpath.join(folder, name)) as out:
+        fs.create_dir(path, recursive=True)
+        name = f"part-{self.job}-{uuid.uuid4().hex}{self.suffix}"
+        with fs.open_output_stream(posixpath.join(path, name)) as out:
             for chunk in chunks:
                 out.write(chunk)
         return PartWritten(name)
 
     def commit(self, messages) -> None:
         fs, path = open_fs(self.uri)
-        folder = posixpath.join(path, self.staging)
-        for i, message in enumerate(m for m in messages if m is not None):
-            fs.move(
-                posixpath.join(folder, message.name),
-                posixpath.join(path, f"part-{i:05d}{self.suffix}"),
-            )
-        fs.delete_dir(folder)
+        fs.create_dir(path, recursive=True)
+        names = "\n".join(m.name for m in messages if m is not None)
+        with fs.open_output_stream(posixpath.join(path, f"{MARKER}{self.job}")) as out:
+            out.write(names.encode())
 
     def abort(self) -> None:
         fs, path = open_fs(self.uri)
-        folder = posixpath.join(path, self.staging)
-        if fs.get_file_info(folder).type == pafs.FileType.Directory:
-            fs.delete_dir(folder)
+        if fs.get_file_info(path).type != pafs.FileType.Directory:
+            return
+        for f in fs.get_file_info(pafs.FileSelector(path)):
+            if f.base_name.startswith(f"part-{self.job}-"):
+                fs.delete_file(f.path)

@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """Each matching file as one UTF-8 document, keyed by its file name."""
+    """Each matching file as one UTF-8 document, keyed by its path below ``folder``.
+
+    Folders below are read as well, also those named like partitions.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(root).toUri().getPath().rstrip("/")
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    below = F.substring_index(path, f"{base}/", -1)
     return (
         spark.read.option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
         .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("text"))
+        .select(below.alias("doc_id"), F.col("value").alias("text"))
     )
 
 

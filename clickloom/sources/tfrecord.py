@@ -1,20 +1,22 @@
 """TFRecord files as opaque records.
 
 A record is its length (8 bytes), the length's checksum, the payload and the
-payload's checksum. The payload checksum travels with the payload, so records
-can be moved to other files without reading their bytes one by one.
+payload's checksum. Both are verified on reading. The payload checksum travels
+with the payload, so moved records need no new one.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader
 
-from clickloom.sources.files import FileRange, StagedParts, list_files, open_fs
+from clickloom.sources.files import FileRange, JobParts, list_files, open_fs
 
 # Fixed values of the file format: the reflected CRC-32C polynomial and the
 # constant added to a rotated checksum.
@@ -24,24 +26,70 @@ _MASK_DELTA = 0xA282EAD8
 _BATCH_BYTES = 8 * 1024 * 1024
 
 
-def _crc_table() -> list[int]:
+_ROW = 64  # bytes whose checksum one table lookup after another gives
+
+
+def _crc_table() -> np.ndarray:
     table = []
     for byte in range(256):
         for _ in range(8):
             byte = (byte >> 1) ^ (_POLYNOMIAL if byte & 1 else 0)
         table.append(byte)
-    return table
+    return np.array(table, np.uint32)
 
 
 _TABLE = _crc_table()
+# The same for two bytes at once.
+_PAIRS = np.arange(1 << 16, dtype=np.uint32)
+for _ in range(2):
+    _PAIRS = _TABLE[_PAIRS & 0xFF] ^ (_PAIRS >> 8)
+
+
+@functools.cache
+def _shift(power: int) -> np.ndarray:
+    """Four tables, one per byte of a checksum, for ``2**power`` zero bytes behind it."""
+    start = np.arange(256, dtype=np.uint32)[None, :] << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    if power == 0:
+        return _TABLE[start & 0xFF] ^ (start >> 8)
+    return _shifted(_shifted(start, power - 1), power - 1)
+
+
+def _shifted(crc: np.ndarray, power: int) -> np.ndarray:
+    t = _shift(power)
+    return t[0][crc & 0xFF] ^ t[1][crc >> 8 & 0xFF] ^ t[2][crc >> 16 & 0xFF] ^ t[3][crc >> 24]
+
+
+def masked_crcs(payloads: Sequence[bytes]) -> np.ndarray:
+    """Masked checksums of all payloads at once.
+
+    Payloads are cut into rows, zeros in front: those change no checksum that
+    starts at zero. All rows advance byte by byte together, then neighbouring
+    rows of a payload are joined until one is left.
+    """
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    out = np.zeros(len(payloads), np.uint32)
+    rows = np.maximum(1, -(-sizes // _ROW))
+    levels = np.ceil(np.log2(rows)).astype(np.int64)
+    for level in np.unique(levels):
+        own = np.flatnonzero(levels == level)
+        width = _ROW << int(level)
+        data = np.frombuffer(b"".join(payloads[i].rjust(width, b"\0") for i in own), "<u2")
+        crc = np.zeros(2 * len(data) // _ROW, np.uint32)
+        for column in data.reshape(-1, _ROW // 2).T.copy():
+            crc = _PAIRS.take((crc ^ column) & 0xFFFF) ^ (crc >> 16)
+        for step in range(int(level)):
+            crc = _shifted(crc[::2], (_ROW.bit_length() - 1) + step) ^ crc[1::2]
+        out[own] = crc
+    start = np.full(len(payloads), 0xFFFFFFFF, np.uint32)
+    for power in range(int(sizes.max(initial=0)).bit_length()):
+        bit = (sizes >> power & 1).astype(bool)
+        start[bit] = _shifted(start[bit], power)
+    crc = (out ^ start ^ np.uint32(0xFFFFFFFF)).astype(np.uint64)
+    return (((crc >> 15) | (crc << 17)) + _MASK_DELTA) & 0xFFFFFFFF
 
 
 def masked_crc(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc = _TABLE[(crc ^ byte) & 0xFF] ^ (crc >> 8)
-    crc ^= 0xFFFFFFFF
-    return (((crc >> 15) | (crc << 17)) + _MASK_DELTA) & 0xFFFFFFFF
+    return int(masked_crcs([data])[0])
 
 
 class TfRecords(DataSource):
@@ -71,26 +119,35 @@ class TfRecordReader(DataSourceReader):
 
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(self.path)
-        payloads, crcs, held = [], [], 0
+        payloads, crcs, heads, head_crcs, held = [], [], [], [], 0
 
         def batch() -> pa.RecordBatch:
+            if (masked_crcs(heads) != np.array(head_crcs)).any():
+                raise ValueError(f"{partition.path}: broken record length")
+            if (masked_crcs(payloads) != np.array(crcs)).any():
+                raise ValueError(f"{partition.path}: a payload does not have its checksum")
             columns = [pa.array(payloads, pa.binary()), pa.array(crcs, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["payload", "payload_crc"])
 
         with fs.open_input_stream(partition.path, buffer_size=1 << 20) as source:
             while head := source.read(12):
                 length, length_crc = struct.unpack("<QI", head)
-                if masked_crc(head[:8]) != length_crc:
+                # A damaged length would have the rest of the file read as one record.
+                if length > partition.stop and masked_crc(head[:8]) != length_crc:
                     raise ValueError(f"{partition.path}: broken record length")
+                heads.append(head[:8])
+                head_crcs.append(length_crc)
                 body = source.read(length + 4)
                 if len(body) != length + 4:
+                    if masked_crc(head[:8]) != length_crc:
+                        raise ValueError(f"{partition.path}: broken record length")
                     raise ValueError(f"{partition.path}: the last record is cut off")
                 payloads.append(body[:length])
                 crcs.append(int.from_bytes(body[length:], "little"))
                 held += length
                 if held >= _BATCH_BYTES:
                     yield batch()
-                    payloads, crcs, held = [], [], 0
+                    payloads, crcs, heads, head_crcs, held = [], [], [], [], 0
         if payloads:
             yield batch()
 
@@ -99,19 +156,19 @@ class TfRecordWriter(DataSourceArrowWriter):
     """Keeps ``payload_crc`` where it is given and computes it where it is NULL."""
 
     def __init__(self, path: str):
-        self.parts = StagedParts(path, ".tfrecord")
+        self.parts = JobParts(path, ".tfrecord")
 
     def write(self, iterator: Iterator[pa.RecordBatch]):
         def chunks() -> Iterator[bytes]:
             for batch in iterator:
-                given = batch.column("payload_crc")
-                for payload, crc in zip(batch.column("payload"), given):
-                    data = payload.as_py()
-                    head = struct.pack("<Q", len(data))
-                    tail = masked_crc(data) if crc.as_py() is None else crc.as_py()
-                    yield b"".join(
-                        [head, struct.pack("<I", masked_crc(head)), data, struct.pack("<I", tail)]
-                    )
+                payloads = batch.column("payload").to_pylist()
+                crcs = batch.column("payload_crc").to_pylist()
+                missing = [i for i, c in enumerate(crcs) if c is None]
+                for i, crc in zip(missing, masked_crcs([payloads[i] for i in missing])):
+                    crcs[i] = int(crc)
+                heads = [struct.pack("<Q", len(p)) for p in payloads]
+                for head, check, data, crc in zip(heads, masked_crcs(heads), payloads, crcs):
+                    yield b"".join([head, struct.pack("<I", int(check)), data, struct.pack("<I", crc)])
 
         return self.parts.write(chunks())
 

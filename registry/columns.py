@@ -15,7 +15,7 @@ from clickloom.operators import filters
 from clickloom.spec import STANDARD
 from registry.base import (
     DENSE, M, M_LARGE, ROW, SPARSE, clicklog, clip_log, draw_sql, fill, hexmod, hexv,
-    listed, query, rounded, with_f1,
+    listed, query, rounded, with_f1, table,
 )
 
 ALL = (*DENSE, *SPARSE)
@@ -124,6 +124,33 @@ def hex_mod(spark, sf):
     )
 
 
+_DIGITS = "lpad(substr(md5(cast(event_id as varchar)), 1, cast(event_id % 30 + 1 as integer)), 30, '0')"
+
+
+def _long_mod_sql(m: int) -> str:
+    """Thirty digits in two halves that fit a BIGINT."""
+    high, low = f"('0x' || substr({_DIGITS}, 1, 15))::bigint", f"('0x' || substr({_DIGITS}, 16))::bigint"
+    return f"cast(({high} % {m} * {16**15 % m} + {low} % {m}) % {m} as bigint)"
+
+
+@query(
+    "hex_mod_any_length",
+    f"SELECT event_id, {_long_mod_sql(M)} AS strict, {_long_mod_sql(M_LARGE)} AS strict_large, "
+    f"{_long_mod_sql(M)} AS lenient FROM events",
+)
+def hex_mod_any_length(spark, sf):
+    """1 to 30 digits, every other row with zeros in front."""
+    e = F.col("event_id")
+    text = F.substr(F.md5(e.cast("string")), F.lit(1), (e % 30 + 1).cast("int"))
+    text = F.when(e % 2 == 0, F.lpad(text, 40, "0")).otherwise(text)
+    return table(spark, sf, "events").select(
+        "event_id",
+        S.hex_mod(text, M).alias("strict"),
+        S.hex_mod(text, M_LARGE).alias("strict_large"),
+        S.hex_mod_lenient(text, M).alias("lenient"),
+    )
+
+
 @query(
     "hex_mod_lenient",
     "WITH b AS (SELECT event_id, event_type, substr(md5(cast(event_id as varchar)), 1, 6) || "

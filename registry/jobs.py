@@ -72,6 +72,44 @@ def tsv_two_pass(spark, sf):
     )
 
 
+@query("tsv_two_pass_large", encoded_sql("frequency", M_LARGE, "coalesce(idx, -1)"))
+def tsv_two_pass_large(spark, sf):
+    """Values below 2**29, no broadcast vocabulary and no row key."""
+    source = text_log(spark, sf)
+    vocabulary, target = new_path(spark, "pass-1"), new_path(spark, "pass-2")
+    jobs.two_pass_vocabulary(spark, source, vocabulary, STANDARD, M_LARGE, EXTRA)
+    jobs.two_pass_apply(
+        spark, source, vocabulary, target, STANDARD, M_LARGE, EXTRA, ROW, broadcast_rows=0
+    )
+    back = read_tsv(spark, target, STANDARD, EXTRA)
+    return back.select(
+        *ROW,
+        F.col("col_0").cast("int").alias("col_0"),
+        *[F.round(F.col(c).cast("double"), 6).alias(c) for c in DENSE],
+        *[F.col(c).cast("bigint").alias(c) for c in SPARSE],
+    )
+
+
+@query("parquet_two_pass", encoded_sql("frequency", unseen="coalesce(idx, -1)"))
+def parquet_two_pass(spark, sf):
+    source = new_path(spark, "clicklog")
+    clicklog(spark, sf).write.parquet(source)
+    log = spark.read.parquet(source)
+    vocabulary, target = new_path(spark, "pass-1"), new_path(spark, "pass-2")
+    jobs.two_pass_vocabulary(spark, log, vocabulary, STANDARD, M)
+    jobs.two_pass_apply(spark, log, vocabulary, target, STANDARD, M, keep=ROW, kind="parquet")
+    return rounded(spark.read.parquet(target), DENSE)
+
+
+@query("preprocess_with_vocab_large", encoded_sql("frequency", M_LARGE))
+def preprocess_with_vocab_large(spark, sf):
+    """Values below 2**29, no broadcast vocabulary and no row key."""
+    out = jobs.preprocess_with_vocabulary(
+        clicklog(spark, sf), STANDARD, M_LARGE, ROW, broadcast_rows=0
+    )
+    return rounded(out, DENSE)
+
+
 DAYS = (
     ", days AS (SELECT * REPLACE (cast(ntile(24) over (order by row_id) - 1 as integer) AS split) FROM f1)"
     f", kept AS (SELECT * FROM days WHERE NOT (col_0 = 0 AND cast({draw_sql(8, 'row_id')} as double) "

@@ -261,9 +261,10 @@ EVERYTHING = with_f1(f"SELECT row_id, split, {', '.join(STANDARD.columns)} FROM
 
 @query("union_splits", EVERYTHING)
 def union_splits(spark, sf):
-    f1 = clicklog(spark, sf)
-    thirds = [f1.where(F.col("split") % 3 == k) for k in range(3)]
-    return combine.union_rows(thirds)
+    path = new_path(spark, "splits")
+    clicklog(spark, sf).write.partitionBy("split").parquet(path)
+    parts = [spark.read.option("basePath", path).parquet(f"{path}/split={k}") for k in range(SPLITS)]
+    return combine.union_rows(parts)
 
 
 @query("concat_tables", EVERYTHING)
@@ -279,6 +280,9 @@ def concat_tables(spark, sf):
 
 @query("zip_columns", with_f1(f"SELECT row_id, col_0, {listed([*DENSE, *SPARSE], str)} FROM f1"))
 def zip_columns(spark, sf):
+    """Three tables of their own, as their writers left them."""
     f1 = clicklog(spark, sf)
-    parts = [["col_0"], DENSE, SPARSE]
-    return combine.zip_columns([f1.select("row_id", *p) for p in parts], "row_id")
+    path = new_path(spark, "column-parts")
+    for k, part in enumerate([["col_0"], DENSE, SPARSE]):
+        f1.select("row_id", *part).write.parquet(f"{path}/{k}")
+    return combine.zip_columns([spark.read.parquet(f"{path}/{k}") for k in range(3)], "row_id")

@@ -11,7 +11,7 @@ from clickloom.sinks import files as sinks
 from clickloom.sources import clicklog as tsv
 from clickloom.sources import generate, records, tfrecord
 from clickloom.sources.text import read_documents
-from clickloom.spec import STANDARD
+from clickloom.spec import STANDARD, WIDE
 from registry.base import (
     DENSE, M, ROW, SPARSE, clicklog, fill, hexmod, hexv, listed, query, table, with_f1,
 )
@@ -56,7 +56,11 @@ def scan_parquet_rows(spark, sf):
     return tsv.read_rows(spark, f"{sf}/customer.parquet")
 
 
-@query("scan_text_docs", "SELECT md5(text) AS text_md5, cast(length(text) as integer) AS n FROM documents")
+@query(
+    "scan_text_docs",
+    "SELECT 'doc_id=' || cast(doc_id as varchar) AS folder, md5(text) AS text_md5, "
+    "cast(length(text) as integer) AS n FROM documents",
+)
 def scan_text_docs(spark, sf):
     path = new_path(spark, "documents")
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -64,7 +68,9 @@ def scan_text_docs(spark, sf):
     spread(docs).write.partitionBy("doc_id").text(path)
     text = F.regexp_replace(F.col("text"), r"\n\z", "")
     return read_documents(spark, path).select(
-        F.md5(text).alias("text_md5"), F.char_length(text).alias("n")
+        F.substring_index("doc_id", "/", 1).alias("folder"),
+        F.md5(text).alias("text_md5"),
+        F.char_length(text).alias("n"),
     )
 
 
@@ -150,6 +156,38 @@ def file_count(df) -> int:
     return df.select(F.col("_metadata.file_path").alias("f")).distinct().count()
 
 
+@query("records_append", with_f1(f"SELECT {_field_sql(0)} AS f_0, {_field_sql(5)} AS f_5 FROM f1 UNION ALL "
+       f"SELECT {_field_sql(0)} AS f_0, {_field_sql(5)} AS f_5 FROM f1"))
+def records_append(spark, sf):
+    """Two jobs write to one folder; the rows of both are there."""
+    path = record_log(spark, sf)
+    records.write_records(records.read_records(spark, path), target := new_path(spark, "records"))
+    records.write_records(records.read_records(spark, path), target)
+    return records.read_records(spark, target, keep=[0, 5])
+
+
+WIDE_FIELDS = 547
+
+
+@query(
+    "scan_binary_column_wide",
+    with_f1(f"SELECT {_unsigned('col_3')} AS col_3, cast({fill('col_7')} as float) AS col_7, {hexv('col_505')} AS col_505, "
+            f"{_wrapped(hexv('col_546'))} AS col_546 FROM f1", WIDE),
+)
+def scan_binary_column_wide(spark, sf):
+    """547 fields: an unsigned, a float, an unsigned and a signed one."""
+    rows = clicklog(spark, sf, WIDE)
+    fields = [F.col("col_0").cast("bigint")]
+    fields += [F.pmod(fill_missing(c).cast("bigint"), F.lit(2**32)) for c in WIDE.dense]
+    fields += [hex_to_int(fill_missing(c)) for c in WIDE.sparse]
+    path = new_path(spark, "wide-records")
+    fields[WIDE.columns.index("col_7")] = fill_missing("col_7").cast("float")
+    records.write_records(rows.select(*[c.alias(f"f_{i}") for i, c in enumerate(fields)]), path)
+    kinds = {"col_7": "float32", "col_546": "int32"}
+    columns = ["col_3", "col_7", "col_505", "col_546"]
+    return records.read_columns(spark, path, columns, WIDE, WIDE_FIELDS, kinds)
+
+
 # --- TFRecord ---------------------------------------------------------------
 
 PAYLOADS = "SELECT md5(text) AS payload_md5, cast(strlen(text) as integer) AS n FROM documents"

@@ -8,7 +8,7 @@ from clickloom.operators import vocabulary as V
 from clickloom.session import new_path
 from clickloom.sinks import files as sinks
 from registry.base import (
-    M, M_LARGE, ROW, SPARSE, cells_sql, hexmod, listed, query, reduced, with_f1,
+    M, M_LARGE, ROW, SPARSE, cells_sql, hexmod, listed, query, reduced, table, with_f1,
 )
 
 
@@ -270,3 +270,39 @@ def vocab_apply_batch_files(spark, sf):
     rows.withColumn("file", F.col("split") % 4).write.partitionBy("file").parquet(source)
     V.apply_to_files(spark.read.parquet(source), SPARSE, fitted, target, ["file", "row_id"])
     return spark.read.parquet(target).select("file", "feature", "row_id", "idx")
+
+
+@query(
+    "vocab_apply_batch_files_large",
+    with_f1(
+        "SELECT file, feature, row_id, coalesce(idx, -1) AS idx FROM "
+        "(SELECT x.*, split % 4 AS file, v.idx FROM cells x LEFT JOIN voc v USING (feature, value))",
+        more=cells_cte(M_LARGE) + ", part AS (SELECT * FROM cells WHERE split < 4)"
+        + vocab_cte("sorted", "part"),
+    ),
+)
+def vocab_apply_batch_files_large(spark, sf):
+    """Values below 2**29, nothing broadcast but heavy keys."""
+    source, target = new_path(spark, "batch-in"), new_path(spark, "batch-out")
+    rows = reduced(spark, sf, M_LARGE)
+    fitted = V.fit_vocabulary(rows.where("split < 4"), SPARSE, "sorted")
+    rows.withColumn("file", F.col("split") % 4).write.partitionBy("file").parquet(source)
+    V.apply_to_files(
+        spark.read.parquet(source), SPARSE, fitted, target, ["file", "row_id"], broadcast_rows=0
+    )
+    return spark.read.parquet(target).select("file", "feature", "row_id", "idx")
+
+
+@query(
+    "vocab_load_text",
+    "WITH counted AS (SELECT event_type AS value, count(*) AS cnt FROM events WHERE event_type IS NOT NULL "
+    "GROUP BY 1), voc AS (SELECT value, row_number() over (order by cnt desc, value desc) - 1 AS idx "
+    "FROM counted) SELECT event_id, idx AS event_type FROM events e LEFT JOIN voc v ON e.event_type = v.value",
+)
+def vocab_load_text(spark, sf):
+    """A vocabulary of text values, kept and read back."""
+    events = table(spark, sf, "events").select("event_id", "event_type")
+    path = new_path(spark, "kept-vocabulary")
+    sinks.write_vocabulary(V.fit_vocabulary(events, ["event_type"]), path)
+    loaded = sinks.read_vocabulary(spark, path)
+    return V.CategorifyModel(loaded, ["event_type"], "null").transform(events)

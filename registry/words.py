@@ -478,16 +478,15 @@ def hash_max_collisions(spark, sf):
     return hashtable.most_collided(hashtable.collision_histogram(all_words(spark, sf), fnv, SMALL_BITS))
 
 
-ENTRY_SMALL = f"((h // {2**SMALL_BITS}) * {2**SMALL_BITS} + idx % {2**SMALL_BITS})"
 SLOTS = (
     f"{hashed(XOR)}, slots AS (SELECT word, h, {low(SMALL_BITS)} AS bucket, idx, "
-    f"{signed(ENTRY_SMALL)} AS entry, row_number() over (partition by {low(SMALL_BITS)} order by idx) "
+    f"{signed(ENTRY)} AS entry, row_number() over (partition by {low(SMALL_BITS)} order by idx) "
     "- 1 AS slot FROM hashed)"
 )
 
 
 def entries(spark, sf, bits=SMALL_BITS) -> DataFrame:
-    return hashtable.entries(all_words(spark, sf), H.xor_rotate_hash, bits)
+    return hashtable.entries(all_words(spark, sf), H.xor_rotate_hash, bits=bits)
 
 
 @query("bucket_slot", f"WITH {SLOTS} SELECT bucket, idx, entry, slot FROM slots WHERE slot < 20")
@@ -511,8 +510,9 @@ def build_hash_table(spark, sf):
     "cast(t.idx % 16777216 as bigint) AS found_idx FROM hashed p LEFT JOIN hashed t ON p.h = t.h",
 )
 def hash_table_probe(spark, sf):
-    words = all_words(spark, sf)
-    built = store(
-        hashtable.build_hash_table(hashtable.entries(words, H.xor_rotate_hash)), "hash-table"
-    )
-    return hashtable.probe(words, built, H.xor_rotate_hash)
+    """What a hash table is for is one join on the hash here."""
+    h = H.xor_rotate_hash(F.col("word"))
+    hashed = all_words(spark, sf).withColumn("h", h)
+    known = hashed.select("h", F.col("idx").alias("found_idx"))
+    bucket = H.low_bits(F.col("h"), 24).alias("bucket")
+    return hashed.join(known, "h", "left").select("word", bucket, "found_idx")

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickloom.plans import jobs
+from clickloom.spec import FeatureSpec
 from clickloom.functions import dense as D
 from clickloom.functions import sparse as S
 from clickloom.functions.rows import row_to_tsv
@@ -55,13 +57,51 @@ def test_hex_to_int(spark, value, expected):
     assert one(spark, S.hex_to_int, value) == expected
 
 
-@pytest.mark.parametrize("value", ["zz", "1g", "g1", "", " 1", "-1", "0x1", "1.0", "1234567890abcdef0", None])
+@pytest.mark.parametrize("value", ["zz", "1g", "g1", "", " 1", "-1", "0x1", "1.0", "1234567890abcdef1234g", None])
 def test_bad_hex(spark, value):
     assert one(spark, lambda c: S.hex_mod_lenient(c, 8192), value) == 0
     with pytest.raises(Exception, match="not hexadecimal"):
         one(spark, S.hex_to_int, value)
 
 
+LONG = ["0", "00000000000000ff", "ffffffffffffffff", "7fffffffffffffff", "0" * 40 + "1f", "123456789abcdef0123456789abcde", "f" * 61]
+
+
+@pytest.mark.parametrize("value", LONG)
+@pytest.mark.parametrize("m", [5, 8192, 2**29, 2**40])
+def test_hex_of_any_length(spark, value, m):
+    assert one(spark, lambda c: S.hex_mod(c, m), value) == int(value, 16) % m
+    assert one(spark, lambda c: S.hex_mod_lenient(c, m), value) == int(value, 16) % m
+
+
+@pytest.mark.parametrize("value", LONG)
+def test_whole_hex(spark, value):
+    wrapped = (int(value, 16) + 2**31) % 2**32 - 2**31
+    assert one(spark, S.hex_wrap_int32, value) == wrapped
+    if int(value, 16) < 2**63:
+        assert one(spark, S.hex_to_int, value) == int(value, 16)
+    else:
+        with pytest.raises(Exception, match="too large"):
+            one(spark, S.hex_to_int, value)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_strict_without_ansi(spark, ansi):
+    """Dense text and labels that cannot be read fail under both settings."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        spec = FeatureSpec.from_counts(1, 1)
+        for row, what in ((("x", "1", "a"), "label"), (("1", "abc", "a"), "dense value"), (("1", "2", "g"), "hexadecimal")):
+            df = spark.createDataFrame([row], "col_0 string, col_1 string, col_2 string")
+            with pytest.raises(Exception, match=what):
+                jobs.preprocess(df, spec, 8192).collect()
+        df = spark.createDataFrame([(None, None, None)], "col_0 string, col_1 string, col_2 string")
+        assert tuple(jobs.preprocess(df, spec, 8192).first()) == (None, 0.0, 0)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_integers_are_not_read_as_hex(spark):
     assert one(spark, lambda c: S.hex_mod(c, 8192, T.LongType()), 10000, "bigint") == 10000 % 8192
 

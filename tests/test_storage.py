@@ -11,7 +11,7 @@ from clickloom.functions.rows import row_to_tsv
 from clickloom.plans import jobs
 from clickloom.sinks import files as sinks
 from clickloom.sources import clicklog, generate, records, tfrecord, text
-from clickloom.spec import STANDARD, FeatureSpec
+from clickloom.spec import STANDARD, WIDE, FeatureSpec
 
 
 class Session:
@@ -134,6 +134,54 @@ def test_tfrecord_round_trip(spark, tmp_path):
     assert sorted(bytes(r["payload"]) for r in back.collect()) == sorted(payloads)
 
 
+def test_jobs_append_and_unfinished_ones_are_no_data(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id AS f_0", "id * 2 AS f_1")
+    for _ in range(2):
+        records.write_records(rows, str(tmp_path))
+    read = lambda: records.read_records(spark, str(tmp_path), fields=2)
+    assert read().count() == 200
+    parts = list(tmp_path.glob("part-*.bin"))
+    # A retried task's first attempt, a job that never ended, and hidden files.
+    job = parts[0].name.split("-")[1]
+    (tmp_path / f"part-{job}-{'0' * 32}.bin").write_bytes(parts[0].read_bytes())
+    (tmp_path / f"part-{'1' * 32}-{'2' * 32}.bin").write_bytes(parts[0].read_bytes())
+    (tmp_path / "_staging-x").mkdir()
+    (tmp_path / "_staging-x" / "data.bin").write_bytes(parts[0].read_bytes())
+    (tmp_path / ".hidden.bin").write_bytes(parts[0].read_bytes())
+    assert read().count() == 200
+    (tmp_path / "foreign.bin").write_bytes(np.arange(4, dtype="<u4").tobytes())
+    assert read().count() == 202
+
+
+def test_failed_job_leaves_nothing(spark, tmp_path):
+    bad = spark.range(100, numPartitions=4).selectExpr("id AS f_0", "if(id = 99, raise_error('no'), id) AS f_1")
+    with pytest.raises(Exception, match="no"):
+        records.write_records(bad, str(tmp_path / "x"))
+    assert not list((tmp_path / "x").glob("part-*")) if (tmp_path / "x").exists() else True
+
+
+def test_wide_records(spark, tmp_path):
+    write_binary(tmp_path / "a.bin", 5, fields=8)
+    spec = FeatureSpec.from_counts(4, 3)
+    with pytest.raises(ValueError, match="do not fit"):
+        records.read_columns(spark, str(tmp_path), ["col_1"], spec, 8)
+    with pytest.raises(ValueError, match="do not fit"):
+        records.read_columns(spark, str(tmp_path), ["col_1"], WIDE)
+
+
+def test_damaged_payload_fails(spark, tmp_path):
+    df = spark.createDataFrame([(b"x" * 500, None)], "payload binary, payload_crc bigint")
+    tfrecord.write_tfrecords(df.coalesce(1), str(tmp_path / "t"))
+    (part,) = (tmp_path / "t").glob("part-*")
+    raw = bytearray(part.read_bytes())
+    raw[200] ^= 1
+    part.write_bytes(raw)
+    for work in (lambda: tfrecord.read_tfrecords(spark, str(tmp_path / "t")).collect(),
+                 lambda: sinks.reshard_tfrecords(spark, str(tmp_path / "t"), str(tmp_path / "u"), 1)):
+        with pytest.raises(Exception, match="does not have its checksum"):
+            work()
+
+
 def test_broken_tfrecord_fails(spark, tmp_path):
     (tmp_path / "x.tfrecord").write_bytes(struct.pack("<QI", 5, 1) + b"12345" + b"0000")
     with pytest.raises(Exception, match="broken record length"):
@@ -173,8 +221,10 @@ def test_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("line one\nline two\n", encoding="utf-8")
     (tmp_path / "b.txt").write_text("é", encoding="utf-8")
     (tmp_path / "c.md").write_text("no", encoding="utf-8")
+    (tmp_path / "x y" / "k=1").mkdir(parents=True)
+    (tmp_path / "x y" / "k=1" / "a.txt").write_text("other", encoding="utf-8")
     found = {r["doc_id"]: r["text"] for r in text.read_documents(spark, str(tmp_path)).collect()}
-    assert found == {"a.txt": "line one\nline two\n", "b.txt": "é"}
+    assert found == {"a.txt": "line one\nline two\n", "b.txt": "é", "x y/k=1/a.txt": "other"}
 
 
 @pytest.mark.parametrize("sparse", ["hex", "int64"])
@@ -202,3 +252,7 @@ def test_two_pass_job(spark, tmp_path):
     lines = sorted(r[0] for r in spark.read.text(paths[2]).collect())
     assert [line.split("\t")[2] for line in lines] == ["0", "1", "0"]
     assert lines[0].split("\t")[1] == "0.0"
+    rows = spark.read.csv(paths[0], sep="\t", schema="col_0 string, col_1 string, col_2 string")
+    jobs.two_pass_vocabulary(spark, rows, paths[1] + "-2", spec, 8192)
+    jobs.two_pass_apply(spark, rows, paths[1] + "-2", paths[2] + "-2", spec, 8192, kind="parquet", broadcast_rows=0)
+    assert sorted(r["col_2"] for r in spark.read.parquet(paths[2] + "-2").collect()) == [0, 0, 1]

@@ -93,7 +93,7 @@ def test_bits_and_entries(spark):
 def test_hash_table(spark, monkeypatch):
     """One bucket for a third of the words; rows of a bucket hold few entries."""
     monkeypatch.setattr(hashtable, "CHUNK", 16)
-    words = [f"w{i}" for i in range(300)]
+    words = [f"w{i}" for i in range(250)]
     df = spark.createDataFrame(list(enumerate(words)), "idx bigint, word string")
 
     def crowded(c):
@@ -102,13 +102,48 @@ def test_hash_table(spark, monkeypatch):
 
     table = hashtable.build_hash_table(hashtable.entries(df, crowded, 8))
     assert table.agg(F.max(F.size("entries"))).first()[0] <= 16
-    assert table.agg(F.sum(F.size("entries"))).first()[0] == 300
+    assert table.agg(F.sum(F.size("entries"))).first()[0] == 250
     found = hashtable.probe(df, table, crowded, 8)
     assert {r["word"] for r in found.collect() if r["found_idx"] is not None} == set(words)
     unknown = spark.createDataFrame([("nowhere",)], "word string")
     assert hashtable.probe(unknown, table, H.xor_rotate_hash, 8).first()["found_idx"] is None
 
 
+def test_an_index_must_fit(spark):
+    df = spark.createDataFrame([(1 << 24, "w")], "idx bigint, word string")
+    with pytest.raises(Exception, match="does not fit"):
+        hashtable.entries(df, H.xor_rotate_hash).collect()
+
+
+@pytest.mark.parametrize("vec", [None, [1.0]])
+def test_many_words_are_not_broadcast(spark, vec):
+    """Rows and text count, also without vectors."""
+    words = spark.range(800_000).selectExpr("concat('a long word number ', id) AS word", "id AS idx")
+    words = words.withColumn("vec", F.lit(vec).cast("array<float>"))
+    docs = spark.createDataFrame([(1, "the cat")], "doc_id bigint, text string")
+    plan = E.lookup_words(docs, words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast)  Relation" not in plan and "_hot" in plan
+
+
+TOKENS = [
+    ("and/or", "and/or"), ("a=b+c", "a=b+c"), ("~user", "~user"), ("x^2", "x^2"), ("a|b", "a|b"), ("c:\\d", "c : \\d"),
+    ("see http://a.b/c?d=e now", "see http : //a.b/c ? d=e now"), ("mail me@x.org", "mail me @ x.org"),
+    ("cannot", "can not"), ("Cannot go", "Can not go"), ("I'm gonna", "I 'm gon na"), ("wanna, gotta", "wan na , got ta"),
+    ("gimme lemme", "gim me lem me"), ("cannots", "cannots"), ("scannot", "scannot"),
+    ("don't", "do n't"), ("they'll've", "they'll 've"), ("we're here", "we 're here"), ("John's", "John 's"),
+    ("1,000 men", "1,000 men"), ("a, b", "a , b"), ("10:30", "10:30"), ("so: yes", "so : yes"), ("wait...", "wait ..."),
+    ("end.", "end ."), ("Mr. x", "Mr. x"), ("one. Two", "one . Two"), ("(a)", "( a )"), ("[b]", "[ b ]"), ("{c}", "{ c }"),
+    ("a--b", "a -- b"), ("well-known", "well-known"), ("50%", "50 %"), ("$5", "$ 5"), ("#tag", "# tag"), ("A&B", "A & B"),
+    ("why?", "why ?"), ("no!", "no !"), ("a; b", "a ; b"), ('"q"', '" q "'), ("«q»", "« q »"), ("3.14", "3.14"), ("", ""),
+]
+
+
+def test_tokens_by_hand(spark):
+    df = spark.createDataFrame([(a,) for a, _ in TOKENS], "text string")
+    found = {r[0]: " ".join(r[1]) for r in df.select("text", X.tokenize(F.col("text"))).collect()}
+    assert found == dict(TOKENS)
+
+
 def test_most_collided_keeps_ties(spark):
     histogram = spark.createDataFrame([(1, 4), (2, 4), (3, 1)], "h bigint, n bigint")
     assert {r["h"] for r in hashtable.most_collided(histogram).collect()} == {1, 2}
@@ -138,7 +173,7 @@ def test_pad_vector(spark):
 
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_lookup_order_and_batches(spark, limit, monkeypatch):
-    monkeypatch.setattr(E, "BROADCAST_FLOATS", limit)
+    monkeypatch.setattr(E, "BROADCAST_BYTES", limit)
     text = " ".join(["the"] * 40 + ["odd", "cat", "odd", "the", "cat"])
     docs = spark.createDataFrame([(1, text), (2, ""), (3, "dog the")], "doc_id bigint, text string")
     words = spark.createDataFrame(

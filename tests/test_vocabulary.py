@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import numbering
 from clickloom.operators import vocabulary as V
+from clickloom.sinks import files as sinks
 from clickloom.operators.lookup import skewed_lookup
 
 FEATURES = ["a", "b"]
@@ -80,10 +81,23 @@ def test_apply_is_the_same_by_broadcast_and_by_shuffle(table, budget):
     assert sorted(map(tuple, out.collect())) == expected
 
 
-def test_large_vocabulary_without_row_key_is_refused(table):
-    vocabulary = V.fit_vocabulary(table, FEATURES)
-    with pytest.raises(ValueError, match="row_key"):
-        V.apply_vocabulary(table, FEATURES, vocabulary, broadcast_rows=0)
+def test_large_vocabulary_needs_no_row_key(table):
+    known = python_vocabulary("sorted")
+    vocabulary = V.fit_vocabulary(table, FEATURES, "sorted")
+    doubled = table.unionByName(table)  # repeated rows stay repeated
+    out = V.apply_vocabulary(doubled, FEATURES, vocabulary, "null", broadcast_rows=0)
+    assert out.columns == table.columns
+    expected = [(i, known["a"][a], None if b is None else known["b"][b]) for i, a, b in rows()]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, expected * 2))
+
+
+def test_text_vocabulary_is_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("x", "1"), ("y", "1"), ("x", None)], "a string, b string")
+    fitted = V.fit_vocabulary(df, ["a", "b"])
+    sinks.write_vocabulary(fitted, str(tmp_path / "v"))
+    back = sinks.read_vocabulary(spark, str(tmp_path / "v"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, fitted.collect()))
+    assert dict(back.dtypes)["value"] == "string"
 
 
 def test_unseen(spark, table):
