@@ -30,40 +30,55 @@ def uniform(seed: int | str, *keys: Column) -> Column:
     return draw(seed, *keys).cast("double") / F.lit(float(DRAW_RANGE))
 
 
-# Multiplier and prime modulus of the "minimal standard"
-# multiplicative generator.
-LEHMER_MULTIPLIER = 16807
-LEHMER_MODULUS = 2**31 - 1
+# Modulus and multiplier of the two multiplicative generators that
+# L'Ecuyer combines (1988).
+GENERATORS = ((2147483563, 40014), (2147483399, 40692))
 
 
-def lehmer_steps(dim: int) -> list[tuple[int, int]]:
-    """Two factors per component: multiplier**(2i+1) and **(2i+2) mod modulus."""
-    powers = [pow(LEHMER_MULTIPLIER, k, LEHMER_MODULUS) for k in range(1, 2 * dim + 1)]
-    return list(zip(powers[::2], powers[1::2]))
+def generator_steps(dim: int) -> list[tuple[int, int, int, int]]:
+    """Per component: the factors of its two numbers, in either generator."""
+
+    def powers(modulus: int, multiplier: int) -> list[int]:
+        return [pow(multiplier, k, modulus) for k in range(1, 2 * dim + 1)]
+
+    first, second = (powers(m, a) for m, a in GENERATORS)
+    return list(zip(first[::2], second[::2], first[1::2], second[1::2]))
 
 
 def gaussian_vector(seed: int | str, dim: int, *keys: Column) -> Column:
-    """``dim`` standard normal FLOATs from one draw per row.
+    """``dim`` standard normal FLOATs from one digest per row.
 
-    The draw starts a multiplicative sequence; each component takes two of its
-    numbers through the polar form.
+    The two halves of the digest start two multiplicative sequences, together
+    2**62 ways; each component takes two of their combined numbers through the
+    polar form.
     """
-    scale = F.lit(float(LEHMER_MODULUS))
+    (m1, _), (m2, _) = GENERATORS
+    names = ("a1", "a2", "b1", "b2")
     steps = F.array(
         *[
-            F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
-            for a, b in lehmer_steps(dim)
+            F.struct(*[F.lit(x).cast("bigint").alias(n) for n, x in zip(names, step)])
+            for step in generator_steps(dim)
         ]
     )
 
+    def uniform_of(start: Column, first: Column, second: Column) -> Column:
+        z = F.pmod(start["s1"] * first % m1 - start["s2"] * second % m2, F.lit(m1 - 1))
+        return F.when(z == 0, F.lit(m1 - 1)).otherwise(z).cast("double") / F.lit(float(m1))
+
     def component(start: Column, step: Column) -> Column:
-        u = (start * step["a"] % LEHMER_MODULUS).cast("double") / scale
-        v = (start * step["b"] % LEHMER_MODULUS).cast("double") / scale
-        radius = F.sqrt(F.lit(-2.0) * F.ln(u))
-        return (radius * F.cos(F.lit(2.0) * F.pi() * v)).cast("float")
-
-    start = draw(seed, *keys) % (LEHMER_MODULUS - 1) + 1
-    # The outer transform binds the draw once; inlined, it would be drawn again
-    # for every component.
-    one = F.transform(F.array(start), lambda s: F.transform(steps, lambda t: component(s, t)))
-    return F.get(one, F.lit(0))
+        radius = F.sqrt(F.lit(-2.0) * F.ln(uniform_of(start, step["a1"], step["a2"])))
+        turn = uniform_of(start, step["b1"], step["b2"])
+        return (radius * F.cos(F.lit(2.0) * F.pi() * turn)).cast("float")
+
+    def half(digits: Column, at: int, modulus: int) -> Column:
+        return F.conv(F.substring(digits, at, _DRAW_DIGITS), 16, 10).cast("bigint") % (modulus - 1) + 1
+
+    drawn = digest(seed, *keys)
+    # The outer transforms bind the digest and the starts once; inlined, they would be computed
+    # again for every component.
+    one = F.transform(
+        F.array(drawn),
+        lambda d: F.struct(half(d, 1, m1).alias("s1"), half(d, 17, m2).alias("s2")),
+    )
+    vectors = F.transform(one, lambda s: F.transform(steps, lambda t: component(s, t)))
+    return F.get(vectors, F.lit(0))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions.draws import gaussian_vector
 from clickloom.functions.text import preprocess_text
@@ -21,16 +27,26 @@ def token_rows(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _table_bytes(words: DataFrame) -> Column:
+    floats = F.greatest(F.coalesce(F.size("vec"), F.lit(0)), F.lit(0))
+    row = F.lit(64) + F.coalesce(F.octet_length("word"), F.lit(0)) + 4 * floats
+    return F.coalesce(F.sum(row.cast("bigint")), F.lit(0))
+
+
+def fits_broadcast(words: DataFrame, dim: int | None = None) -> bool:
+    """Whether the word table may be broadcast; with ``dim``, also whether each vector has it."""
+    odd = F.count_if(~F.coalesce(F.size("vec"), F.lit(-1)).eqNullSafe(F.lit(dim)))
+    found = words.agg(_table_bytes(words).alias("bytes"), odd.alias("odd")).first()
+    return found["bytes"] <= BROADCAST_BYTES and (dim is None or not found["odd"])
+
+
 def lookup_words(
     docs: DataFrame, words: DataFrame, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Tokens with ``idx`` and ``vec`` of their word; NULL when it is unknown."""
     tokens = token_rows(docs, doc, text)
     table = words.withColumnRenamed("word", "token")
-    floats = F.greatest(F.coalesce(F.size("vec"), F.lit(0)), F.lit(0))
-    row = F.lit(64) + F.coalesce(F.octet_length("word"), F.lit(0)) + 4 * floats
-    size = words.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0)).alias("bytes")).first()
-    if size["bytes"] <= BROADCAST_BYTES:
+    if fits_broadcast(words):
         return tokens.join(F.broadcast(table), "token", "left").select(
             doc, "pos", "token", "idx", "vec"
         )
@@ -38,6 +54,61 @@ def lookup_words(
     return skewed_lookup(tokens, table, ["token"], [doc, "pos"], sampled)
 
 
+def lookup_ids(
+    docs: DataFrame, words: DataFrame, doc: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Tokens with the ``idx`` of their word, for a word table that fits a broadcast."""
+    table = F.broadcast(words.select(F.col("word").alias("token"), "idx"))
+    return token_rows(docs, doc, text).join(table, "token", "left").select(doc, "pos", "token", "idx")
+
+
+def attach_vectors(
+    found: DataFrame, words: DataFrame, dim: int, seed: int = 0, size: int = BATCH,
+    doc: str = "doc_id",
+) -> DataFrame:
+    """Vector sequences from token ids: arrays of at most ``size`` vectors in order.
+
+    The matrix of a word table that fits a broadcast goes to every task, where a batch's vectors
+    are picked at once. Unknown tokens get the vectors of ``fill_unknown``.
+    """
+    rows = words.select("idx", "vec").collect()  # at most BROADCAST_BYTES
+    rows.sort(key=lambda r: r[0])
+    ids = np.array([r[0] for r in rows], np.int64)
+    matrix = np.array([r[1] for r in rows], np.float32).reshape(-1, dim)
+    shared = found.sparkSession.sparkContext.broadcast((ids, matrix))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "token", "idx")))
+    grouped = (
+        found.withColumn("batch", F.floor(F.col("pos") / size).cast("bigint"))
+        .groupBy(doc, "batch")
+        .agg(ordered.alias("rows"))
+    )
+    unknown = F.filter("rows", lambda r: r["idx"].isNull())
+    drawn = F.transform(unknown, lambda r: gaussian_vector(seed, dim, F.col(doc), r["pos"]))
+    named = grouped.select(
+        doc, "batch", F.col("rows.token").alias("tokens"), F.col("rows.idx").alias("idx"), drawn.alias("drawn")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        for batch in batches:
+            idx = batch.column(3)
+            flat = idx.flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            vectors = np.empty((len(flat), dim), np.float32)
+            wanted = flat.filter(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+            vectors[known] = matrix[np.searchsorted(ids, wanted)]
+            vectors[~known] = batch.column(4).flatten().flatten().to_numpy().reshape(-1, dim)
+            inner = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(flat) + 1) * dim, pa.int32()), pa.array(vectors.reshape(-1))
+            )
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(idx).to_numpy())])
+            vecs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)
+            yield pa.record_batch([*batch.columns[:3], vecs], [doc, "batch", "tokens", "vecs"])
+
+    vecs = T.StructField("vecs", T.ArrayType(T.ArrayType(T.FloatType())))
+    return named.mapInArrow(run, T.StructType([*named.schema.fields[:3], vecs]))
+
+
 def fill_unknown(looked_up: DataFrame, dim: int, seed: int = 0, doc: str = "doc_id") -> DataFrame:
     """Unknown tokens get a Gaussian vector, fixed by seed, document and position."""
     drawn = gaussian_vector(seed, dim, F.col(doc), F.col("pos"))

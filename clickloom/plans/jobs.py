@@ -172,6 +172,21 @@ def text_to_vectors(
     return embeddings.fill_unknown(found, dim, seed, doc)
 
 
+def text_to_vector_batches(
+    docs: DataFrame, words: DataFrame, dim: int, seed: int = 0, doc: str = "doc_id",
+    size: int = embeddings.BATCH,
+) -> DataFrame:
+    """Documents to arrays of at most ``size`` vectors, one per letter-only token, in order.
+
+    Only ids go through the shuffle that gathers a batch; vectors of a word table of bounded size
+    are attached afterwards.
+    """
+    if embeddings.fits_broadcast(words, dim):
+        found = embeddings.lookup_ids(docs, words, doc)
+        return embeddings.attach_vectors(found, words, dim, seed, size, doc)
+    return embeddings.vector_batches(text_to_vectors(docs, words, dim, seed, doc), size, doc)
+
+
 def typed_parquet(
     spark: SparkSession, source: str, target: str, spec: FeatureSpec, extra: str = "",
     keep: Sequence[str] = (),

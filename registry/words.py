@@ -12,7 +12,7 @@ from clickloom.functions.vectors import pad_vector
 from clickloom.operators import embeddings as E
 from clickloom.operators import hashtable, stats
 from clickloom.operators.numbering import number_rows
-from clickloom.plans.jobs import text_to_vectors
+from clickloom.plans.jobs import text_to_vector_batches
 from clickloom.session import new_path, spread, store, store_counted
 from clickloom.sinks.files import write_padded_vectors
 from clickloom.sources.text import read_word_vectors
@@ -226,24 +226,33 @@ def split_in_out_vocab(spark, sf):
 
 
 def _gauss() -> str:
-    """Gaussian components from ``start``, one for each step of the sequence."""
-    p = draws.LEHMER_MODULUS
-    steps = ", ".join(f"{{'a': {a}, 'b': {b}}}" for a, b in draws.lehmer_steps(DIM))
-    u = f"(cast((start * t.a) % {p} as double) / {float(p)!r}::double)"
-    v = f"(cast((start * t.b) % {p} as double) / {float(p)!r}::double)"
+    """Gaussian components from the two starts, one for each step of the sequences."""
+    (m1, _), (m2, _) = draws.GENERATORS
+    names = ("a1", "a2", "b1", "b2")
+    steps = ", ".join(
+        "{" + ", ".join(f"'{n}': {x}" for n, x in zip(names, step)) + "}"
+        for step in draws.generator_steps(DIM)
+    )
+
+    def uniform(k: str) -> str:
+        z = f"((s1 * t.{k}1 % {m1} - s2 * t.{k}2 % {m2}) % {m1 - 1} + {m1 - 1}) % {m1 - 1}"
+        return f"(cast(coalesce(nullif({z}, 0), {m1 - 1}) as double) / {float(m1)!r}::double)"
+
     return (
-        f"list_transform([{steps}], lambda t: "
-        f"cast(sqrt(-2.0::double * ln({u})) * cos(2.0::double * pi() * {v}) as float))"
+        f"list_transform([{steps}], lambda t: cast(sqrt(-2.0::double * ln({uniform('a')})) "
+        f"* cos(2.0::double * pi() * {uniform('b')}) as float))"
     )
 
 
-START = (
-    "('0x' || substr(md5(concat_ws('|', '17', cast(doc_id as varchar), cast(pos as varchar))), 1, 15))"
-    f"::bigint % {draws.LEHMER_MODULUS - 1} + 1"
-)
+def _start(at: int, modulus: int) -> str:
+    digest = "md5(concat_ws('|', '17', cast(doc_id as varchar), cast(pos as varchar)))"
+    return f"('0x' || substr({digest}, {at}, 15))::bigint % {modulus - 1} + 1"
+
+
 FILLED = (
     f"SELECT doc_id, pos, token, idx, coalesce(vec, {_gauss()}) AS vec FROM "
-    f"(SELECT *, {START} AS start FROM tok LEFT JOIN words ON token = word)"
+    f"(SELECT *, {_start(1, draws.GENERATORS[0][0])} AS s1, {_start(17, draws.GENERATORS[1][0])} AS s2 "
+    "FROM tok LEFT JOIN words ON token = word)"
 )
 
 
@@ -275,8 +284,7 @@ def embedding_batch_order(spark, sf):
     f"cast(sum((pos + 1) * {SUM} % 1000003) as bigint) AS checksum FROM filled GROUP BY ALL",
 )
 def text_to_vectors_(spark, sf):
-    filled = text_to_vectors(docs(spark, sf), word_table(spark, sf), DIM, seed=17)
-    batches = E.vector_batches(filled)
+    batches = text_to_vector_batches(docs(spark, sf), word_table(spark, sf), DIM, seed=17)
     total = lambda vec: F.aggregate(vec, F.lit(0).cast("bigint"), lambda a, v: a + micro(v))
     weighted = F.transform(
         "vecs", lambda vec, i: (F.col("batch") * 512 + i + 1) * total(vec) % 1000003

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from clickloom.operators import embeddings as E
 from clickloom.operators import vocabulary as V
 from clickloom.plans import jobs
 from clickloom.sources import clicklog
@@ -59,3 +60,15 @@ def test_no_cross_joins(spark, tmp_path):
     out = V.apply_vocabulary(df, SPEC.sparse, vocabulary, row_key="row_id", broadcast_rows=0)
     text = plan(out)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_vectors_do_not_go_through_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "the odd cat"), (2, None), (3, "")], "doc_id bigint, text string")
+    words = spark.createDataFrame(
+        [("the", 5, [1.0, 2.0]), ("cat", 2, [3.0, 4.0])], "word string, idx bigint, vec array<float>"
+    )
+    out = jobs.text_to_vector_batches(docs, words, 2, seed=4, size=2)
+    for line in plan(out).splitlines():
+        assert "Exchange" not in line or "vec" not in line
+    filled = jobs.text_to_vectors(docs, words, 2, seed=4)
+    assert sorted(out.collect()) == sorted(E.vector_batches(filled, 2).collect())

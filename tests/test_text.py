@@ -161,6 +161,13 @@ def test_gaussian_vectors(spark):
     assert max(abs(statistics.correlation(columns[0], c)) for c in columns[1:]) < 0.25
 
 
+def test_vectors_differ(spark):
+    """A million draws are a million starts, so their vectors differ."""
+    first = F.slice(draws.gaussian_vector(3, 3, F.col("id")), 1, 3)
+    n = 200_000
+    assert spark.range(n).select(first.alias("v")).distinct().count() == n
+
+
 def test_uniform_draws(spark):
     found = [r[0] for r in spark.range(2000).select(draws.uniform(3, F.col("id"))).collect()]
     assert 0 <= min(found) and max(found) < 1 and abs(statistics.mean(found) - 0.5) < 0.03
