@@ -19,7 +19,7 @@ from clickloom.operators.vocabulary import (
     apply_vocabulary,
     fit_vocabulary,
 )
-from clickloom.session import tune
+from clickloom.session import new_path, tune
 from clickloom.sinks import files as sinks
 from clickloom.sources.clicklog import read_tsv
 from clickloom.spec import FeatureSpec
@@ -136,32 +136,65 @@ def prepare_days(
     randomize: str = "none",
     holdout: bool = True,
     seed: int = 0,
+    split: str | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Raw rows to training rows by day.
 
-    Cuts the rows into ``days`` blocks, drops negatives, prepares and encodes
-    the columns in order of first appearance, and orders each day's rows:
-    ``randomize`` is ``none``, ``day`` (inside each day) or ``total`` (across
-    days). With ``holdout`` the last day keeps its rows in their first order.
+    Cuts the rows into ``days`` blocks, or takes the day from column ``split``
+    (0 to ``days - 1``, as ``with_split_from_file`` gives it). Drops negatives,
+    prepares and encodes the columns in order of first appearance, and orders
+    each day's rows: ``randomize`` is ``none``, ``day`` (inside each day) or
+    ``total`` (across days). With ``holdout`` the last day keeps its rows in
+    their first order.
+
+    Prepared rows are kept once; only keys are sorted and numbered, and wide
+    rows move once, to their place. With ``folder`` every stage is kept there,
+    the result by day, and a stage that is finished is not run again.
     """
-    blocks = splits.split_contiguous(df, row_key, days)
-    kept = subsample_negatives(
-        blocks.withColumn(spec.label, D.label_int(quoted(spec.label))),
-        spec.label,
-        negatives_rate,
-        row_key,
-        seed,
-    )
-    encoded = preprocess_with_vocabulary(
-        kept, spec, modulus, [row_key, "split"], order="first_seen", row_key=row_key
-    )
-    last = days - 1 if holdout else None
-    if randomize == "total":
-        dealt = splits.shuffle_into_splits(encoded, "split", row_key, last, seed)
-        return dealt.drop("split").withColumnRenamed("bucket", "split")
-    if randomize == "day":
-        return splits.shuffle_within_split(encoded, "split", row_key, seed, last)
-    return splits.number_rows(encoded, [F.col(row_key)], within=["split"], name="slot")
+    if randomize not in ("none", "day", "total"):
+        raise ValueError(f"randomize must be none, day or total, not {randomize!r}")
+    spark = df.sparkSession
+    kept_in = folder or new_path(spark, "days")
+
+    def prepared() -> DataFrame:
+        if split is None:
+            blocks = splits.split_contiguous(df, row_key, days)
+        else:
+            blocks = df.withColumn("split", F.col(split).cast("int"))
+        labelled = blocks.withColumn(spec.label, D.label_int(quoted(spec.label)))
+        kept = subsample_negatives(labelled, spec.label, negatives_rate, row_key, seed)
+        return preprocess(kept, spec, modulus, [row_key, "split"])
+
+    rows = sinks.write_if_absent(spark, f"{kept_in}/prepared", prepared)
+
+    def vocabulary() -> DataFrame:
+        return fit_vocabulary(rows, spec.sparse, "first_seen", row_key)
+
+    known = sinks.write_if_absent(spark, f"{kept_in}/vocabulary", vocabulary)
+
+    def ordered() -> DataFrame:
+        narrow = rows.select(row_key, "split")
+        last = days - 1 if holdout else None
+        if randomize == "total":
+            dealt = splits.shuffle_into_splits(narrow, "split", row_key, last, seed)
+            places = dealt.select(row_key, F.col("bucket").alias("split"), "slot")
+        elif randomize == "day":
+            places = splits.shuffle_within_split(narrow, "split", row_key, seed, last)
+        else:
+            places = splits.number_rows(narrow, [F.col(row_key)], within=["split"], name="slot")
+        encoded = apply_vocabulary(rows.drop("split"), spec.sparse, known, "oov", row_key=row_key)
+        joined = encoded.join(places, row_key)
+        return joined.select(
+            row_key, "split", *[quoted(c) for c in encoded.columns if c != row_key], "slot"
+        )
+
+    if folder is None:
+        return ordered()
+    target = f"{folder}/days"
+    if not sinks.exists(spark, target):
+        sinks.write_splits(ordered(), target)
+    return spark.read.parquet(target)
 
 
 def text_to_vectors(

@@ -8,7 +8,7 @@ from clickloom.functions import dense as D
 from clickloom.functions import sparse as S
 from clickloom.plans import jobs, timing
 from clickloom.session import new_path
-from clickloom.sources.clicklog import read_tsv
+from clickloom.sources.clicklog import read_tsv, with_split_from_file
 from clickloom.spec import STANDARD, WIDE, FeatureSpec
 from registry.base import (
     DENSE, M, M_LARGE, ROW, SPARSE, SPLITS, cells_sql, clicklog, clip_log, draw_sql, fill,
@@ -148,6 +148,51 @@ def day_job_shuffled(spark, sf):
     return rounded(out, DENSE)
 
 
+def _total_sql() -> str:
+    """One random order of all days but the last, cut at the sizes of the days."""
+    body = encoded_sql("first_seen", rows="kept", more=DAYS)
+    head, tail = body.split(" SELECT d.*, e.*", 1)
+    return (
+        f"{head} SELECT x.* EXCLUDE (pos) REPLACE (coalesce(b.split, x.split) AS split), "
+        "cast(pos - coalesce(b.off, 0) as bigint) AS slot FROM (SELECT *, row_number() over "
+        f"(partition by split = {LAST} order by case when split <> {LAST} then {draw_sql(8, 'row_id')} end, "
+        f"row_id) - 1 AS pos FROM (SELECT d.*, e.*{tail})) x LEFT JOIN (SELECT split, n, sum(n) over "
+        f"(order by split) - n AS off FROM (SELECT split, count(*) AS n FROM kept WHERE split <> {LAST} "
+        f"GROUP BY split)) b ON x.split <> {LAST} AND pos >= b.off AND pos < b.off + b.n"
+    )
+
+
+@query("day_job_total", _total_sql())
+def day_job_total(spark, sf):
+    out = jobs.prepare_days(
+        clicklog(spark, sf).drop("split"), STANDARD, "row_id", SPLITS, M, 0.25, "total", seed=8
+    )
+    return rounded(out, DENSE)
+
+
+FILES = 4
+
+
+@query(
+    "day_job_by_file",
+    day_sql("row_number() over (partition by split order by row_id) - 1").replace(
+        DAYS.split(", kept AS")[0],
+        f", days AS (SELECT * REPLACE (cast(split % {FILES} as integer) AS split) FROM f1)",
+    ),
+)
+def day_job_by_file(spark, sf):
+    """One folder of files per day; the second call finds every stage finished."""
+    path, folder = new_path(spark, "log"), new_path(spark, "days")
+    for k in range(FILES):
+        clicklog(spark, sf).where(F.col("split") % FILES == k).drop("split").write.parquet(f"{path}/day_{k}")
+    log = with_split_from_file(spark.read.parquet(f"{path}/day_*"), r"day_(\d+)")
+    for _ in range(2):
+        out = jobs.prepare_days(
+            log, STANDARD, "row_id", FILES, M, 0.25, "none", seed=8, split="split", folder=folder
+        )
+    return rounded(out, DENSE)
+
+
 @query(
     "utf8_to_parquet",
     with_f1(
