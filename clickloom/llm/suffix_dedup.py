@@ -14,10 +14,11 @@ occurred before repeats all its strings. A trigger with a single distinct phrase
 compared further: the suffixes of these dictionary phrases of 100 bytes or more are sorted by the
 fingerprint of their first 100 bytes and then by corpus order. In each class the first stays; the
 others are repeats. Only equality of 100 bytes is asked for, so the order of fingerprints serves as
-well as the alphabetical one, and classes deal evenly.
+well as the alphabetical one. The phrases of one trigger meet in one task, as text. A trigger with
+very many of them deals its suffixes by class instead.
 
-Both sorts work in two steps: each task sorts what it has and sends on the first of each class;
-then Spark deals these by class. So a class that holds a third of all rows sends one row a block.
+Sorts work in two steps: each task sorts what it has and sends on the first of each class; then
+Spark deals these by class. So a class that holds a third of all rows sends one row a block.
 """
 
 from __future__ import annotations
@@ -159,7 +160,7 @@ def _sorted_phrases(parts: list[tuple]) -> pa.RecordBatch:
 
     Of equal phrases the first is sent; the others are repeats already. Of different phrases with
     one trigger the first stands for the trigger, the others are conflicts already. What is settled
-    is dealt at random.
+    is dealt at random, and has its trigger in ``b``.
     """
     trigger, whole, doc, uid, low, count = (np.concatenate(p) for p in zip(*parts, strict=True))
     order, inner, outer = _first_of_each(trigger, whole, doc, uid, low)
@@ -168,8 +169,10 @@ def _sorted_phrases(parts: list[tuple]) -> pa.RecordBatch:
     kind = np.where(inner, np.where(several, np.where(outer, _KNOWN, _CONFLICT), _CANDIDATE), _REPEAT)
     doc, uid, low, count = doc[order], uid[order], low[order], count[order]
     settled = kind >= _REPEAT
-    a = np.where(settled, mixed(mixed(uid.view(np.uint64)) + low.astype(np.uint64)), trigger[order])
-    return _batch(PHRASE, a.view(np.int64), whole[order].view(np.int64), doc, uid, _packed(low, count, kind))
+    trigger = trigger[order]
+    a = np.where(settled, mixed(mixed(uid.view(np.uint64)) + low.astype(np.uint64)), trigger)
+    b = np.where(settled, trigger, whole[order])
+    return _batch(PHRASE, a.view(np.int64), b.view(np.int64), doc, uid, _packed(low, count, kind))
 
 
 def phrases(stored: DataFrame) -> DataFrame:
@@ -193,13 +196,20 @@ def phrases(stored: DataFrame) -> DataFrame:
     return stored.select("uid", "doc", "text").mapInArrow(run, _PHRASE_DDL)
 
 
-MARK = ("uid", "doc", "low", "count", "conflict")
-_MARK_DDL = "uid long, doc long, low long, count long, conflict boolean"
+MARK = ("uid", "low", "count", "conflict")
+_MARK_DDL = "uid long, low long, count long, conflict long"
+
+
+def _marked(uid, low, count, trigger, repeat) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(c)) for c in (uid, low, count)]
+    return pa.record_batch([*columns, pa.array(trigger, mask=repeat)], list(MARK))
 
 
 def marks(dealt: DataFrame) -> DataFrame:
     """Repeats and conflicts of the dictionary: runs of starts ``low`` to ``low + count - 1``.
 
+    ``conflict`` is the trigger of a conflict and null in a repeat.
+
     Rows come in order of trigger, phrase and corpus; only the last row of a batch can wait for
     the next one, so memory does not depend on the size of a class.
     """
@@ -233,10 +243,11 @@ def marks(dealt: DataFrame) -> DataFrame:
             repeat = (~inner & ~settled) | (kind == _REPEAT)
             live |= kind == _CONFLICT
             take = live | repeat
-            yield _batch(MARK, uid[take], doc[take], low[take], count[take], live[take])
+            trigger = np.where(kind == _CONFLICT, b, a)
+            yield _marked(uid[take], low[take], count[take], trigger[take], ~live[take])
             if waiting is not None:
                 if goes_on and conflict[0]:
-                    yield _batch(MARK, *waiting)
+                    yield _marked(*waiting)
                     waiting = None
                 elif not goes_on or runs > 1:
                     waiting = None
@@ -245,13 +256,8 @@ def marks(dealt: DataFrame) -> DataFrame:
             if not torn and (final > 0 or not goes_on):
                 i = int(np.flatnonzero(run == final)[0])
                 if not settled[i]:
-                    waiting = tuple(
-                        np.array([v], k)
-                        for v, k in (
-                            (uid[i], np.int64), (doc[i], np.int64), (low[i], np.int64),
-                            (count[i], np.int64), (True, np.bool_),
-                        )
-                    )
+                    here = slice(i, i + 1)
+                    waiting = uid[here], low[here], count[here], a[here], np.zeros(1, bool)
             last_a, last_b = a[-1], b[-1]
 
     ordered = dealt.repartition("a").sortWithinPartitions(*PHRASE)
@@ -259,7 +265,9 @@ def marks(dealt: DataFrame) -> DataFrame:
 
 
 SUFFIX = ("a", "b", "doc", "uid", "low")
-_SUFFIX_DDL = ", ".join(f"{c} long" for c in SUFFIX)
+_SUFFIX_DDL = ", ".join(f"{c} long" for c in SUFFIX) + ", phrase binary"
+#: Conflicts of one trigger that one task compares; more are dealt suffix by suffix.
+TOGETHER = 256
 
 
 def _sorted_suffixes(parts: list[tuple]) -> pa.RecordBatch:
@@ -269,22 +277,34 @@ def _sorted_suffixes(parts: list[tuple]) -> pa.RecordBatch:
     doc, uid, low = doc[order], uid[order], low[order]
     spread = mixed(mixed(uid.view(np.uint64)) + low.astype(np.uint64))
     a = np.where(inner, a[order], spread)
-    return _batch(SUFFIX, a.view(np.int64), b[order].view(np.int64), doc, uid, np.where(inner, low, ~low))
+    columns = (a.view(np.int64), b[order].view(np.int64), doc, uid, np.where(inner, low, ~low))
+    columns = [pa.array(np.ascontiguousarray(c)) for c in columns]
+    return pa.record_batch([*columns, pa.nulls(len(a), pa.binary())], [*SUFFIX, "phrase"])
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
-    """Suffixes of the conflicting phrases, from ``uid, doc, text, lows, counts``."""
+    """Conflicts to compare, from ``uid, doc, text`` and lists ``lows, counts, triggers, many``.
+
+    A conflict goes whole to where its trigger's others go. Of triggers with ``many`` conflicts,
+    each suffix goes to where its equals go.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch, found in texts_of(batches):
             uid = batch.column(0).to_numpy()
             doc = batch.column(1).to_numpy()
-            lows, counts = batch.column(3), batch.column(4)
+            whole: list[tuple] = []
             for i, text in enumerate(found):
                 coded = text.encode()
-                low = lows[i].values.to_numpy(zero_copy_only=False)
-                count = counts[i].values.to_numpy(zero_copy_only=False)
+                low, count, trigger, many = (
+                    batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(3, 7)
+                )
+                for at, n, t in zip(low[~many].tolist(), count[~many].tolist(), trigger[~many].tolist(), strict=True):
+                    whole.append((t, 0, int(doc[i]), int(uid[i]), at, coded[at : at + n - 1 + LENGTH]))
+                low, count = low[many], count[many]
+                if not len(low):
+                    continue
                 stop = np.cumsum(count)
                 starts = np.repeat(low - np.append(0, stop[:-1]), count) + np.arange(stop[-1])
                 starts.sort()
@@ -299,21 +319,85 @@ def suffixes(texts: DataFrame) -> DataFrame:
                 if held >= BLOCK:
                     yield _sorted_suffixes(parts)
                     parts, held = [], 0
+            if whole:
+                columns = [pa.array(c, pa.int64()) for c in list(zip(*whole, strict=True))[:5]]
+                phrase = pa.array([w[5] for w in whole], pa.binary())
+                yield pa.record_batch([*columns, phrase], [*SUFFIX, "phrase"])
         if parts:
             yield _sorted_suffixes(parts)
 
-    return texts.select("uid", "doc", "text", "lows", "counts").mapInArrow(run, _SUFFIX_DDL)
+    columns = ("uid", "doc", "text", "lows", "counts", "triggers", "many")
+    return texts.select(*columns).mapInArrow(run, _SUFFIX_DDL)
+
+
+def repeats_inside(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase number, start) of every 100-byte string that starts earlier in the list."""
+    texts = [np.frombuffer(p, np.uint8) for p in phrases]
+    row, start, one, two = [], [], [], []
+    at = 0
+    while at < len(texts):  # buffers of at most a segment
+        stop, filled = at, 0
+        while stop < len(texts) and (stop == at or filled + len(texts[stop]) <= SEGMENT):
+            filled += len(texts[stop])
+            stop += 1
+        sizes = np.array([len(t) for t in texts[at:stop]])
+        begin = np.cumsum(sizes) - sizes
+        counts = sizes - LENGTH + 1
+        own = np.repeat(np.arange(len(sizes)), counts)
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        buffer = np.concatenate(texts[at:stop])
+        low = begin[own] + place
+        row.append(own + at)
+        start.append(place)
+        one.append(Rolling(buffer, _BASES[0]).windows(low, low + LENGTH))
+        two.append(Rolling(buffer, _BASES[1]).windows(low, low + LENGTH))
+        at = stop
+    row, start, one, two = (np.concatenate(c) for c in (row, start, one, two))
+    order, inner, _ = _first_of_each(one, two, row, start)
+    again = np.sort(order[~inner])
+    return row[again], start[again]
 
 
 def repeated_suffixes(dealt: DataFrame) -> DataFrame:
-    """``uid, low, count``: the suffixes whose class has an earlier one."""
+    """``uid, low, count``: the suffixes whose class has an earlier one.
+
+    Rows come by trigger or class, then in corpus order. The phrases of the last trigger of a batch
+    wait for the next batch: there are few of them, or they would have come suffix by suffix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
+        waiting: list[tuple] = []  # trigger, uid, low, phrase
+
+        def compared(rows: list[tuple]) -> pa.RecordBatch:
+            at, start = repeats_inside([r[3] for r in rows])
+            uid = np.array([r[1] for r in rows], np.int64)[at]
+            low = np.array([r[2] for r in rows], np.int64)[at] + start
+            # Neighbouring starts become one run.
+            first = np.ones(len(uid), bool)
+            first[1:] = (uid[1:] != uid[:-1]) | (low[1:] != low[:-1] + 1)
+            begin = np.flatnonzero(first)
+            count = np.diff(np.append(begin, len(uid)))
+            return _batch(("uid", "low", "count"), uid[begin], low[begin], count)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, _, uid, low = (c.to_numpy() for c in batch.columns)
+            phrase = batch.column(5)
+            whole = phrase.is_valid().to_numpy(zero_copy_only=False)
+            a, b, _, uid, low = (c.to_numpy() for c in batch.columns[:5])
+            if whole.any():
+                rows = phrase.filter(pa.array(whole)).to_pylist()
+                waiting += zip(a[whole].tolist(), uid[whole].tolist(), low[whole].tolist(), rows, strict=True)
+                ready = len(waiting)
+                while ready and waiting[ready - 1][0] == waiting[-1][0]:
+                    ready -= 1
+                if ready:
+                    yield compared(waiting[:ready])
+                    waiting = waiting[ready:]
+            a, b, uid, low = (c[~whole] for c in (a, b, uid, low))
+            if not len(a):
+                continue
             again = np.zeros(len(a), bool)
             again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
             again[0] = last == (a[0], b[0])
@@ -321,11 +405,26 @@ def repeated_suffixes(dealt: DataFrame) -> DataFrame:
             place = np.where(low < 0, ~low, low)
             yield _batch(("uid", "low", "count"), uid[again], place[again], np.ones(again.sum(), np.int64))
             last = (a[-1], b[-1])
+        if waiting:
+            yield compared(waiting)
 
     ordered = dealt.repartition("a", "b").sortWithinPartitions(*SUFFIX)
     return ordered.mapInArrow(run, "uid long, low long, count long")
 
 
+def _torn(found: DataFrame) -> DataFrame:
+    """The conflicts of each row as lists, with whether their trigger has many."""
+    conflicts = found.where("conflict is not null")
+    often = conflicts.groupBy("conflict").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER)
+    marked = conflicts.join(often, "conflict", "left")
+    item = F.struct("low", "count", F.col("conflict").alias("trigger"), F.col("n").isNotNull().alias("many"))
+    lists = marked.groupBy("uid").agg(F.collect_list(item).alias("c"))
+    return lists.select(
+        "uid", F.col("c.low").alias("lows"), F.col("c.count").alias("counts"),
+        F.col("c.trigger").alias("triggers"), F.col("c.many").alias("many"),
+    )
+
+
 def _gathered(runs: DataFrame) -> DataFrame:
     return runs.groupBy("uid").agg(
         F.collect_list(F.struct("low", "count")).alias("runs")
@@ -360,9 +459,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
     texts = stored.select("uid", "doc", F.col("row.text").alias("text"))
     found = keep(marks(phrases(texts)), "phrase-marks")
-    torn = _gathered(found.where("conflict").select("uid", "low", "count"))
-    suffixed = keep(repeated_suffixes(suffixes(texts.join(torn, "uid"))), "suffix-marks")
-    runs = found.where("not conflict").select("uid", "low", "count").unionByName(suffixed)
+    suffixed = keep(repeated_suffixes(suffixes(texts.join(_torn(found), "uid"))), "suffix-marks")
+    runs = found.where("conflict is null").select("uid", "low", "count").unionByName(suffixed)
     joined = stored.join(_gathered(runs), "uid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

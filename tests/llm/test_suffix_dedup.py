@@ -57,12 +57,12 @@ def test_passages(docs, small_batches, seed):
     assert found(docs(*rows)) == brute(rows)
 
 
-def test_blocks_of_one_task(docs, monkeypatch):
-    """Sorted blocks and segments smaller than a text change nothing."""
+@pytest.mark.parametrize("together", [0, 2, 256])
+def test_triggers_with_many_phrases(docs, small_batches, monkeypatch, together):
+    """Whether phrases meet whole or suffix by suffix changes nothing."""
     rows = corpus(9) + [(7, "ab" * 900), (8, "ba" * 400), (9, "a" * 1000)]
-    wanted = brute(rows)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 20)
-    assert found(docs(*rows)) == wanted
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    assert found(docs(*rows)) == brute(rows)
 
 
 def test_segments(monkeypatch):
