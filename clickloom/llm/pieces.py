@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from clickloom.llm.common import texts_of
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores the least score less this
-CACHED = 400_000
+CACHED = 700_000
 
 
 class PieceCodec:
@@ -35,7 +36,7 @@ class PieceCodec:
     def __init__(self, path: str):
         model = SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(len(model))]
-        self.byte_ids = np.full(256, model.unk_id(), np.int64)
+        self.byte_ids = [model.unk_id()] * 256
         self.bytes_of: dict[int, int] = {}
         self.silent = {i for i in range(len(model)) if model.is_control(i)}
         self.unknown = model.unk_id()
@@ -52,84 +53,95 @@ class PieceCodec:
                 if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                     raise ValueError(f"piece {piece!r} crosses a run")
         automaton.make_automaton()
+        self.singles = frozenset(p for p in automaton if len(p) == 1)
         self.automaton = automaton
         self.least = min(scores) - UNKNOWN_PENALTY
         self.runs = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-        self.known: dict[str, tuple[bytes, float]] = {}
+        self.known: dict[str, bytes] = {}
+        # What ids stand for on their own: all but the bytes of longer characters.
+        self.shown = {i: p for i, p in enumerate(self.pieces)}
+        self.shown |= {i: "" for i in self.silent} | {self.unknown: " ⁇ "}
+        self.scores = np.array([0.0 if i in self.bytes_of else model.get_score(i) for i in range(len(model))])
+        for i, b in self.bytes_of.items():
+            if b < 128:
+                self.shown[i] = chr(b)
+            else:
+                del self.shown[i]
+            if b & 0xC0 != 0x80:  # the first byte of a character carries its score
+                self.scores[i] = self.least
 
-    def segment(self, run: str) -> tuple[bytes, float]:
-        """Ids (little-endian unsigned 32-bit) and score of one run.
+    def segment(self, run: str) -> bytes:
+        """Ids of one run as little-endian unsigned 32-bit bytes.
 
         The automaton reads the run once. At each end position it follows its output links and
         gives the pieces that end there, longest first; each relaxes the best score there.
         """
         size = len(run)
-        best = [0.0] + [None] * size
-        back: list[tuple[int, int]] = [(0, -1)] * (size + 1)
-        done = 0
-
-        def settle(upto: int) -> None:  # positions that no longer piece ends at
-            nonlocal done
-            while done < upto:
-                done += 1
-                if not single[done]:
-                    score = best[done - 1] + self.least
-                    if best[done] is None or score > best[done]:
-                        best[done], back[done] = score, (1, -1)
-
-        single = [False] * (size + 1)
-        waiting: list[tuple[int, float, int]] = []
-        at = 0
-        for end, match in self.automaton.iter(run):
-            if end + 1 != at:
-                self._relax(best, back, single, waiting, at)
-                settle(end)
-                waiting, at = [], end + 1
-            waiting.append(match)
-        self._relax(best, back, single, waiting, at)
-        settle(size)
-
+        best = [0.0, *[float("-inf")] * size]
+        back = [(0, -1)] * (size + 1)
+        if self.singles.issuperset(run):  # every position is reached by pieces
+            for end, (length, score, piece) in self.automaton.iter(run):
+                total = best[end + 1 - length] + score
+                if total > best[end + 1]:
+                    best[end + 1] = total
+                    back[end + 1] = (length, piece)
+        else:
+            self._relax_all(run, best, back)
         ids: list[int] = []
         at = size
         while at:
             length, piece = back[at]
             if piece < 0:
-                ids.extend(int(self.byte_ids[b]) for b in reversed(run[at - length : at].encode()))
+                ids.extend(self.byte_ids[b] for b in reversed(run[at - 1].encode()))
+                at -= 1
             else:
                 ids.append(piece)
-            at -= length
+                at -= length
         ids.reverse()
-        return np.array(ids, "<u4").tobytes(), best[size]
-
-    @staticmethod
-    def _relax(best, back, single, waiting, end) -> None:
-        for length, score, piece in waiting:
-            if length == 1:
-                single[end] = True
-            before = best[end - length]
-            if before is not None and (best[end] is None or before + score > best[end]):
-                best[end], back[end] = before + score, (length, piece)
-
-    def encode(self, text: str) -> tuple[bytes, float]:
-        """Ids as little-endian unsigned 32-bit bytes, and the score; nothing for an empty text."""
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _relax_all(self, run: str, best: list, back: list) -> None:
+        """The same where some characters have no piece: they step on at the least score."""
+        ending: dict[int, list] = {}
+        for end, match in self.automaton.iter(run):
+            ending.setdefault(end + 1, []).append(match)
+        for end in range(1, len(run) + 1):
+            for length, score, piece in ending.get(end, ()):
+                total = best[end - length] + score
+                if total > best[end]:
+                    best[end], back[end] = total, (length, piece)
+            if run[end - 1] not in self.singles and best[end - 1] + self.least > best[end]:
+                best[end], back[end] = best[end - 1] + self.least, (1, -1)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit bytes; nothing for an empty text."""
         if not text:
-            return b"", 0.0
+            return b""
         known = self.known
-        ids, total = [], 0.0
-        for run in self.runs.findall(SPACE + text.replace(" ", SPACE)):
+        runs = self.runs.findall(SPACE + text.replace(" ", SPACE))
+        try:
+            return b"".join([known[r] for r in runs])
+        except KeyError:
+            pass
+        if len(known) >= CACHED:
+            known.clear()
+        out = []
+        for run in runs:
             found = known.get(run)
             if found is None:
                 found = self.segment(run)
                 if len(run) <= 64:
-                    if len(known) >= CACHED:
-                        known.clear()
                     known[run] = found
-            ids.append(found[0])
-            total += found[1]
-        return b"".join(ids), total
+            out.append(found)
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD. The leading space goes."""
+        try:
+            text = "".join([self.shown[i] for i in ids]).replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
+        except KeyError:
+            pass
         out: list[str] = []
         pending = bytearray()
         for i in ids:
@@ -166,15 +178,16 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(model).encode
+        encode, scores = codec(model).encode, codec(model).scores
         for batch, texts in texts_of(batches):
             for at in range(0, len(texts), 512):
-                pairs = [encode(t or "") for t in texts[at : at + 512]]
-                ends = np.cumsum([0, *(len(i) // 4 for i, _ in pairs)])
-                flat = np.frombuffer(b"".join(i for i, _ in pairs), "<u4").astype(np.int32)
+                found = [encode(t or "") for t in texts[at : at + 512]]
+                ends = np.cumsum([0, *(len(i) // 4 for i in found)])
+                flat = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                score = pa.array([s for _, s in pairs], pa.float64())
-                rows = batch.column(0).slice(at, len(pairs))
+                sums = np.append(0.0, np.cumsum(scores[flat]))
+                score = pa.array(sums[ends[1:]] - sums[ends[:-1]])
+                rows = batch.column(0).slice(at, len(found))
                 yield pa.record_batch([rows, ids, score], ["row", "ids", "score"])
 
     framed = docs.select(F.struct("*").alias("row"), F.col("text"))
