@@ -39,6 +39,11 @@ def brute(text, limits):
     return len(words), chars, symbols, lines, repeated, base, not base and not fails
 
 
+def scored(frame):
+    found = weak_quality.featured(frame)
+    return weak_quality.scored(found, *weak_quality.learned(found))
+
+
 def texts():
     rng = random.Random(1)
     some = [f"w{rng.randrange(200)}é" for _ in range(400)]
@@ -71,17 +76,15 @@ def test_rules_against_brute_force(docs, small_batches):
 
 def test_empty_tables(docs):
     assert quality_rules.measured(docs()).collect() == []
-    labels, scorer = weak_quality.learned(docs())
-    assert weak_quality.scored(docs(), labels, scorer).collect() == []
+    assert scored(docs()).collect() == []
 
 
 def test_given_labels(spark):
     """Held-out: the scorer never sees ``labels.quality``."""
     sf = "/root/testdata/sf0.01"
     frame = spark.read.parquet(f"{sf}/documents.parquet")
-    labels, scorer = weak_quality.learned(frame)
     truth = spark.read.parquet(f"{sf}/labels.parquet")
-    rows = weak_quality.scored(frame, labels, scorer).select(F.col("row.doc_id").alias("doc_id"), "kept").join(truth, "doc_id").collect()
+    rows = scored(frame).select(F.col("row.doc_id").alias("doc_id"), "kept").join(truth, "doc_id").collect()
     clean = [r.kept for r in rows if r.quality == 1]
     bad = [r.kept for r in rows if r.quality == 0]
     assert sum(clean) >= 0.95 * len(clean)
@@ -90,10 +93,10 @@ def test_given_labels(spark):
 
 def test_odd_rows(docs):
     frame = docs(None, "", "a b c", "same", "same", "\u0000", extra="score long, kept long")
-    labels, scorer = weak_quality.learned(frame)
-    rows = weak_quality.scored(frame, labels, scorer).collect()
+    rows = scored(frame).collect()
     assert len(rows) == 6
-    assert len({(r.score, r.pattern) for r in rows if r.row.text == "same"}) == 1
+    assert len({(r.score, r.pattern) for r in rows if r.row.doc_id in (4, 5)}) == 1
+    assert all(r.row.score == 7 for r in rows)
     assert all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows)
 
 

@@ -72,3 +72,27 @@ def test_vectors_do_not_go_through_a_shuffle(spark):
         assert "Exchange" not in line or "vec" not in line
     filled = jobs.text_to_vectors(docs, words, 2, seed=4)
     assert sorted(out.collect()) == sorted(E.vector_batches(filled, 2).collect())
+
+
+def test_days_evaluate_their_input_three_times_at_most(spark, tmp_path):
+    spec = FeatureSpec.from_counts(1, 2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, str(i % 2), str(i), f"{i % 7:x}", f"{i % 50:x}") for i in range(300)]
+    schema = "row_id bigint, col_0 string, col_1 string, col_2 string, col_3 string"
+    df = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    out = jobs.prepare_days(df, spec, "row_id", 3, 8192, randomize="total", folder=str(tmp_path / "d"))
+    assert out.count() == 300 and seen.value <= 3 * 300
+    before = seen.value
+    again = jobs.prepare_days(df, spec, "row_id", 3, 8192, randomize="total", folder=str(tmp_path / "d"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
+    assert seen.value == before
+    days = df.withColumn("day", F.col("row_id") % 3)
+    by_day = jobs.prepare_days(days, spec, "row_id", 3, 8192, split="day").collect()
+    assert all(r["split"] == r["row_id"] % 3 for r in by_day)
+    assert sorted(r["slot"] for r in by_day if r["split"] == 1) == list(range(100))
