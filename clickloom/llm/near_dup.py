@@ -25,7 +25,6 @@ PERCENT = 75
 # of similarity 0.3 shares one with a chance of 1 in 9.
 BANDS = 48
 ROWS = 5
-SMALL_BUCKET = 48
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -127,29 +126,48 @@ def set_elements(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, n long, elements array<long>")
 
 
-def with_pivot(members: DataFrame) -> DataFrame:
-    """``members`` (``key, node, n``) of the keys that two or more share, with ``pivot`` and ``size``.
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """``members`` (``key, node, n``) of the keys that two or more share, with the key's ``size``.
 
-    The least member is the pivot. Counts combine before their shuffle; the join back is from many
-    rows to one row per key, which Spark splits where a key is frequent.
+    Counts combine before their shuffle; the join back is from many rows to one row per key, which
+    Spark splits where a key is frequent.
     """
-    shared = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size"))
-    return members.join(shared.where(F.col("size") > 1), "key")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return members.join(sizes, "key")
 
 
-def comparable(a: str, b: str):
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def pivots(buckets: DataFrame) -> DataFrame:
+    """Distinct ``a, b``: a member of a bucket, and the pivot of that bucket.
 
+    The pivot is the member with most company over all its buckets. In a family of edited copies
+    that is the one least edited, to which most others are similar.
+    """
+    company = buckets.groupBy("node").agg(F.sum("size").alias("company"))
+    central = buckets.select("key", "node").join(company, "node")
+    chosen = central.groupBy("key").agg(F.max(F.struct("company", -F.col("node"))).alias("top"))
+    chosen = chosen.select("key", (-F.col("top.col2")).alias("b"))
+    return (
+        buckets.select("key", F.col("node").alias("a")).join(chosen, "key")
+        .where("a <> b").select("a", "b").distinct()
+    )
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (``a, b``, distinct) whose whole sets are similar enough."""
+
+def similar(shared, n, m):
+    return 100 * shared >= PERCENT * (n + m - shared)
+
+
+def paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (``a, b``) with both whole sets: ``na, ea, nb, eb``."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("elements").alias("ea"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("elements").alias("eb"))
-    both = F.size(F.array_intersect("ea", "eb"))
-    similar = 100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)
-    found = pairs.join(left, "a").join(right, "b").where(similar).select("a", "b")
-    return keep(found, "links")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` whose whole sets are similar enough."""
+    shared = F.size(F.array_intersect("ea", "eb"))
+    found = paired(pairs, sets).where(similar(shared, F.col("na"), F.col("nb")))
+    return keep(found.select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,69 +201,68 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members, with ``comp``, of the buckets that still span several components."""
-    own = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return keep(own.join(split.where("low <> high").select("key"), "key", "left_semi"), "unresolved")
+def candidates(measured: DataFrame, comps: DataFrame) -> DataFrame:
+    """Distinct pairs ``a, b`` that may link two components and share a bucket.
 
-
-def crossing(members: DataFrame) -> DataFrame:
-    """Distinct pairs inside the buckets whose nodes are in different components."""
-    a = members.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-    return pairs.where(comparable("na", "nb")).select("a", "b").distinct()
-
-
-def stars(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs of a member and its pivot."""
-    sizes = sets.select(F.col("node").alias("pivot"), F.col("n").alias("np"))
-    pairs = buckets.where("node <> pivot").select("node", "n", "pivot").distinct()
-    near = pairs.join(sizes, "pivot").where(comparable("n", "np"))
-    return near.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-
-
-def prefix_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Buckets by rare shingle: an exact candidate search for the ``members`` of large buckets.
-
-    In one order of all shingles, rarest first, two sets of similarity 0.75 share one of the first
-    n - ceil(0.75 n) + 1 of either. What is common to many texts comes last and makes no bucket.
+    ``measured`` has for each member and pivot how many elements they share and the ``rest`` of the
+    member. Two members of one pivot share at most the smaller of their parts in the pivot, and of
+    their rests the elements that occur in several rests. A set needs 75 % of itself in any similar
+    one. So either its part in the pivot reaches that alone, or it shares some of its rarest other
+    elements: as many as are left over when the needed number is counted from the most frequent
+    end. Both are exact. What a family has in common never makes a pair, and what many texts quote
+    comes last among the rests.
     """
-    chosen = sets.join(members.select("node").distinct(), "node", "left_semi")
-    cells = chosen.select("node", "n", F.explode("elements").alias("element"))
-    counts = cells.groupBy("element").agg(F.count(F.lit(1)).alias("docs"))
-    ranked = cells.join(counts, "element").groupBy("node", "n").agg(
+    pivot = measured.select(F.col("b").alias("a"), "b", F.col("nb").alias("n"), F.col("nb").alias("part"))
+    pivot = pivot.distinct().withColumn("rest", F.expr("cast(array() as array<bigint>)"))
+    member = measured.select("a", "b", F.col("na").alias("n"), F.col("shared").cast("long").alias("part"), "rest")
+    named = comps.withColumnRenamed("node", "a")
+    own = member.unionByName(pivot).join(named, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    spans = own.groupBy("b").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    own = keep(own.join(spans.where("low <> high").select("b"), "b", "left_semi"), "open-members")
+
+    cells = own.select("a", "b", F.explode("rest").alias("element"))
+    often = cells.groupBy("b", "element").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    ranked = cells.join(often, ["b", "element"]).groupBy("a", "b").agg(
         F.sort_array(F.collect_list(F.struct("docs", "element"))).alias("order")
     )
-    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
-    head = ranked.select("node", "n", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("c"))
-    return head.where("c.docs > 1").select(F.col("c.element").alias("key"), "node", "n")
+    lists = own.select("a", "b", "n", "part", "comp").join(ranked, ["a", "b"], "left")
+    needed = F.ceil(F.col("n") * PERCENT / 100) - F.col("part")
+    lists = lists.withColumn("more", F.coalesce(F.size("order"), F.lit(0)).cast("long"))
+    lists = lists.where(F.col("more") >= needed).withColumn("needed", needed.cast("long"))
+    lists = keep(lists, "open-lists")
+
+    def joined(rows: DataFrame, on: list[str]) -> DataFrame:
+        names = ("a", "n", "part", "comp", "more")
+        x = rows.select(*on, *[F.col(c).alias(f"x_{c}") for c in names])
+        y = rows.select(*on, *[F.col(c).alias(f"y_{c}") for c in names])
+        most = F.least("x_part", "y_part") + F.least("x_more", "y_more")
+        possible = similar(most, F.col("x_n"), F.col("y_n"))
+        both = (F.col("x_a") < F.col("y_a")) & (F.col("x_comp") != F.col("y_comp"))
+        pairs = x.join(y, on).where(both & possible)
+        return pairs.select(F.col("x_a").alias("a"), F.col("y_a").alias("b"))
+
+    close = lists.where("needed <= 0").drop("order")
+    length = F.col("more") - F.greatest("needed", F.lit(1)) + 1
+    rare = lists.where("more > 0").withColumn(
+        "element", F.explode(F.slice("order", F.lit(1), length.cast("int"))["element"])
+    )
+    return joined(close, ["b"]).unionByName(joined(rare.drop("order"), ["b", "element"])).distinct()
 
 
-def all_links(buckets: DataFrame, sets: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
+def all_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """``node, comp`` after every link that the buckets can hold has been looked at.
 
-    First every member is compared with the pivot of its buckets. A bucket that is then inside one
-    component needs no more. In the others, pairs across components are compared: directly in
-    buckets of at most ``small`` members, and among the members of larger ones by rare shingles.
+    First every member is compared with the pivots of its buckets. Where members of one pivot are
+    then in several components, the pairs across these that can still be links are compared.
     """
-    links = verified(stars(buckets, sets), sets)
-    comps = components(links)
-    rest = unresolved(buckets, comps)
-    if rest.isEmpty():
-        return comps
-    links = links.unionByName(verified(crossing(rest.where(F.col("size") <= small)), sets))
-    large = rest.where(F.col("size") > small)
-    if large.isEmpty():
-        return components(links)
-    rare = keep(with_pivot(prefix_buckets(large, sets)), "rare-buckets")
-    links = links.unionByName(verified(stars(rare, sets), sets))
+    measured = paired(pivots(buckets), sets).select(
+        "a", "b", "na", "nb", F.size(F.array_intersect("ea", "eb")).alias("shared"), F.array_except("ea", "eb").alias("rest")
+    )
+    measured = keep(measured, "measured")
+    links = measured.where(similar(F.col("shared"), F.col("na"), F.col("nb"))).select("a", "b")
     comps = components(links)
-    rest = unresolved(rare, comps)
-    if rest.isEmpty():
-        return comps
-    return components(links.unionByName(verified(crossing(rest), sets)))
+    more = verified(candidates(measured, comps), sets)
+    return comps if more.isEmpty() else components(links.unionByName(more))
 
 
 def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -263,9 +280,9 @@ def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     classes = keep(worded.groupBy("fp").agg(F.min("uid").alias("node")), "classes")
     nodes = stored.join(classes.select(F.col("node").alias("uid")), "uid", "left_semi")
     members = nodes.select(F.explode("bands").alias("key"), F.col("uid").alias("node"), "n")
-    buckets = keep(with_pivot(members), "buckets")
-    paired = buckets.select(F.col("node").alias("uid")).distinct()
-    texts = stored.join(paired, "uid", "left_semi").select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
+    buckets = keep(shared_buckets(members), "buckets")
+    met = buckets.select(F.col("node").alias("uid")).distinct()
+    texts = stored.join(met, "uid", "left_semi").select(F.col("uid").alias("node"), F.col("row.text").alias("text"))
     sets = keep(set_elements(texts), "sets")
     comps = all_links(buckets, sets)
 

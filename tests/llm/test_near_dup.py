@@ -98,11 +98,28 @@ def test_large_buckets_are_exact(spark, docs):
     frame = docs(*rows)
     wanted = brute(rows)
     assert found(frame, bands=48, rows=2) == wanted  # low selectivity: buckets of nearly all rows
-    near_dup.SMALL_BUCKET, before = 4, near_dup.SMALL_BUCKET
-    try:
-        assert found(frame, bands=48, rows=2) == wanted
-    finally:
-        near_dup.SMALL_BUCKET = before
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_edited_families_are_exact(docs, seed):
+    """Families whose members are edited around the limit, and share passages their pivot lacks."""
+    rng = random.Random(seed)
+    passages = [[f"p{k}-{i}" for i in range(25)] for k in range(3)]
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 100, 150]))]
+        for _ in range(35):
+            copy = list(base)
+            for _ in range(rng.randrange(9)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            if rng.random() < 0.5:
+                at = rng.randrange(len(copy))
+                copy[at:at] = rng.choice(passages)[: rng.randrange(5, 25)]
+            if rng.random() < 0.3:
+                copy = copy[rng.randrange(len(copy) // 3) :]
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts, start=1))
+    assert found(docs(*rows), bands=80, rows=2) == brute(rows)
 
 
 def test_one_of_each(docs):
