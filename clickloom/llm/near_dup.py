@@ -210,13 +210,16 @@ def candidates(measured: DataFrame, comps: DataFrame) -> DataFrame:
     one. So either its part in the pivot reaches that alone, or it shares some of its rarest other
     elements: as many as are left over when the needed number is counted from the most frequent
     end. Both are exact. What a family has in common never makes a pair, and what many texts quote
-    comes last among the rests.
+    comes last among the rests. Only members outside the pivot's component look for partners, so a
+    family that holds a third of all texts is not paired with itself.
     """
     pivot = measured.select(F.col("b").alias("a"), "b", F.col("nb").alias("n"), F.col("nb").alias("part"))
     pivot = pivot.distinct().withColumn("rest", F.expr("cast(array() as array<bigint>)"))
     member = measured.select("a", "b", F.col("na").alias("n"), F.col("shared").cast("long").alias("part"), "rest")
     named = comps.withColumnRenamed("node", "a")
     own = member.unionByName(pivot).join(named, "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    home = comps.select(F.col("node").alias("b"), F.col("comp").alias("home"))
+    own = own.join(home, "b", "left").withColumn("outside", F.col("comp") != F.coalesce("home", "b")).drop("home")
     spans = own.groupBy("b").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     own = keep(own.join(spans.where("low <> high").select("b"), "b", "left_semi"), "open-members")
 
@@ -225,28 +228,41 @@ def candidates(measured: DataFrame, comps: DataFrame) -> DataFrame:
     ranked = cells.join(often, ["b", "element"]).groupBy("a", "b").agg(
         F.sort_array(F.collect_list(F.struct("docs", "element"))).alias("order")
     )
-    lists = own.select("a", "b", "n", "part", "comp").join(ranked, ["a", "b"], "left")
+    lists = own.select("a", "b", "n", "part", "comp", "outside").join(ranked, ["a", "b"], "left")
     needed = F.ceil(F.col("n") * PERCENT / 100) - F.col("part")
     lists = lists.withColumn("more", F.coalesce(F.size("order"), F.lit(0)).cast("long"))
     lists = lists.where(F.col("more") >= needed).withColumn("needed", needed.cast("long"))
     lists = keep(lists, "open-lists")
 
-    def joined(rows: DataFrame, on: list[str]) -> DataFrame:
-        names = ("a", "n", "part", "comp", "more")
-        x = rows.select(*on, *[F.col(c).alias(f"x_{c}") for c in names])
-        y = rows.select(*on, *[F.col(c).alias(f"y_{c}") for c in names])
+    def joined(asking: DataFrame, asked: DataFrame, on: list[str]) -> DataFrame:
+        names = ("a", "n", "part", "comp", "more", "outside")
+        x = asking.select(*on, *[F.col(c).alias(f"x_{c}") for c in names])
+        y = asked.select(*on, *[F.col(c).alias(f"y_{c}") for c in names])
         most = F.least("x_part", "y_part") + F.least("x_more", "y_more")
-        possible = similar(most, F.col("x_n"), F.col("y_n"))
-        both = (F.col("x_a") < F.col("y_a")) & (F.col("x_comp") != F.col("y_comp"))
-        pairs = x.join(y, on).where(both & possible)
-        return pairs.select(F.col("x_a").alias("a"), F.col("y_a").alias("b"))
-
-    close = lists.where("needed <= 0").drop("order")
+        possible = similar(most, F.col("x_n"), F.col("y_n")) & (F.col("x_comp") != F.col("y_comp"))
+        once = ~F.col("y_outside") | (F.col("x_a") < F.col("y_a"))
+        pairs = x.join(y, on).where(possible & once)
+        return pairs.select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b"))
+
+    # A partner has 75 % of the size at least, and together with it no more than can be shared.
+    close = lists.where("needed <= 0").drop("order").withColumn("band", _band(F.col("n")))
+    least = F.ceil(F.col("n") * PERCENT / 100)
+    most = F.floor((100 + PERCENT) * (F.col("part") + F.col("more")) / PERCENT) - F.col("n")
+    most = F.least(most, F.floor(F.col("n") * 100 / PERCENT))
+    seeking = close.where("outside").where(least <= most).withColumn(
+        "band", F.explode(F.sequence(_band(least), _band(most)))
+    )
     length = F.col("more") - F.greatest("needed", F.lit(1)) + 1
     rare = lists.where("more > 0").withColumn(
         "element", F.explode(F.slice("order", F.lit(1), length.cast("int"))["element"])
-    )
-    return joined(close, ["b"]).unionByName(joined(rare.drop("order"), ["b", "element"])).distinct()
+    ).drop("order")
+    by_part = joined(seeking, close, ["b", "band"])
+    return by_part.unionByName(joined(rare.where("outside"), rare, ["b", "element"])).distinct()
+
+
+def _band(n):
+    """Sizes within 5 % of each other."""
+    return F.floor(F.log(n.cast("double")) / 0.04879016).cast("int")
 
 
 def all_links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
@@ -291,9 +307,11 @@ def grouped(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         "uid", "doc_id", F.coalesce("comp", "node").alias("comp")
     )
     own = keep(own, "memberships")
+    # Kept, so that the join below is from many rows to one and a large component can be split.
     first = own.groupBy("comp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")
     )
+    first = keep(first, "component-heads")
     decided = own.join(first, "comp").select(
         "uid", F.col("first.doc_id").alias("component_id"), (F.col("uid") == F.col("first.uid")).alias("sole")
     )
