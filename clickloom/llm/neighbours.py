@@ -166,8 +166,9 @@ def nearest(
     longest = classes.agg(
         F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.max(F.size("embedding"))
     ).collect()[0]
-    chosen = classes.orderBy(F.xxhash64(F.lit("sample"), "class"), "class").limit(sample)
-    points = [r[0] for r in chosen.select("embedding").collect()]
+    chosen = classes.select("class").orderBy(F.xxhash64(F.lit("sample"), "class"), "class").limit(sample)
+    points = classes.join(F.broadcast(chosen), "class").select("class", "embedding").collect()
+    points = [r[1] for r in sorted(points, key=lambda r: r[0])]
     asked = rows.where(is_query).select("class", F.col("vec_id").alias("query_id"))
     if not points:
         return asked.limit(0).select(

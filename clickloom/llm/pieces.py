@@ -19,7 +19,7 @@ from clickloom.llm.common import texts_of
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value: an unknown character scores the least score less this
-CACHED = 700_000
+CACHED = 400_000
 
 
 class PieceCodec:

@@ -174,6 +174,6 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_weak_quality")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels, scorer = weak_quality.learned(docs)
-    found = weak_quality.scored(docs, labels, scorer)
+    found = weak_quality.featured(docs)
+    found = weak_quality.scored(found, *weak_quality.learned(found))
     return found.select("row.doc_id", "pattern", "posterior", "score", "kept")

@@ -36,8 +36,8 @@ from clickloom.llm.pii import with_text
 
 LENGTH = 100
 TRIGGER = 32
-SEGMENT = 1 << 20  # starts handled at once: bounds memory, whatever a text's length
-BLOCK = 1 << 20  # phrases or suffixes that one task sorts at once
+SEGMENT = 1 << 19  # starts handled at once: bounds memory, whatever a text's length
+BLOCK = 1 << 19  # phrases or suffixes that one task sorts at once
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, so that powers have inverses
 _U = np.uint64

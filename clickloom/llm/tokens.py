@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 # A word of Latin letters without combining marks, then ASCII punctuation: two pre-tokens at
 # most, each encoded on its own. Any other run goes through the whole tokenizer.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-CACHED = 400_000
+CACHED = 150_000
 
 
 def byte_letters() -> dict[int, int]:

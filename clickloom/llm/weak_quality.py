@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clickloom.llm.common import texts_of
+from clickloom.llm.common import keep, texts_of
 
 BAD, GOOD, ABSTAIN = range(3)
 SAMPLE = 8000  # documents that the scorer learns from at most
-SAMPLE_CHARS = 32_768
 HASH_BITS = 16
-CACHED = 400_000
+CACHED = 300_000
 
 _SYMBOLS = re.compile(r"[#*$%&|<>{}\\^~=]")
 _CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -59,35 +58,44 @@ class Tokens:
     def __init__(self):
         self.number: dict[str, int] = {}
         self.known = np.zeros((1 << 12, 6), np.int64)
-
-    def __call__(self, tokens: list[str]) -> np.ndarray:
-        """One row per token: number, hashed shape, length, letters, capitals, symbols, plain."""
+        self.endings = {e: token_feature(f"a{e}") for e in ("", *".,;:!?")}
+
+    def _facts(self, t: str) -> tuple:
+        """Hashed shape, length, letters, capitals, symbols, whether the token is plain."""
+        n = len(t)
+        if t.isalpha() and t.islower():
+            return self.endings[""], n, n, 0, 0, 1
+        if t[-1] in ".,;:!?" and t[:-1].isalpha() and t.islower():
+            return self.endings[t[-1]], n, n - 1, 0, 0, 1
+        return (
+            token_feature(t), n, sum(map(str.isalpha, t)), len(_CAPITAL.findall(t)),
+            len(_SYMBOLS.findall(t)), _PLAIN.fullmatch(t) is not None,
+        )
+
+    def __call__(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number and facts of each token."""
         number = self.number
         if len(number) > CACHED:
             number.clear()
         try:
             ids = [number[t] for t in tokens]
         except KeyError:
-            for t in tokens:
-                if t not in number:
-                    i = number[t] = len(number)
-                    if i == len(self.known):
-                        self.known = np.concatenate([self.known, np.zeros_like(self.known)])
-                    self.known[i] = (
-                        token_feature(t), len(t), sum(map(str.isalpha, t)), len(_CAPITAL.findall(t)),
-                        len(_SYMBOLS.findall(t)), _PLAIN.fullmatch(t) is not None,
-                    )
+            new = [t for t in dict.fromkeys(tokens) if t not in number]
+            at = len(number)
+            while at + len(new) > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            self.known[at : at + len(new)] = [self._facts(t) for t in new]
+            number.update(zip(new, range(at, at + len(new)), strict=True))
             ids = [number[t] for t in tokens]
         ids = np.array(ids, np.int64)
-        return np.column_stack([ids, self.known[ids]])
+        return ids, self.known[ids]
 
 
-def measures(text: str, rows: np.ndarray) -> dict[str, float]:
-    """The measures of a text whose tokens have ``rows``."""
-    n = max(1, len(rows))
-    ids = rows[:, 0]
+def measures(text: str, ids: np.ndarray, facts: np.ndarray) -> dict[str, float]:
+    """The measures of a text whose tokens have numbers ``ids`` and ``facts``."""
+    n = max(1, len(ids))
     counts = np.unique(ids, return_counts=True)[1]
-    _, _, length, letters, capitals, symbols, plain = rows.sum(axis=0).tolist()
+    _, length, letters, capitals, symbols, plain = facts.sum(axis=0).tolist()
     lines = [x for x in text.split("\n") if x.strip()] if "\n" in text else []
     pairs = len(np.unique(ids[:-1] * (int(ids.max()) + 1) + ids[1:])) if len(ids) > 1 else 0
     return {
@@ -96,7 +104,7 @@ def measures(text: str, rows: np.ndarray) -> dict[str, float]:
         "capitals": capitals / max(1, length),
         "letters": letters / max(1, length),
         "plain": plain / n,
-        # Long texts repeat words by nature: Herdan's law with exponent 0.9 as the measure
+        # Long texts repeat words by nature: Herdan's law with exponent 0.9 as the measure.
         "distinct": len(counts) / n**0.9,
         "top": int(counts.max(initial=0)) / n,
         "lines": 1 - len(set(lines)) / max(1, len(lines)),
@@ -166,35 +174,50 @@ def text_features(found: dict[str, float]) -> list[int]:
 
 
 class Featurer:
-    """Sparse features of texts: shares of token shapes, and steps of measures with weight 1."""
+    """Votes and sparse features: shares of token shapes, and steps of measures with weight 1."""
 
     def __init__(self):
         self.tokens = Tokens()
 
-    def ballot(self, text: str | None) -> list[int]:
-        text = text or ""
-        return votes(measures(text, self.tokens(text.split())))
-
-    def __call__(self, text: str | None):
+    def __call__(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
         text = text or ""
-        rows = self.tokens(text.split())
-        found = measures(text, rows)
-        index, n = np.unique(rows[:, 1], return_counts=True)
+        ids, facts = self.tokens(text.split())
+        found = measures(text, ids, facts)
+        index, n = np.unique(facts[:, 0], return_counts=True)
         index = np.concatenate([index, text_features(found)])
-        value = np.concatenate([n / max(1, len(rows)), np.ones(len(index) - len(n))])
+        value = np.concatenate([n / max(1, len(ids)), np.ones(len(index) - len(n))])
         return votes(found), index, value
 
 
-def patterns(docs: DataFrame) -> DataFrame:
-    """``pattern`` of votes of each document."""
+def featured(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but ``text`` as struct ``row``, with ``uid``, ``pattern`` of votes,
+    and features ``index`` and ``value``: one pass over the texts, kept.
+
+    Null and empty texts count as texts without words. Every text is read whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurer = Featurer()
-        for _, texts in texts_of(batches):
-            codes = [code(featurer.ballot(t)) for t in texts]
-            yield pa.record_batch([pa.array(codes, pa.int32())], ["pattern"])
+        for batch, texts in texts_of(batches):
+            found = [featurer(t) for t in texts]
+            ends = pa.array(np.cumsum([0, *(len(i) for _, i, _ in found)]), pa.int32())
+            index = np.concatenate([i for _, i, _ in found]).astype(np.int32)
+            value = np.concatenate([v for _, _, v in found])
+            yield pa.record_batch(
+                [
+                    batch.column(0),
+                    pa.array([code(v) for v, _, _ in found], pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(index)),
+                    pa.ListArray.from_arrays(ends, pa.array(value)),
+                ],
+                ["row", "pattern", "index", "value"],
+            )
 
-    return docs.select("text").mapInArrow(run, "pattern int")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    framed = docs.select(F.struct(*others).alias("row"), F.col("text"))
+    added = T.StructType.fromDDL("pattern int, index array<int>, value array<double>")
+    found = framed.mapInArrow(run, T.StructType([framed.schema["row"], *added.fields]))
+    return keep(found.withColumn("uid", F.monotonically_increasing_id()), "quality-features")
 
 
 @dataclass
@@ -202,24 +225,16 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def __call__(self, index: np.ndarray, value: np.ndarray) -> float:
-        x = self.bias + float(self.weights[index] @ value)
-        return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
-
-
-def fit(texts: list[str], labels: Labels, steps: int = 120) -> Scorer:
-    """Logistic regression on the posteriors of the texts' votes."""
-    featurer, weights = Featurer(), np.zeros(1 << HASH_BITS)
-    rows, index, value, target = [], [], [], []
-    for i, text in enumerate(texts):
-        ballot, ids, v = featurer(text)
-        rows.append(np.full(len(ids), i))
-        index.append(ids)
-        value.append(v)
-        target.append(labels.posterior[code(ballot)])
+
+def fit(rows: list[tuple], labels: Labels, steps: int = 120) -> Scorer:
+    """Logistic regression on the posteriors of (pattern, index, value) rows."""
+    weights = np.zeros(1 << HASH_BITS)
     if not rows:
         return Scorer(weights, float(np.log(labels.prior / (1 - labels.prior))))
-    r, x, v, y = np.concatenate(rows), np.concatenate(index), np.concatenate(value), np.array(target)
+    r = np.repeat(np.arange(len(rows)), [len(x[1]) for x in rows])
+    x = np.concatenate([np.array(x[1], np.int64) for x in rows])
+    v = np.concatenate([np.array(x[2]) for x in rows])
+    y = labels.posterior[[x[0] for x in rows]]
     bias, squares, square = 0.0, np.full(len(weights), 1e-3), 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(r, weights[x] * v, len(y)), -35, 35)))
@@ -232,41 +247,40 @@ def fit(texts: list[str], labels: Labels, steps: int = 120) -> Scorer:
     return Scorer(weights, float(bias))
 
 
-def learned(docs: DataFrame, size: int = SAMPLE) -> tuple[Labels, Scorer]:
-    """Labels from the votes of all documents, and a scorer from a sample of them.
+def learned(found: DataFrame, size: int = SAMPLE) -> tuple[Labels, Scorer]:
+    """Labels from the votes of all ``featured`` documents, and a scorer from a sample of them.
 
-    The sample has at most ``size`` documents of at most ``SAMPLE_CHARS`` characters, first in the
-    order of a hash of ``doc_id``; that is what the driver receives, besides the pattern counts.
+    The sample is the first ``size`` documents in the order of a hash of ``uid``. Only its features
+    come to the driver, besides the pattern counts.
     """
-    counted = {r[0]: r[1] for r in patterns(docs).groupBy("pattern").count().collect()}
+    counted = {r[0]: r[1] for r in found.groupBy("pattern").count().collect()}
     labels = aggregate(counted)
-    order = [F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id")]
-    short = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-    rows = short.orderBy(*order, F.xxhash64("text")).limit(size).collect()
-    return labels, fit([r[1] for r in rows], labels)
+    chosen = found.select("uid").orderBy(F.xxhash64(F.lit("sample"), "uid"), "uid").limit(size)
+    rows = found.join(F.broadcast(chosen), "uid").select("uid", "pattern", "index", "value").collect()
+    rows.sort(key=lambda r: r[0])
+    return labels, fit([tuple(r[1:]) for r in rows], labels)
 
 
-def scored(docs: DataFrame, labels: Labels, scorer: Scorer) -> DataFrame:
-    """``docs`` as struct ``row``, with ``pattern``, ``posterior``, ``score`` and ``kept``.
+def scored(found: DataFrame, labels: Labels, scorer: Scorer) -> DataFrame:
+    """``featured`` documents as struct ``row``, with ``pattern``, ``posterior``, ``score``, ``kept``.
 
-    Kept is a score of one half or more. Null and empty texts count as texts without words. Every
-    text is scored alone, whole; nothing is shuffled.
+    Kept is a score of one half or more. Repeated rows score alike; nothing is shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        featurer = Featurer()
-        for batch, texts in texts_of(batches):
-            pattern, score = [], []
-            for text in texts:
-                ballot, index, value = featurer(text)
-                pattern.append(code(ballot))
-                score.append(scorer(index, value))
-            found = np.array(score)
+        for batch in batches:
+            pattern = batch.column(1).to_numpy()
+            sizes = np.diff(batch.column(2).offsets.to_numpy()) if batch.num_rows else np.zeros(0, int)
+            x = batch.column(2).flatten().to_numpy()
+            v = batch.column(3).flatten().to_numpy()
+            r = np.repeat(np.arange(batch.num_rows), sizes)
+            total = scorer.bias + np.bincount(r, scorer.weights[x] * v, batch.num_rows)
+            score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.record_batch(
-                [batch.column(0), pa.array(pattern, pa.int32()), pa.array(labels.posterior[pattern]), pa.array(found), pa.array(found >= 0.5)],
+                [batch.column(0), batch.column(1), pa.array(labels.posterior[pattern]), pa.array(score), pa.array(score >= 0.5)],
                 ["row", "pattern", "posterior", "score", "kept"],
             )
 
-    framed = docs.select(F.struct("*").alias("row"), F.col("text"))
+    framed = found.select("row", "pattern", "index", "value")
     added = T.StructType.fromDDL("pattern int, posterior double, score double, kept boolean")
     return framed.mapInArrow(run, T.StructType([framed.schema["row"], *added.fields]))
