@@ -44,11 +44,20 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+ROWS = 1024  # texts that a task holds as Python strings at once
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text"):
-    """Each batch with its texts as Python strings, null as None."""
+    """Parts of each batch with their texts as Python strings, null as None.
+
+    Arrow's pool keeps what a batch needed; it is given back before the next one, because the
+    worker process lives on and serves other stages.
+    """
     for batch in batches:
-        if batch.num_rows:
-            yield batch, batch.column(batch.schema.get_field_index(column)).to_pylist()
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part, part.column(part.schema.get_field_index(column)).to_pylist()
+        pa.default_memory_pool().release_unused()
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

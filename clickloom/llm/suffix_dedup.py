@@ -442,10 +442,11 @@ def merged(lows: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), reach[last].tolist(), strict=True))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """``docs`` as struct ``row``, with ``spans`` (byte ranges to remove) and the ``left`` bytes.
 
-    Also ``n_bytes``, ``n_removed``. Corpus order is by ``doc_id`` (null first), then by the order
+    Also ``n_bytes``, ``n_removed``. With ``as_text``, ``left`` is text: a character that a cut
+    runs through goes too, and null stays null. Corpus order is by ``doc_id`` (null first), then by the order
     in which Spark reads the rows, so of repeated rows all but one are repeats. Null texts are
     empty. Texts of fewer than 100 bytes lose nothing. Texts meet their runs by a join on the row.
     """
@@ -481,19 +482,23 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                     kept.append(coded[at:start])
                     at = stop
                 kept.append(coded[at:])
+                rest = b"".join(kept)
                 spans.append([{"start": s, "stop": e} for s, e in cut])
-                left.append(b"".join(kept))
                 size.append(len(coded))
-                gone.append(size[-1] - len(left[-1]))
+                gone.append(len(coded) - len(rest))
+                if as_text:
+                    rest = None if text is None else rest.decode(errors="ignore")
+                left.append(rest)
             columns = [
-                batch.column(0), pa.array(spans, span), pa.array(left, pa.binary()),
+                batch.column(0), pa.array(spans, span), pa.array(left, pa.string() if as_text else pa.binary()),
                 pa.array(size, pa.int64()), pa.array(gone, pa.int64()),
             ]
             yield pa.record_batch(columns, ["row", "spans", "left", "n_bytes", "n_removed"])
 
     framed = joined.select("row", F.col("row.text").alias("text"), "lows", "counts")
     added = T.StructType.fromDDL(
-        "spans array<struct<start:long,stop:long>>, left binary, n_bytes long, n_removed long"
+        "spans array<struct<start:long,stop:long>>, "
+        f"left {'string' if as_text else 'binary'}, n_bytes long, n_removed long"
     )
     return framed.mapInArrow(run, T.StructType([framed.schema["row"], *added.fields]))
 
@@ -503,12 +508,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that a cut runs through goes too. Null texts stay null.
     """
-
-    @F.pandas_udf("string")
-    def decoded(left):
-        return left.map(lambda b: b.decode(errors="ignore"))
-
-    done = deduplicated(docs).select(
-        "row", F.when(F.col("row.text").isNotNull(), decoded("left")).alias("text")
-    )
+    done = deduplicated(docs, as_text=True).select("row", F.col("left").alias("text"))
     return with_text(done, docs)
