@@ -140,7 +140,7 @@ def evidence(texts: list[list[str]], labels: np.ndarray) -> set[tuple[str, str]]
 
 
 def fit(texts: list[str], labels: list[int], weight: float = 1.0, steps: int = 25) -> Field:
-    """The field that best explains the labelled words; ``weight`` is that of a clean text."""
+    """The field that best explains the labelled words; ``weight`` is that of a clean text against a toxic one."""
     model = Field()
     y = np.array(labels, np.int64)
     words = [[w.lower() for w in WORD.findall(t)] for t in texts]
@@ -205,11 +205,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list, list, float]:
-    """Texts and labels to fit on, and the weight of a clean text.
+    """Texts and labels to fit on, and the weight of a clean text against a toxic one.
 
-    Of each label at most ``size`` rows that are not held out, in the order of a hash of the id.
-    They are few, so they meet the documents in a broadcast join; the driver receives at most
-    2 * ``size`` texts of at most ``SAMPLE_CHARS`` characters.
+    The weight gives the sample the shares that the labels have in the whole table, so that scores
+    do not move with its size. Of each label at most ``size`` rows that are not held out, in the
+    order of a hash of the id. They are few, so they meet the documents in a broadcast join; the
+    driver receives at most 2 * ``size`` texts of at most ``SAMPLE_CHARS`` characters.
     """
     known = (
         labels.where("toxic in (0, 1) and doc_id is not null")
@@ -224,8 +225,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> t
     texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
-    clean = max(1, sum(r[2] == 0 for r in rows))
-    weight = max(1.0, total.get(0, 0) / clean)
+    toxic = sum(r[2] for r in rows)
+    weight = 1.0
+    if 0 < toxic < len(rows):
+        # Each label stands for all of its rows: a limit met by one of them must not move the other.
+        weight = (total[0] / (len(rows) - toxic)) / (total[1] / toxic)
     return [r[1] for r in rows], [r[2] for r in rows], weight
 
 

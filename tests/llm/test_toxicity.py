@@ -57,6 +57,26 @@ def test_labels_held_out_are_not_seen(spark, docs):
         assert (r.score >= 0.5) == bool(r.row.doc_id % 2)
 
 
+def test_scores_do_not_move_with_the_number_of_labels(spark, docs):
+    """Eight times the labels at the same share, with a limit that cuts toxic rows only then."""
+    rng = np.random.default_rng(5)
+    kinds = (("good", "fine", "idiot"), ("idiot", "fool", "good"))
+    few, many = (
+        [(i, " ".join(rng.choice(kinds[i % 10 == 0], 3)), int(i % 10 == 0)) for i in range(n)] for n in (600, 4800)
+    )
+    asked = docs("good fine good", "idiot good fine", "idiot good good", "fool idiot idiot", "idiot idiot good")
+    found = []
+    for rows in (few, many):
+        frame = docs(*[r[:2] for r in rows])
+        labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+        _, ys, weight = toxicity.training_sample(frame, labels, 60)
+        share = sum(ys) / (sum(ys) + weight * (len(ys) - sum(ys)))
+        assert share == pytest.approx(0.1, abs=0.02)
+        model = toxicity.learned(frame, labels, 60)
+        found.append({r.row.doc_id: r.score for r in toxicity.scored(asked, model).collect()})
+    assert {k: v >= 0.5 for k, v in found[0].items()} == {k: v >= 0.5 for k, v in found[1].items()}
+
+
 def test_odd_rows(spark, docs, small_batches):
     texts = [None, "", "123 !!", "İstanbul idiot", "idiot", "idiot", "word " * 3000]
     frame = docs(*texts, (None, "idiot"), extra="score long, spans long")
