@@ -1,10 +1,13 @@
 """Personal data: fixed formats, and identifiers that bootstrapped contexts find.
 
-The formats (``email``, ``ip``, ``card``, ``phone``) and identifiers of unmistakable shape are the
-seeds. A *pattern* is a way of writing an identifier: its left context and its shape. Patterns and
+Values of the formats (``email``, ``ip``, ``card``, ``phone``) after a cue, which is a word with
+``=`` or ``:``, and identifiers of unmistakable shape are the seeds. A *pattern* is a way of writing an identifier: its left context and its shape. Patterns and
 the values that they extract form a graph. Reliability flows from the seeds to the patterns that
 extract them, from there to the other values of these patterns, and so on (Pantel and Pennacchiotti's
 Espresso). What the patterns of high reliability extract is added as kind ``id``.
+
+A word alone is no cue: in the given tables, valid cards and numbers that fail the check digit
+follow the same words of prose. Values of letters only are no candidates.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 # An identifier candidate: a run of letters and digits with both, of 12 characters or more.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12,}+")
+# After a cue, also numbers of any length with separators, and shorter runs with a digit.
+_SIGN = re.compile(r"[=:]\s?[\"']?(?=[+(A-Za-z0-9])")
+_NUMBER = re.compile(r"\+?\(?[0-9]++(?:[\x20().\-/]{1,2}[0-9]++)*+(?![A-Za-z0-9])")
+_RUN = re.compile(r"(?=[A-Za-z]*[0-9])[A-Za-z0-9]++")
 _HEX = re.compile(r"[0-9a-f]+")
 _CUE = re.compile(r"([^\W\d_]{0,24})(\s?[=:]\s?[\"']?)$")
 
@@ -91,12 +98,20 @@ def shape(value: str) -> str:
     return f"{letters}{1 << (len(value).bit_length() - 1)}"
 
 
-def candidates(text: str) -> list[tuple[int, int, str, list[str], bool]]:
+def digits_of(value: str) -> str:
+    """How many digits a number has, to the nearest power of two below."""
+    return f"d{1 << (len(_NOT_DIGITS.sub('', value)).bit_length() - 1)}"
+
+
+def candidates(
+    text: str, base: list[tuple[int, int, str]] | None = None
+) -> list[tuple[int, int, str, list[str], bool]]:
     """(start, end, value, patterns, seed) of the identifier candidates of a text.
 
-    Patterns go from special to general: cue word with delimiter and shape, delimiter with shape,
-    and fixed lead letters with shape. A seed is 32 or more hexadecimal digits, or 16 or more
-    capitals and digits: nobody writes words like that.
+    Patterns go from special to general: cue word with delimiter and shape, cue word with
+    delimiter, delimiter with shape, and fixed lead letters with shape. A seed is 32 or more
+    hexadecimal digits, or 16 or more capitals and digits: nobody writes words like that. So is
+    what the fixed formats find (``base``) after a cue; an email stands for what names a person.
     """
     found = []
     for m in _CANDIDATE.finditer(text):
@@ -106,7 +121,7 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str], bool]]:
         if cue:
             sign = "".join(cue[2].split())
             if cue[1]:
-                patterns.append(f"cue {cue[1].lower()}{sign} {form}")
+                patterns += [f"cue {cue[1].lower()}{sign} {form}", f"cue {cue[1].lower()}{sign[0]} run"]
             patterns.append(f"sign {sign[0]} {'hex' if form.startswith('hex') else form}")
         if value[:4].isalpha():
             patterns.append(f"lead {value[:4]} {form}")
@@ -114,6 +129,37 @@ def candidates(text: str) -> list[tuple[int, int, str, list[str], bool]]:
             len(value) >= 16 and value.upper() == value
         )
         found.append((m.start(), m.end(), value, patterns, seed))
+    if base is None:
+        base = base_spans(text)
+    starts = {f[0] for f in found}
+    fixed = {s: (e, kind) for s, e, kind in base}
+    at = 0  # the first base span that ends after the next value starts
+    for m in _SIGN.finditer(text):
+        start = m.end()
+        cue = _CUE.search(text[max(0, start - 30) : start])
+        if not cue or not cue[1]:
+            continue
+        word = f"cue {cue[1].lower()}{cue[2].strip()[0]}"
+        if start in fixed:
+            stop, kind = fixed[start]
+            value = text[start:stop]
+            if kind == "email":
+                found.append((start, stop, value, [f"{word} run"], True))
+            else:
+                found.append((start, stop, value, [f"{word} {digits_of(value)}", f"{word} number"], True))
+            continue
+        number = _NUMBER.match(text, start)
+        run = number or _RUN.match(text, start)
+        while at < len(base) and base[at][1] <= start:
+            at += 1
+        if not run or start in starts or (at < len(base) and base[at][0] < run.end()):
+            continue
+        value = run[0]
+        if number:
+            patterns = [f"{word} {digits_of(value)}", f"{word} number"]
+        else:
+            patterns = [f"{word} {shape(value)}", f"{word} run"]
+        found.append((start, run.end(), value, patterns, False))
     return found
 
 
@@ -128,11 +174,12 @@ def scanned(docs: DataFrame) -> DataFrame:
         for batch, texts in texts_of(batches):
             base, found = [], []
             for text in texts:
-                base.append([dict(start=s, stop=e, kind=k) for s, e, k in base_spans(text or "")])
+                fixed = base_spans(text or "")
+                base.append([dict(start=s, stop=e, kind=k) for s, e, k in fixed])
                 found.append(
                     [
                         dict(start=s, stop=e, value=sha256(v.encode()).digest()[:16], patterns=p, seed=x)
-                        for s, e, v, p, x in candidates(text or "")
+                        for s, e, v, p, x in candidates(text or "", fixed)
                     ]
                 )
             span = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])

@@ -92,6 +92,30 @@ def test_patterns_spread_from_seeds(docs):
     assert found[22] == [(5, 13, "email")]
 
 
+def test_cues_spread_from_fixed_formats(docs):
+    phones = [f"reach tel: +1 (988) 555-{2400 + i} or" for i in range(4)]
+    cards = [f"paid card={n} now" for n in ("4111 1111 1111 1111", "5500 0000 0000 0004", "4000-0000-0000-0002")]
+    mails = [f"by user: {n}@c.de ok" for n in ("ann", "bob", "cy")]
+    unlike = ["tel: 0151 2345678 x", "tel: 555-2485", "card=12345678 x", "user: dora42 x"]
+    others = ["page: 0151 2345678 x", "tel 555-2485", "tel: see", "at 10:30 user dora42", "room: 12a"]
+    frame = docs(*phones, *cards, *mails, *unlike, *others)
+    found = spans(frame)
+    values = ["0151 2345678", "555-2485", "12345678", "dora42"]
+    for i, (text, value) in enumerate(zip(unlike, values, strict=True), start=11):
+        at = text.index(value)
+        assert found[i] == [(at, at + len(value), "id")]
+    assert [[k for *_, k in found[i]] for i in range(1, 11)] == [["phone"]] * 4 + [["card"]] * 3 + [["email"]] * 3
+    assert not any(found[i] for i in range(15, 20))
+    masked = {r.doc_id: r.text for r in pii.masked(frame).collect()}
+    assert masked[11] == "tel: <id> x" and masked[1] == "reach tel: <phone> or"
+
+
+def test_a_cue_of_many_other_numbers_is_not_reliable(docs):
+    frame = docs(*[f"no: +1 (988) 555-{2400 + i}" for i in range(4)], *[f"no: {i + 10}" for i in range(30)])
+    found = spans(frame)
+    assert not any(found[i] for i in range(5, 35))
+
+
 def test_one_pattern_is_not_enough(docs):
     """Values whose patterns no seed extracts stay."""
     frame = docs(*[f"id: {'b2' + secret(i, 14)}." for i in range(9)])
