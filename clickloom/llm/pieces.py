@@ -1,4 +1,10 @@
-"""SentencePiece encoding and decoding by an Aho-Corasick automaton and a single-pass Viterbi."""
+"""SentencePiece encoding and decoding by an Aho-Corasick automaton and a single-pass Viterbi.
+
+The Viterbi takes the greatest total score whatever the model's type. The scores of a BPE model are
+merge ranks, which its own tokenizer uses in another way: its ids are not reproduced. With
+piece_bpe_32k.model, all of 300 texts of sf0.01 (first 5,000 characters) differ, 277,423 ids against
+244,036; decoding is the model's own.
+"""
 
 from __future__ import annotations
 
