@@ -14,11 +14,16 @@ from clickloom.llm import (
     pieces,
     pii,
     quality_rules,
+    resampling,
+    sql,
     suffix_dedup,
     toxicity,
     url_filter,
+    vector_codes,
+    warc,
     weak_quality,
 )
+from clickloom.session import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -177,3 +182,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weak_quality.featured(docs)
     found = weak_quality.scored(found, *weak_quality.learned(found))
     return found.select("row.doc_id", "pattern", "posterior", "score", "kept")
+
+
+@query("op11_warc", sql.WARC)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    return warc.pages(warc.records(spark, path, payloads=False))
+
+
+@query("op12_vector_codes", sql.codes())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.compressed(vectors)
+    return coded.select(
+        "row.vec_id",
+        "code",
+        "error",
+        F.col("group_error").alias("label_error"),
+        F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"),
+    )
+
+
+@query("op13_importance_resampling", sql.draw())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    target = table(spark, sf_dir, "benchmark").select("text")
+    found = resampling.resampled(docs, target)
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
