@@ -22,6 +22,7 @@ from clickloom.sources.files import open_fs
 MIN_REVISIT_BYTES = 1000
 HOT_PAYLOADS = 4096  # payloads that may each have this share of the repeated rows
 RANGE_BYTES = 16 * 1024 * 1024
+RANGES_PER_TASK = 8
 BATCH_BYTES = 4 * 1024 * 1024
 
 # Fixed values of the format.
@@ -147,7 +148,17 @@ def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Da
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     cut = files.select("path", F.col("length").alias("size"), starts.alias("start"))
     stop = F.least(F.col("start") + range_bytes, "size").alias("stop")
-    return cut.select("*", stop).repartition("path", "start")
+    return dealt(cut.select("*", stop))
+
+
+def dealt(cut: DataFrame) -> DataFrame:
+    """Ranges spread over tasks of up to ``RANGES_PER_TASK``, all cores at least.
+
+    The number is given: the rows are few bytes, and without it they would be merged into one task.
+    """
+    cores, rows = cut.sparkSession.sparkContext.defaultParallelism, cut.count()
+    tasks = max(1, min(rows, max(cores, -(-rows // RANGES_PER_TASK))))
+    return cut.repartition(tasks, "path", "start")
 
 
 def links(cut: DataFrame) -> DataFrame:
@@ -225,7 +236,7 @@ def records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, payl
     entered = reached(keep(links(cut), "warc-candidates"), cut)
     start = (F.floor(F.col("offset") / range_bytes) * range_bytes).cast("long").alias("start")
     entries = entered.select("path", F.col("offset").alias("entry"), start)
-    wanted = cut.join(entries, ["path", "start"]).repartition("path", "start")
+    wanted = dealt(cut.join(entries, ["path", "start"]))
     names = ["path", "offset", "fields", "n_bytes", "sha1", *["payload"][: int(payloads)]]
     kinds = [pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
 
