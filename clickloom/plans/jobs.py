@@ -21,6 +21,7 @@ from clickloom.operators.vocabulary import (
 )
 from clickloom.session import new_path, tune
 from clickloom.sinks import files as sinks
+from clickloom.sinks import stages
 from clickloom.sources.clicklog import read_tsv
 from clickloom.spec import FeatureSpec
 
@@ -138,6 +139,8 @@ def prepare_days(
     seed: int = 0,
     split: str | None = None,
     folder: str | None = None,
+    source: str | None = None,
+    recreate: bool = False,
 ) -> DataFrame:
     """Raw rows to training rows by day.
 
@@ -150,12 +153,23 @@ def prepare_days(
 
     Prepared rows are kept once; only keys are sorted and numbered, and wide
     rows move once, to their place. With ``folder`` every stage is kept there,
-    the result by day, and a stage that is finished is not run again.
+    the result by day. A later call builds anew the stages that its arguments or
+    its input change, and reuses the others; ``recreate`` builds all. An input
+    that is not plain files is read once to know its rows; ``source``, any text
+    that stands for its content, saves that.
     """
     if randomize not in ("none", "day", "total"):
         raise ValueError(f"randomize must be none, day or total, not {randomize!r}")
     spark = df.sparkSession
     kept_in = folder or new_path(spark, "days")
+    if folder is None:
+        origin = ""  # a fresh folder has nothing to compare
+    else:
+        origin = stages.source_fingerprint(df) if source is None else f"source {source}"
+    drawn = {"rate": negatives_rate, "seed": seed if negatives_rate else None}
+    columns = {"label": spec.label, "dense": spec.dense, "sparse": spec.sparse, "row_key": row_key}
+    encoded_by = {"modulus": modulus, **drawn, **columns}
+    cut_by = {"days": days} if split is None else {"split": split}
 
     def prepared() -> DataFrame:
         if split is None:
@@ -166,16 +180,21 @@ def prepare_days(
         kept = subsample_negatives(labelled, spec.label, negatives_rate, row_key, seed)
         return preprocess(kept, spec, modulus, [row_key, "split"])
 
-    rows = sinks.write_if_absent(spark, f"{kept_in}/prepared", prepared)
+    rows = stages.write_if_changed(
+        spark, f"{kept_in}/prepared", prepared, {**encoded_by, **cut_by}, [origin], recreate=recreate
+    )
 
     def vocabulary() -> DataFrame:
         return fit_vocabulary(rows, spec.sparse, "first_seen", row_key)
 
-    known = sinks.write_if_absent(spark, f"{kept_in}/vocabulary", vocabulary)
+    # The days of the rows do not matter to their values.
+    known = stages.write_if_changed(
+        spark, f"{kept_in}/vocabulary", vocabulary, encoded_by, [origin], recreate=recreate
+    )
+    last = days - 1 if holdout else None
 
     def ordered() -> DataFrame:
         narrow = rows.select(row_key, "split")
-        last = days - 1 if holdout else None
         if randomize == "total":
             dealt = splits.shuffle_into_splits(narrow, "split", row_key, last, seed)
             places = dealt.select(row_key, F.col("bucket").alias("split"), "slot")
@@ -191,10 +210,12 @@ def prepare_days(
 
     if folder is None:
         return ordered()
-    target = f"{folder}/days"
-    if not sinks.exists(spark, target):
-        sinks.write_splits(ordered(), target)
-    return spark.read.parquet(target)
+    order = {"randomize": randomize}
+    if randomize != "none":
+        order |= {"last": last, "seed": seed}
+    return stages.write_if_changed(
+        spark, f"{folder}/days", ordered, {**encoded_by, **cut_by, "order": order}, [origin], ["split"], recreate
+    )
 
 
 def text_to_vectors(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clickloom.functions.rows import row_to_tsv
 from clickloom.functions.vectors import pad_vector
 from clickloom.operators.splits import block_bounds, block_of
+from clickloom.sinks.stages import exists, write_if_absent, write_if_changed  # noqa: F401
 from clickloom.sources.clicklog import file_ordinal
 from clickloom.sources.tfrecord import read_tfrecords, write_tfrecords
 
@@ -107,23 +108,6 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.partitionBy(split).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a finished output is at ``path``."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(marker)
-
-
-def write_if_absent(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame]
-) -> DataFrame:
-    """The finished output at ``path``; built and written only when it is missing."""
-    if not exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def write_padded_vectors(words: DataFrame, path: str, zeros: int) -> None:
     """Word table with ``zeros`` zeros after each vector, in word order."""
     padded: Column = pad_vector(F.col("vec"), zeros)

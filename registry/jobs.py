@@ -181,14 +181,14 @@ FILES = 4
     ),
 )
 def day_job_by_file(spark, sf):
-    """One folder of files per day; the second call finds every stage finished."""
+    """One folder of files per day; earlier calls with other arguments leave their stages behind."""
     path, folder = new_path(spark, "log"), new_path(spark, "days")
     for k in range(FILES):
         clicklog(spark, sf).where(F.col("split") % FILES == k).drop("split").write.parquet(f"{path}/day_{k}")
     log = with_split_from_file(spark.read.parquet(f"{path}/day_*"), r"day_(\d+)")
-    for _ in range(2):
+    for modulus, rate, randomize, seed in ((64, 0.5, "day", 3), (M, 0.25, "total", 8), (M, 0.25, "none", 8)):
         out = jobs.prepare_days(
-            log, STANDARD, "row_id", FILES, M, 0.25, "none", seed=8, split="split", folder=folder
+            log, STANDARD, "row_id", FILES, modulus, rate, randomize, seed=seed, split="split", folder=folder
         )
     return rounded(out, DENSE)
 

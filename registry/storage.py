@@ -8,6 +8,7 @@ from clickloom.functions.dense import fill_missing
 from clickloom.functions.sparse import hex_mod, hex_to_int
 from clickloom.session import new_path, spread
 from clickloom.sinks import files as sinks
+from clickloom.sinks import stages
 from clickloom.sources import clicklog as tsv
 from clickloom.sources import generate, records, tfrecord
 from clickloom.sources.text import read_documents
@@ -366,3 +367,24 @@ def write_if_absent(spark, sf):
 
     sinks.write_if_absent(spark, path, build)
     return sinks.write_if_absent(spark, path, rebuilt)
+
+
+@query("write_if_changed", with_f1(f"SELECT row_id, split, {listed(SPARSE, hexmod)} FROM f1"))
+def write_if_changed(spark, sf):
+    """The output of another modulus is not reused; the same call again builds nothing."""
+    path = new_path(spark, "stage")
+    log = clicklog(spark, sf)
+    origin = [stages.source_fingerprint(log)]
+
+    def stage(m, build=None):
+        def reduced():
+            return log.select(*ROW, *[hex_mod(fill_missing(c), m).alias(c) for c in SPARSE])
+
+        return stages.write_if_changed(spark, path, build or reduced, {"modulus": m}, origin)
+
+    def rebuilt():
+        raise AssertionError("the stage was built twice")
+
+    stage(M // 2)
+    stage(M)
+    return stage(M, rebuilt)
