@@ -6,8 +6,11 @@ partitioning or another engine gives the same draw. ``rand()`` does not.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _DRAW_DIGITS = 15
 DRAW_RANGE = 16**_DRAW_DIGITS
@@ -82,3 +85,45 @@ def gaussian_vector(seed: int | str, dim: int, *keys: Column) -> Column:
     )
     vectors = F.transform(one, lambda s: F.transform(steps, lambda t: component(s, t)))
     return F.get(vectors, F.lit(0))
+
+
+def gaussian_rows(digits: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors of ``gaussian_vector`` for many digests at once: one row of ``dim`` FLOATs each.
+
+    ``digits`` has the 32 characters of one digest in each row, as bytes.
+    """
+    # 0-9 have their value in the low four bits; a-f lie 9 above theirs.
+    values = (digits & 15).astype(np.int64) + 9 * (digits >> 6).astype(np.int64)
+    powers = 16 ** np.arange(_DRAW_DIGITS - 1, -1, -1, dtype=np.int64)
+    (m1, _), (m2, _) = GENERATORS
+    first = (values[:, :_DRAW_DIGITS] @ powers) % (m1 - 1) + 1
+    second = (values[:, 16 : 16 + _DRAW_DIGITS] @ powers) % (m2 - 1) + 1
+    a1, a2, b1, b2 = np.array(generator_steps(dim), np.int64).reshape(-1, 4).T
+
+    def uniforms(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        z = (first[:, None] * own % m1 - second[:, None] * other % m2) % (m1 - 1)
+        return np.where(z == 0, m1 - 1, z) / float(m1)
+
+    radius = np.sqrt(-2.0 * np.log(uniforms(a1, a2)))
+    return (radius * np.cos(2.0 * np.pi * uniforms(b1, b2))).astype(np.float32)
+
+
+def digest_bytes(digests: pa.Array) -> np.ndarray:
+    """The characters of digests, none of them null: one row of 32 bytes each."""
+    fixed = digests.cast(pa.binary()).cast(pa.binary(32))
+    return np.frombuffer(fixed.buffers()[1], np.uint8, 32 * len(fixed), 32 * fixed.offset).reshape(-1, 32)
+
+
+def gaussian_vectors(digests: Column, dim: int) -> Column:
+    """``gaussian_rows`` as an Arrow function of a digest column; a null digest has no vector."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def drawn(found: pa.Array) -> pa.Array:
+        given = found.drop_null()
+        flat = gaussian_rows(digest_bytes(given), dim).reshape(-1) if len(given) else np.zeros(0, np.float32)
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(known)]) * dim
+        offsets = pa.array(ends, pa.int32(), mask=np.append(~known, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(flat))
+
+    return drawn(digests)

@@ -18,12 +18,10 @@ _LOW32 = 0xFFFFFFFF
 
 def utf8_bytes(word: Column) -> Column:
     """UTF-8 byte values of a word, in order."""
-    digits = F.hex(F.encode(word, "UTF-8"))
+    # In this charset the code of a character is its byte.
+    single = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
     positions = F.sequence(F.lit(1), F.octet_length(word))
-    values = F.transform(
-        positions,
-        lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"),
-    )
+    values = F.transform(positions, lambda i: F.ascii(F.substr(single, i, F.lit(1))).cast("bigint"))
     return F.when(word == "", F.array().cast("array<bigint>")).otherwise(values)
 
 

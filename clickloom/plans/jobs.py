@@ -23,6 +23,7 @@ from clickloom.session import new_path, tune
 from clickloom.sinks import files as sinks
 from clickloom.sinks import stages
 from clickloom.sources.clicklog import read_tsv
+from clickloom.sources.vector_store import write_vector_store
 from clickloom.spec import FeatureSpec
 
 
@@ -232,12 +233,11 @@ def text_to_vector_batches(
 ) -> DataFrame:
     """Documents to arrays of at most ``size`` vectors, one per letter-only token, in order.
 
-    Only ids go through the shuffle that gathers a batch; vectors of a word table of bounded size
-    are attached afterwards.
+    The word table becomes a store of mapped files, and documents are not shuffled. Only a table whose
+    vectors do not all have ``dim`` components is joined to single tokens.
     """
-    if embeddings.fits_broadcast(words, dim):
-        found = embeddings.lookup_ids(docs, words, doc)
-        return embeddings.attach_vectors(found, words, dim, seed, size, doc)
+    if embeddings.table_shape(words)[1] == dim:
+        return embeddings.vector_sequences(docs, write_vector_store(words, dim), seed, size, doc)
     return embeddings.vector_batches(text_to_vectors(docs, words, dim, seed, doc), size, doc)
 
 

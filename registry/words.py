@@ -16,6 +16,7 @@ from clickloom.plans.jobs import text_to_vector_batches
 from clickloom.session import new_path, spread, store, store_counted
 from clickloom.sinks.files import write_padded_vectors
 from clickloom.sources.text import read_word_vectors
+from clickloom.sources.vector_store import write_vector_store
 from registry.base import query, table
 
 DIM = 64
@@ -200,7 +201,18 @@ def embedding_lookup(spark, sf):
     f"WITH {WORDS} SELECT doc_id, pos, token, idx, {ENDS} FROM tok LEFT JOIN words ON token = word",
 )
 def embedding_lookup_large(spark, sf):
-    """The way for word tables too large to broadcast."""
+    """The way for word tables too large to broadcast: mapped files."""
+    vectors = write_vector_store(word_table(spark, sf), DIM)
+    found = E.lookup_in_store(docs(spark, sf), vectors)
+    return found.select("doc_id", "pos", "token", "idx", *vector_columns())
+
+
+@query(
+    "embedding_lookup_shuffled",
+    f"WITH {WORDS} SELECT doc_id, pos, token, idx, {ENDS} FROM tok LEFT JOIN words ON token = word",
+)
+def embedding_lookup_shuffled(spark, sf):
+    """The way for large word tables whose vectors differ in length."""
     from clickloom.operators.lookup import skewed_lookup
 
     tokens = E.token_rows(docs(spark, sf))
@@ -388,7 +400,7 @@ def fnv_sql(word: str, multiplier: int) -> str:
 
 
 def hashed(fn: str) -> str:
-    return f"{ALL_WORDS}, hashed AS (SELECT word, idx, {fn} AS h FROM words)"
+    return f"{ALL_WORDS}, hashed AS MATERIALIZED (SELECT word, idx, {fn} AS h FROM words)"
 
 
 def low(bits: int) -> str:
@@ -514,13 +526,15 @@ def build_hash_table(spark, sf):
 
 @query(
     "hash_table_probe",
-    f"WITH {hashed(XOR)} SELECT p.word, cast(p.h % 16777216 as bigint) AS bucket, "
-    "cast(t.idx % 16777216 as bigint) AS found_idx FROM hashed p LEFT JOIN hashed t ON p.h = t.h",
+    f"WITH {hashed(XOR)}, keyed AS MATERIALIZED (SELECT word, idx, cast(h % {2**63} as bigint) AS low, "
+    f"cast(h // {2**63} as bigint) AS high, cast(h % 16777216 as bigint) AS bucket FROM hashed) "
+    "SELECT p.word, p.bucket, cast(t.idx % 16777216 as bigint) AS found_idx "
+    "FROM keyed p LEFT JOIN keyed t ON p.low = t.low AND p.high = t.high",
 )
 def hash_table_probe(spark, sf):
     """What a hash table is for is one join on the hash here."""
     h = H.xor_rotate_hash(F.col("word"))
-    hashed = all_words(spark, sf).withColumn("h", h)
+    hashed = store(all_words(spark, sf).withColumn("h", h), "hashed-words")
     known = hashed.select("h", F.col("idx").alias("found_idx"))
     bucket = H.low_bits(F.col("h"), 24).alias("bucket")
     return hashed.join(known, "h", "left").select("word", bucket, "found_idx")

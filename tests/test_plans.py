@@ -1,11 +1,15 @@
 """The plans we expect: what is pushed down, broadcast and shuffled."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import embeddings as E
 from clickloom.operators import vocabulary as V
 from clickloom.plans import jobs
 from clickloom.sources import clicklog
+from clickloom.sources.vector_store import Opened, write_vector_store
 from clickloom.spec import FeatureSpec
 
 SPEC = FeatureSpec.from_counts(2, 3)
@@ -62,16 +66,59 @@ def test_no_cross_joins(spark, tmp_path):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_vectors_do_not_go_through_a_shuffle(spark):
-    docs = spark.createDataFrame([(1, "the odd cat"), (2, None), (3, "")], "doc_id bigint, text string")
-    words = spark.createDataFrame(
-        [("the", 5, [1.0, 2.0]), ("cat", 2, [3.0, 4.0])], "word string, idx bigint, vec array<float>"
-    )
-    out = jobs.text_to_vector_batches(docs, words, 2, seed=4, size=2)
-    for line in plan(out).splitlines():
-        assert "Exchange" not in line or "vec" not in line
+DOCS = [(1, "the odd cat " * 5), (2, None), (3, ""), (None, "cat, the. cat Rare words here"), (5, "!!")]
+WORDS = [("the", 5, [1.0, 2.0]), ("cat", 2, [3.0, 4.0]), (None, 9, [5.0, 6.0]), ("unused", 3, [0.5, 0.25])]
+
+
+def text_tables(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    return docs, spark.createDataFrame(WORDS, "word string, idx bigint, vec array<float>")
+
+
+def test_sequences_need_no_shuffle(spark, monkeypatch):
+    """Vectors come from mapped files, in pieces when a document has more than a task holds."""
+    docs, words = text_tables(spark)
     filled = jobs.text_to_vectors(docs, words, 2, seed=4)
-    assert sorted(out.collect()) == sorted(E.vector_batches(filled, 2).collect())
+    wanted = sorted(E.vector_batches(filled, 2).collect(), key=repr)
+    for floats in (1 << 21, 6):
+        monkeypatch.setattr(E, "TASK_FLOATS", floats)
+        out = jobs.text_to_vector_batches(docs, words, 2, seed=4, size=2)
+        assert "Exchange" not in plan(out)
+        assert sorted(out.collect(), key=repr) == wanted
+
+
+def test_large_word_tables_are_mapped(spark, monkeypatch):
+    """Beyond the broadcast limit no exchange carries a vector."""
+    docs, words = text_tables(spark)
+    wanted = sorted(E.lookup_words(docs, words).collect(), key=repr)
+    monkeypatch.setattr(E, "BROADCAST_BYTES", 0)
+    out = E.lookup_words(docs, words)
+    assert "Exchange" not in plan(out) and "Join" not in plan(out)
+    assert sorted(out.collect(), key=repr) == wanted
+    odd = words.unionByName(spark.createDataFrame([("odd", 7, [1.0])], words.schema))
+    assert E.lookup_words(docs, odd).where("token = 'odd'").first()["idx"] == 7
+
+
+def test_store_refuses_a_word_twice(spark):
+    _, words = text_tables(spark)
+    with pytest.raises(ValueError, match="twice"):
+        write_vector_store(words.union(words), 2)
+
+
+def test_store_of_many_batches(spark):
+    """Hashes of words in other files, other batches, and before the first one."""
+    words = spark.range(5000).select(
+        F.concat(F.lit("w"), F.col("id")).alias("word"), F.col("id").alias("idx"),
+        F.array(F.col("id").cast("float"), -F.col("id").cast("float")).alias("vec"),
+    )
+    kept = write_vector_store(words.repartition(5), 2)
+    held = Opened(kept.path, 2)
+    names = pa.array([f"w{i}" for i in range(-20, 5020)])
+    keys = spark.createDataFrame([(n,) for n in names.to_pylist()], "word string")
+    hashes = np.array([r[0] for r in keys.select(F.xxhash64(F.lit(kept.seed), "word")).collect()])
+    known, idx, vectors = held.lookup(hashes, names)
+    assert known.tolist() == [0 <= i < 5000 for i in range(-20, 5020)]
+    assert idx[known].tolist() == list(range(5000)) and vectors[known][:, 1].tolist() == [-i for i in range(5000)]
 
 
 def test_days_evaluate_their_input_three_times_at_most(spark, tmp_path):
