@@ -6,12 +6,17 @@ A vocabulary is a long table ``(feature, value, idx, cnt)``, unique on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import PySparkException
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from clickloom.functions.rows import quoted
 from clickloom.operators.lookup import SAMPLE, skewed_lookup
@@ -22,6 +27,7 @@ from clickloom.session import store, store_counted
 # Text values count one more row for every 64 bytes.
 BROADCAST_ROWS = 2_000_000
 TEXT_BYTES_PER_ROW = 64
+COUNTED_ROWS = 1 << 18
 
 
 def cells(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -50,6 +56,8 @@ def value_counts(
     df: DataFrame, features: Sequence[str], row_key: str | None = None
 ) -> DataFrame:
     """Count of every value, with the least row key where it appears."""
+    if row_key is None and _integers(df, features):
+        return _integer_counts(df, features)
     measures = [F.count(F.lit(1)).alias("cnt")]
     if row_key:
         measures.append(F.min(row_key).alias("first"))
@@ -57,6 +65,50 @@ def value_counts(
     return long.groupBy("feature", "value").agg(*measures)
 
 
+def _integers(df: DataFrame, features: Sequence[str]) -> bool:
+    return all(isinstance(df.schema[f].dataType, T.IntegralType) for f in features)
+
+
+def _integer_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``value_counts`` of integer columns: tasks count runs of ``COUNTED_ROWS`` rows column by column.
+
+    A task holds one run; what it has counted leaves at once, so values of any number fit.
+    """
+    names = list(features)
+
+    def counted(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        for name, column in zip(names, table.columns):
+            cells_of = column.drop_null().cast(pa.int64()).to_numpy()
+            if not len(cells_of):
+                continue
+            low, high = int(cells_of.min()), int(cells_of.max())
+            if high - low < 4 * len(cells_of):
+                counts = np.bincount(cells_of - low)
+                values = np.flatnonzero(counts)
+                values, counts = values + low, counts[values]
+            else:
+                values, counts = np.unique(cells_of, return_counts=True)
+            feature = pa.array([name]).take(pa.array(np.zeros(len(values), np.int32)))
+            yield pa.record_batch([feature, pa.array(values), pa.array(counts)], ["feature", "value", "cnt"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+        for batch in batches:
+            parts.append(batch)
+            rows += batch.num_rows
+            if rows >= COUNTED_ROWS:
+                yield from counted(parts)
+                parts, rows = [], 0
+        if rows:
+            yield from counted(parts)
+
+    found = df.select(*[quoted(f) for f in names]).mapInArrow(run, "feature string, value long, cnt long")
+    kind = "bigint" if any(not isinstance(df.schema[f].dataType, T.IntegerType) for f in names) else "int"
+    total = found.groupBy("feature", "value").agg(F.sum("cnt").alias("cnt"))
+    return total.withColumn("value", F.col("value").cast(kind))
+
+
 def cardinality(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Number of distinct values per column."""
     return (
@@ -188,9 +240,11 @@ def apply_vocabulary(
     """Replace values by ids in every feature column.
 
     Vocabularies are broadcast, smallest first, while their measured rows stay
-    within ``broadcast_rows`` in total. The other columns share one shuffled
-    lookup of their cells, for which ``df`` is kept once. Cells find their row
-    again by ``row_key``, or without one by a number that the kept rows get.
+    within ``broadcast_rows`` in total: those of integers as one sorted array
+    for all columns, those of text as one joined table per column. The other
+    columns share one shuffled lookup of their cells, for which ``df`` is kept
+    once. Cells find their row again by ``row_key``, or without one by a number
+    that the kept rows get.
     """
     wanted = vocabulary.where(F.col("feature").isin(list(features)))
     weight = F.count(F.lit(1)).cast("double")
@@ -209,6 +263,14 @@ def apply_vocabulary(
     if large:
         numbered = df if row_key else df.withColumn("_row", F.monotonically_increasing_id())
         out = _apply_shuffled(store(numbered, "rows"), large, wanted, row_key or "_row")
+    if small and _packable(df, small, vocabulary):
+        looked_up = _apply_packed(out, small, wanted, unseen, oov_id)
+        return looked_up.select(
+            *[
+                _settle(quoted(f"_i_{c}"), unseen, oov_id).alias(c) if c in large else quoted(c)
+                for c in df.columns
+            ]
+        )
     for f in small:
         part = wanted.where(F.col("feature") == f).select(
             F.col("value").alias(f"_v_{f}"), F.col("idx").alias(f"_i_{f}")
@@ -222,6 +284,77 @@ def apply_vocabulary(
     )
 
 
+def _packable(df: DataFrame, features: Sequence[str], vocabulary: DataFrame) -> bool:
+    """Whether values are integers and rows can go through Arrow."""
+    kinds = [vocabulary.schema["value"].dataType, *[df.schema[f].dataType for f in features]]
+    try:
+        to_arrow_schema(df.schema)
+    except PySparkException:
+        return False
+    return all(isinstance(k, T.IntegralType) for k in kinds)
+
+
+class Packed:
+    """The vocabularies of all columns: one array of values sorted by column, and their ids."""
+
+    def __init__(self, features: Sequence[str], entries: pa.Table):
+        codes = pc.index_in(entries["feature"], pa.array(list(features))).to_numpy()
+        values, ids = entries["value"].to_numpy(), entries["idx"].to_numpy()
+        order = np.lexsort((values, codes))
+        self.values, self.ids = values[order].astype(np.int64), ids[order].astype(np.int64)
+        starts = np.searchsorted(codes[order], np.arange(len(features) + 1))
+        self.part = {f: (starts[i], starts[i + 1]) for i, f in enumerate(features)}
+
+    def lookup(self, feature: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of values, and which of them are known."""
+        start, stop = self.part[feature]
+        values, ids = self.values[start:stop], self.ids[start:stop]
+        if start == stop:
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        if values[0] == 0 and values[-1] == len(values) - 1:  # every value up to the last
+            at = np.clip(wanted, 0, len(values) - 1)
+        else:
+            at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+        return ids[at], values[at] == wanted
+
+
+def _apply_packed(
+    df: DataFrame, features: Sequence[str], vocabulary: DataFrame, unseen: str, oov_id: int
+) -> DataFrame:
+    """Look the columns up in one broadcast dictionary, all in one pass over Arrow batches.
+
+    The caller has measured that the vocabularies are small enough.
+    """
+    _settle(F.lit(None), unseen, oov_id)  # a wrong name fails before any task runs
+    entries = vocabulary.where(F.col("feature").isin(list(features))).select("feature", "value", "idx")
+    packed = df.sparkSession.sparkContext.broadcast(Packed(features, entries.toArrow()))
+    wanted = set(features)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for name, column in zip(names, batch.columns):
+                if name in wanted:
+                    given = column.is_valid().to_numpy(zero_copy_only=False)
+                    cells_of = column.fill_null(0).cast(pa.int64()).to_numpy()
+                    ids, known = packed.value.lookup(name, cells_of)
+                    known &= given
+                    if unseen == "error" and not known.all():
+                        raise ValueError("value is not in the vocabulary")
+                    if unseen == "oov":
+                        column = pa.array(np.where(known, ids, oov_id))
+                    else:
+                        column = pa.array(ids, mask=~known)
+                columns.append(column)
+            yield pa.record_batch(columns, names)
+
+    schema = T.StructType(
+        [T.StructField(f.name, T.LongType()) if f.name in wanted else f for f in df.schema.fields]
+    )
+    return df.mapInArrow(run, schema)
+
+
 def _apply_shuffled(
     df: DataFrame, features: Sequence[str], vocabulary: DataFrame, row_key: str
 ) -> DataFrame:

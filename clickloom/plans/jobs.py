@@ -19,7 +19,7 @@ from clickloom.operators.vocabulary import (
     apply_vocabulary,
     fit_vocabulary,
 )
-from clickloom.session import new_path, tune
+from clickloom.session import new_path, store, tune
 from clickloom.sinks import files as sinks
 from clickloom.sinks import stages
 from clickloom.sources.clicklog import read_tsv
@@ -65,8 +65,11 @@ def preprocess_with_vocabulary(
     row_key: str | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``preprocess``, then learn and apply a vocabulary for each sparse column."""
-    prepared = preprocess(df, spec, modulus, keep)
+    """``preprocess``, then learn and apply a vocabulary for each sparse column.
+
+    Prepared rows are kept once: learning reads the sparse columns of them, applying reads all.
+    """
+    prepared = store(preprocess(df, spec, modulus, keep), "prepared")
     encoder = Categorify(
         spec.sparse, order=order, row_key=row_key, broadcast_rows=broadcast_rows
     )
