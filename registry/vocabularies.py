@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clickloom.operators import bitmaps as B
 from clickloom.operators import vocabulary as V
 from clickloom.session import new_path
 from clickloom.sinks import files as sinks
@@ -84,6 +85,42 @@ def vocab_sorted(spark, sf):
     return vocab(V.fit_vocabulary(reduced(spark, sf), SPARSE, "sorted"))
 
 
+@query(
+    "vocab_bitmap_sorted",
+    with_f1("SELECT feature, value, idx FROM voc", more=cells_cte(M_LARGE) + vocab_cte("sorted")),
+)
+def vocab_bitmap_sorted(spark, sf):
+    """Values below 2**29, numbered by the ranks of their bits."""
+    found = B.value_bitmaps(reduced(spark, sf, M_LARGE), SPARSE, M_LARGE)
+    return B.vocabulary_of(B.rank_bitmaps(found))
+
+
+@query(
+    "vocab_bitmap_days",
+    with_f1(
+        "SELECT feature, count(DISTINCT value) AS cardinality FROM cells GROUP BY ALL", more=cells_cte(M_LARGE)
+    ),
+)
+def vocab_bitmap_days(spark, sf):
+    """Bitmaps of three groups of days, merged."""
+    rows = reduced(spark, sf, M_LARGE)
+    days = [B.value_bitmaps(rows.where(F.col("split") % 3 == k), SPARSE, M_LARGE) for k in range(3)]
+    return B.cardinality(B.merge_bitmaps(*days))
+
+
+@query(
+    "vocab_bitmap_apply",
+    with_f1(
+        wide("coalesce(idx, -1)"),
+        more=cells_cte(M_LARGE) + ", part AS (SELECT * FROM cells WHERE split < 4)" + vocab_cte("sorted", "part"),
+    ),
+)
+def vocab_bitmap_apply(spark, sf):
+    rows = reduced(spark, sf, M_LARGE)
+    ranked = B.rank_bitmaps(B.value_bitmaps(rows.where("split < 4"), SPARSE, M_LARGE))
+    return B.apply_bitmaps(rows, SPARSE, ranked, oov_id=-1, row_key="row_id")
+
+
 @query("vocab_by_frequency", _vocab_sql("frequency"))
 def vocab_by_frequency(spark, sf):
     return vocab(V.fit_vocabulary(reduced(spark, sf), SPARSE, "frequency"))
