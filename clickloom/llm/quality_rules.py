@@ -29,7 +29,7 @@ class Limits:
     """
 
     repeated: dict[int, float] = field(
-        default_factory=lambda: {5: 0.50, 6: 0.49, 7: 0.48, 8: 0.47, 9: 0.46, 10: 0.45}
+        default_factory=lambda: {5: 0.35, 6: 0.33, 7: 0.31, 8: 0.29, 9: 0.27, 10: 0.25}
     )
     lines: float = 0.30
     symbols: float = 0.10
@@ -69,7 +69,7 @@ def measure(text: str | None, limits: Limits) -> tuple:
     """The measures of one text; a null text has no words."""
     tokens = words(text)
     if not tokens:
-        return 0, 0, sum(map((text or "").count, SYMBOLS)), 0, 0, 0.0, 0.0, True, False
+        return 0, 0, sum(map((text or "").count, SYMBOLS)), 0, 0, True, False, 0.0, 0.0
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in tokens), np.int64, len(tokens))
     chars = len(text) - sum(map(text.count, SPACES))
@@ -99,16 +99,16 @@ def measure(text: str | None, limits: Limits) -> tuple:
     base = len(tokens) < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * len(tokens)
     return (
         len(tokens), chars, symbols, again, repeated,
-        again_chars / chars, most, bool(base), not (base or fails),
+        bool(base), not (base or fails), again_chars / chars, most,
     )
 
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "dup_line_share double, repeated_share double, base_failed boolean, kept boolean"
+    "base_failed boolean, kept boolean, dup_line_share double, repeated_share double"
 )
 NAMES = tuple(part.split()[0] for part in MEASURES.split(", "))
-_KINDS = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
+_KINDS = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
 
 def measured(docs: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -161,7 +161,7 @@ def aggregate(counts: dict[int, int], rounds: int = 100) -> Labels:
 
 def token_feature(token: str) -> int:
     """A token's shape: letters, capitals, digits and punctuation, runs of one kind shortened."""
-    shape = re.sub(r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "a", token[:64])
+    shape = re.sub(r"[^\W\d_A-ZÀ-ÖØ-Þ]+", "a", token)
     shape = re.sub(r"[A-ZÀ-ÖØ-Þ]+", "A", re.sub(r"[0-9]+", "9", shape))
     return crc32(shape.encode()) >> (32 - HASH_BITS)
 
@@ -190,7 +190,7 @@ class Featurer:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` but ``text`` as struct ``row``, with ``uid``, ``pattern`` of votes,
+    """The columns of ``docs`` but ``text`` as struct ``row``, with the ``pattern`` of votes
     and features ``index`` and ``value``: one pass over the texts, kept.
 
     Null and empty texts count as texts without words. Every text is read whole.
@@ -217,7 +217,7 @@ def featured(docs: DataFrame) -> DataFrame:
     framed = docs.select(F.struct(*others).alias("row"), F.col("text"))
     added = T.StructType.fromDDL("pattern int, index array<int>, value array<double>")
     found = framed.mapInArrow(run, T.StructType([framed.schema["row"], *added.fields]))
-    return keep(found.withColumn("uid", F.monotonically_increasing_id()), "quality-features")
+    return keep(found, "quality-features")
 
 
 @dataclass
@@ -250,15 +250,24 @@ def fit(rows: list[tuple], labels: Labels, steps: int = 120) -> Scorer:
 def learned(found: DataFrame, size: int = SAMPLE) -> tuple[Labels, Scorer]:
     """Labels from the votes of all ``featured`` documents, and a scorer from a sample of them.
 
-    The sample is the first ``size`` documents in the order of a hash of ``uid``. Only its features
-    come to the driver, besides the pattern counts.
+    The sample is the first ``size`` unlike documents in the order of a hash of their votes and
+    features, so it does not depend on how rows are stored or split; copies count once. Tasks drop
+    copies before anything moves. Only the sample comes to the driver, besides the pattern counts.
     """
     counted = {r[0]: r[1] for r in found.groupBy("pattern").count().collect()}
     labels = aggregate(counted)
-    chosen = found.select("uid").orderBy(F.xxhash64(F.lit("sample"), "uid"), "uid").limit(size)
-    rows = found.join(F.broadcast(chosen), "uid").select("uid", "pattern", "index", "value").collect()
+    content = F.xxhash64(F.lit("sample"), "pattern", "index", "value").alias("content")
+    hashes = found.select(content)
+    chosen = hashes.distinct().orderBy("content").limit(size)
+    rows = (
+        found.select(content, F.struct("pattern", "index", "value").alias("held"))
+        .join(F.broadcast(chosen), "content")
+        .groupBy("content")
+        .agg(F.min("held").alias("held"))
+        .collect()
+    )
     rows.sort(key=lambda r: r[0])
-    return labels, fit([tuple(r[1:]) for r in rows], labels)
+    return labels, fit([tuple(r[1]) for r in rows], labels)
 
 
 def scored(found: DataFrame, labels: Labels, scorer: Scorer) -> DataFrame:

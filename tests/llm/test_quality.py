@@ -100,6 +100,29 @@ def test_odd_rows(docs):
     assert all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in rows)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, docs):
+    """Same rows in other files, orders and batches, with a sample smaller than the table and copies."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(5, 90))) + "\n# x" * (i % 9) for i in range(60)]
+    frame = docs(*texts, *[(100 + i, texts[i % 3]) for i in range(40)])
+    runs = []
+    for rows in (frame.coalesce(1), frame.repartition(7), frame.orderBy(F.col("doc_id").desc())):
+        found = weak_quality.featured(rows)
+        labels, scorer = weak_quality.learned(found, size=20)
+        scored_rows = weak_quality.scored(found, labels, scorer).select("row.doc_id", "score", "kept")
+        runs.append(sorted(map(tuple, scored_rows.collect())))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_very_long_texts(docs):
+    long = " ".join(f"w{i % 5000}" for i in range(150_000))
+    frame = docs("x" * 1_000_000, long, ("y" * 300_000 + "\n") * 3, "short")
+    rows = {r.row.doc_id: r.rules for r in quality_rules.measured(frame).collect()}
+    assert rows[1].n_words == 1 and rows[2].n_words == 150_000 and rows[2].n_repeat_words == 150_000
+    assert rows[3].n_dup_lines == 2 and rows[3].word_chars == 900_000
+    assert scored(frame).count() == 4
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = random.Random(2)
     n = len(weak_quality.LABELLERS)
