@@ -213,6 +213,12 @@ def scan_tfrecord(spark, sf):
     return payload_digests(tfrecord.read_tfrecords(spark, tfrecord_log(spark, sf)))
 
 
+@query("scan_tfrecord_ranges", PAYLOADS)
+def scan_tfrecord_ranges(spark, sf):
+    """Files cut into ranges of 100,000 bytes, each read by a task of its own."""
+    return payload_digests(tfrecord.read_tfrecords(spark, tfrecord_log(spark, sf), range_bytes=100_000))
+
+
 @query("reshard_tfrecord", PAYLOADS)
 def reshard_tfrecord(spark, sf):
     target = new_path(spark, "tfrecords-resharded")
