@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.draws import draw
-from clickloom.operators.numbering import number_rows
+from clickloom.functions.permute import permute
+from clickloom.operators.numbering import number_rows, positions_in_files
 
 
 def block_starts(rows: int, blocks: int) -> list[int]:
@@ -125,6 +126,41 @@ def shuffle_into_splits(
     )
 
 
+def shuffle_files(
+    df: DataFrame, blocks: int, seed: int = 0, across: bool = False, last: int | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """Contiguous ``split`` in file order, and a random ``bucket`` and ``slot``: no row is sorted or moved.
+
+    ``df`` must come straight from ``spark.read.parquet``. A row's place in its file gives its place
+    among all rows, that gives its block, and a permutation by formula gives its new place, inside
+    the block or, with ``across``, among all blocks. Block ``last``, if given, keeps its order.
+    """
+    numbered = positions_in_files(df, "_pos")
+    total = df.count() if rows is None else rows
+    starts = block_starts(total, blocks)
+    sizes = [b - a for a, b in zip(starts, [*starts[1:], total])]
+    split = block_of(F.col("_pos"), starts[1:])
+    begins, lengths = (F.array(*[F.lit(x).cast("bigint") for x in xs]) for xs in (starts, sizes))
+    placed = numbered.withColumn("split", split)
+    begin, length = F.get(begins, F.col("split")), F.get(lengths, F.col("split"))
+    inside = F.col("_pos") - begin
+    pinned = F.col("split").eqNullSafe(F.lit(last))
+    if not across:
+        slot = F.when(pinned, inside).otherwise(permute(inside, length, seed))
+        return placed.select(*df.columns, "split", F.col("split").alias("bucket"), slot.alias("slot"))
+    # The open blocks close up: places after the pinned one lie that much lower.
+    gap_at, gap = (starts[last], sizes[last]) if last is not None else (total, 0)
+    closed = F.col("_pos") - F.when(F.col("_pos") >= gap_at + gap, gap).otherwise(0)
+    moved = placed.withColumn("_new", permute(closed, F.lit(total - gap).cast("bigint"), seed))
+    opened = F.col("_new") + F.when(F.col("_new") >= gap_at, gap).otherwise(0)
+    moved = moved.withColumn("_at", F.when(pinned, F.col("_pos")).otherwise(opened))
+    bucket = block_of(F.col("_at"), starts[1:])
+    moved = moved.withColumn("bucket", bucket)
+    slot = (F.col("_at") - F.get(begins, F.col("bucket"))).alias("slot")
+    return moved.select(*df.columns, "split", "bucket", slot)
+
+
 def sample_fixed(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows chosen uniformly."""
     return df.orderBy(draw(seed, F.col(key)), key).limit(n)

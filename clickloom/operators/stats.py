@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,3 +126,34 @@ def running_max_words(words: DataFrame) -> DataFrame:
     record = F.col("_longer").isNull() | (F.col("_longer") > F.col("idx"))
     # An empty word is never longer than the start value 0.
     return first_longer.where(record & (F.col("length") > 0)).drop("_longer")
+
+
+@contextmanager
+def _footers(spark: SparkSession) -> Iterator[None]:
+    """Spark pushes counts into Parquet footers only through its newer file source."""
+    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _counted(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    return spark.read.parquet(path).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def footer_counts(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of Parquet files, in all or by folder columns, from their footers: no row is decoded."""
+    with _footers(spark):
+        counted = _counted(spark, path, by)
+        return spark.createDataFrame(counted.collect(), counted.schema)  # one row per folder, or one
+
+
+def footer_plan(spark: SparkSession, path: str, by: Sequence[str] = ()) -> str:
+    """How ``footer_counts`` is run."""
+    with _footers(spark):
+        return _counted(spark, path, by)._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clickloom.functions.dense import fill_missing, neg_to_zero
+from clickloom.functions.permute import PRIME, round_keys
 from clickloom.operators import combine, numbering, splits, stats
 from clickloom.operators.filters import subsample_negatives
 from clickloom.operators.vocabulary import distinct_values
@@ -224,6 +225,87 @@ def shuffle_two_pass(spark, sf):
     return splits.shuffle_into_splits(rows, "split", "row_id", last=LAST, seed=6)
 
 
+def permute_sql(at: str, n: str, seed: int) -> str:
+    """The permutation by formula; a list of four numbers is the state of its rounds."""
+    a = f"greatest(ceil(sqrt({n}::double)), 1)::bigint"
+    b = f"greatest(ceil({n}::double / ({a})), 1)::bigint"
+    keys = ", ".join(f"[{k}, {x}, {y}, {z}]" for k, (x, y, z) in enumerate(round_keys(seed)))
+
+    def mixed(x: str) -> str:
+        y = f"(({x} + k[2]) % {PRIME})"
+        return f"(({y} * {y} % {PRIME} * k[3] + k[4]) % {PRIME})"
+
+    def network(v: str) -> str:
+        rounds = (
+            f"list_reduce([[{v} // ({b}), {v} % ({b}), 0, 0]::bigint[]] || [{keys}]::bigint[][], lambda s, k: CASE WHEN "
+            f"k[1] % 2 = 0 THEN [(s[1] + {mixed('s[2]')}) % ({a}), s[2], 0, 0]::bigint[] "
+            f"ELSE [s[1], (s[2] + {mixed('s[1]')}) % ({b}), 0, 0]::bigint[] END)"
+        )
+        return f"list_transform([{rounds}], lambda s: s[1] * ({b}) + s[2])[1]"
+
+    return (
+        f"list_reduce([{network(at)}] || range(({a}) * ({b}) - {n}), "
+        f"lambda v, i: CASE WHEN v < {n} THEN v ELSE {network('v')} END)"
+    )
+
+
+PLACED = (
+    ", placed AS (SELECT row_id, ntile(24) over (order by row_id) - 1 AS split, "
+    "row_number() over (order by row_id) - 1 AS pos FROM f1), "
+    "sized AS (SELECT split, count(*) AS n, min(pos) AS start FROM placed GROUP BY ALL)"
+)
+
+
+def ordered_files(spark, sf):
+    """Row ids in three files, in order of file and row."""
+    path = new_path(spark, "ordered")
+    rows = clicklog(spark, sf).select("row_id")
+    rows.repartitionByRange(3, "row_id").sortWithinPartitions("row_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "shuffle_within_files",
+    with_f1(
+        "SELECT row_id, cast(split as integer) AS split, cast(split as integer) AS bucket, "
+        f"case when split = {LAST} then pos - start else {permute_sql('(pos - start)', 'n', 3)} end AS slot "
+        "FROM placed JOIN sized USING (split)",
+        more=PLACED,
+    ),
+)
+def shuffle_within_files(spark, sf):
+    """New places inside contiguous splits, by formula from file positions."""
+    return splits.shuffle_files(ordered_files(spark, sf), SPLITS, seed=3, last=LAST)
+
+
+@query(
+    "shuffle_across_files",
+    with_f1(
+        "SELECT row_id, cast(m.split as integer) AS split, cast(s.split as integer) AS bucket, "
+        "cast(place - s.start as bigint) AS slot FROM (SELECT row_id, split, case when split = "
+        f"{LAST} then pos else {permute_sql('pos', 'o.n', 6)} end AS place FROM placed, "
+        f"(SELECT count(*) AS n FROM placed WHERE split <> {LAST}) o) m "
+        "JOIN sized s ON place >= s.start AND place < s.start + s.n",
+        more=PLACED,
+    ),
+)
+def shuffle_across_files(spark, sf):
+    """Rows dealt to splits of the same sizes, by formula from file positions."""
+    return splits.shuffle_files(ordered_files(spark, sf), SPLITS, seed=6, across=True, last=LAST)
+
+
+@query(
+    "footer_counts",
+    with_f1("SELECT split, count(*) AS n FROM f1 GROUP BY split UNION ALL SELECT NULL, count(*) FROM f1"),
+)
+def footer_counts(spark, sf):
+    """Rows per split and in all, from the footers of files by split."""
+    path = new_path(spark, "by-split")
+    clicklog(spark, sf).select(*ROW).write.partitionBy("split").parquet(path)
+    total = stats.footer_counts(spark, path).select(F.lit(None).cast("int").alias("split"), "n")
+    return stats.footer_counts(spark, path, ["split"]).unionByName(total)
+
+
 @query(
     "sort_values",
     with_f1(
