@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clickloom.session import store
@@ -12,6 +12,7 @@ from clickloom.session import store
 HOT_KEYS = 4096
 SALTS = 4096
 SAMPLE = 0.01
+SKETCH_ITEMS = 512  # values that a sketch of one column holds
 
 
 def heavy_keys(sampled: DataFrame, on: Sequence[str], keys: int = HOT_KEYS) -> DataFrame:
@@ -24,27 +25,53 @@ def heavy_keys(sampled: DataFrame, on: Sequence[str], keys: int = HOT_KEYS) -> D
     return store(top.select(*on), "heavy-keys")
 
 
+def store_with_heavy(
+    df: DataFrame, columns: Sequence[str], name: str, keys: int = HOT_KEYS
+) -> tuple[DataFrame, list[tuple[str, object, int]]]:
+    """Keep ``df``, and find the most frequent values of ``columns`` in the same pass.
+
+    Returns the kept rows and at most ``keys`` of ``(column, value, about how often)``. Each task has a
+    sketch of bounded size per column, and the sketches are merged; no row is read again. Values that
+    hold more than a ``SKETCH_ITEMS``-th of a column are always among them, if ``keys`` allow it.
+    """
+    each = max(1, min(keys, SKETCH_ITEMS // 2))
+    seen = Observation()
+    sketches = [
+        F.expr(f"approx_top_k(`{c}`, {each}, {SKETCH_ITEMS})").alias(f"c{i}") for i, c in enumerate(columns)
+    ]
+    kept = store(df.observe(seen, F.count(F.lit(1)).alias("rows"), *sketches), name)
+    found = [
+        (c, r["item"], r["count"])
+        for i, c in enumerate(columns)
+        for r in (seen.get[f"c{i}"] or [])
+        if r["item"] is not None and r["count"] > 1
+    ]
+    found.sort(key=lambda r: -r[2])
+    return kept, found[:keys]
+
+
 def skewed_lookup(
     probe: DataFrame,
     table: DataFrame,
     on: Sequence[str],
     spread: Sequence[str],
-    sampled: DataFrame,
+    sampled: DataFrame | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Left join of ``probe`` to ``table`` for a table too large to broadcast.
 
     Heavy keys are answered from a broadcast of at most ``HOT_KEYS`` table
-    rows. Their rows then carry a salted key that matches nothing, so they
+    rows: those of ``heavy`` (``on`` columns, at most ``HOT_KEYS`` rows), or else
+    the most frequent of ``sampled``. Their rows then carry a salted key that matches nothing, so they
     spread evenly over the shuffle that serves the other keys. ``on[0]`` must
     be a text column; ``spread`` names columns that vary between rows.
     """
     values = [c for c in table.columns if c not in on]
-    hot = (
-        heavy_keys(sampled, on)
-        .join(table, list(on), "left")
-        .select(
-            *on, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
-        )
+    asked = heavy_keys(sampled, on) if heavy is None else heavy
+    # The keys go to the table, at most HOT_KEYS rows, so the table is not shuffled for them.
+    answered = store(table.join(F.broadcast(asked), list(on)), "heavy-rows")
+    hot = asked.join(F.broadcast(answered), list(on), "left").select(
+        *on, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
     )
     salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("string"))
     routed = probe.join(F.broadcast(hot), list(on), "left").withColumn(

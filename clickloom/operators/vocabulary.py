@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from clickloom.functions.rows import quoted
-from clickloom.operators.lookup import SAMPLE, skewed_lookup
+from clickloom.operators.lookup import skewed_lookup, store_with_heavy
 from clickloom.operators.numbering import lead_of, number_rows
 from clickloom.session import store, store_counted
 
@@ -262,7 +262,8 @@ def apply_vocabulary(
     out = df
     if large:
         numbered = df if row_key else df.withColumn("_row", F.monotonically_increasing_id())
-        out = _apply_shuffled(store(numbered, "rows"), large, wanted, row_key or "_row")
+        kept, heavy = store_with_heavy(numbered, large, "rows")
+        out = _apply_shuffled(kept, large, wanted, row_key or "_row", heavy)
     if small and _packable(df, small, vocabulary):
         looked_up = _apply_packed(out, small, wanted, unseen, oov_id)
         return looked_up.select(
@@ -355,16 +356,24 @@ def _apply_packed(
     return df.mapInArrow(run, schema)
 
 
+def _heavy_cells(long: DataFrame, heavy: list[tuple]) -> DataFrame:
+    """Frequent values, at most ``HOT_KEYS``, as cells of the same types."""
+    shape = long.select("feature", "value").schema
+    found = long.sparkSession.createDataFrame([(c, v) for c, v, _ in heavy], shape)
+    return store(found.coalesce(1), "heavy-keys")
+
+
 def _apply_shuffled(
-    df: DataFrame, features: Sequence[str], vocabulary: DataFrame, row_key: str
+    df: DataFrame, features: Sequence[str], vocabulary: DataFrame, row_key: str, heavy: list[tuple]
 ) -> DataFrame:
     """Look all cells of ``features`` up together and turn them back into rows."""
+    long = cells(df, features, [row_key])
     found = skewed_lookup(
-        cells(df, features, [row_key]),
+        long,
         vocabulary.select("feature", "value", "idx"),
         on=["feature", "value"],
         spread=[row_key, "feature"],
-        sampled=cells(df.sample(SAMPLE, seed=7), features),
+        heavy=_heavy_cells(long, heavy),
     )
     ids = found.groupBy(row_key).agg(
         *[F.max(F.when(F.col("feature") == f, F.col("idx"))).alias(f"_i_{f}") for f in features]
@@ -385,7 +394,9 @@ def apply_to_files(
 
     ``df`` is a plain file scan. Output folders are ``feature=F/source=FILE``;
     ``keys`` are written along. Cells are looked up as they are written, so a
-    vocabulary of any size needs no row key.
+    vocabulary of any size needs no row key. For one too large to broadcast, the
+    columns used are kept first, with a sketch of their frequent values: the
+    files are read once.
     """
     source = F.col("_metadata.file_name").alias("source")
     named = df.select(*[quoted(c) for c in df.columns], source)
@@ -394,9 +405,11 @@ def apply_to_files(
     if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
         found = long.join(F.broadcast(wanted), ["feature", "value"], "left")
     else:
-        sampled = cells(named.sample(SAMPLE, seed=7), features)
+        used = named.select("source", *[quoted(c) for c in dict.fromkeys([*keys, *features])])
+        kept, heavy = store_with_heavy(used, features, "cells")
+        long = cells(kept, features, ["source", *keys])
         found = skewed_lookup(
-            long, wanted, ["feature", "value"], ["source", *keys, "feature"], sampled
+            long, wanted, ["feature", "value"], ["source", *keys, "feature"], heavy=_heavy_cells(long, heavy)
         )
     found = found.withColumn("idx", _settle(F.col("idx"), "oov", oov_id))
     out = found.select("source", *[quoted(k) for k in keys], "feature", "idx")

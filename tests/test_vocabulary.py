@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from clickloom.operators import numbering
 from clickloom.operators import vocabulary as V
 from clickloom.sinks import files as sinks
-from clickloom.operators.lookup import skewed_lookup
+from clickloom.operators.lookup import skewed_lookup, store_with_heavy
 
 FEATURES = ["a", "b"]
 
@@ -150,3 +150,32 @@ def test_skewed_lookup(spark, sampled):
         (i, k, known.get(k)) for i, k in probe if k
     )
     assert len(out) == len(probe)
+
+
+def test_large_vocabularies_read_their_input_once(spark):
+    """Frequent values come from a sketch taken while the rows are kept."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) AS `a-b`", "if(id % 2 = 0, null, concat('t', id % 5)) AS s")
+    for c in ("a-b", "s"):
+        one = rows.select("id", F.col(f"`{c}`").alias(c))
+        vocabulary = V.fit_vocabulary(one.where("id < 2000"), [c], "sorted")
+        counted = one.mapInArrow(count, one.schema)
+        before = seen.value
+        out = V.apply_vocabulary(counted, [c], vocabulary, "oov", row_key="id", broadcast_rows=0)
+        found = sorted(map(tuple, out.collect()))
+        assert seen.value == before + 3000
+        plain = V.apply_vocabulary(one, [c], vocabulary, "oov")
+        assert found == sorted(map(tuple, plain.collect()))
+
+
+def test_frequent_values_are_found(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id + 100) AS a", "cast(null as int) AS n", "'x' AS s")
+    kept, heavy = store_with_heavy(rows.repartition(5), ["a", "n", "s"], "rows", keys=2)
+    assert kept.count() == 20_000
+    assert [h[:2] for h in heavy] == [("s", "x"), ("a", 7)]
