@@ -11,6 +11,7 @@ from clickloom.functions import text as X
 from clickloom.functions.vectors import pad_vector
 from clickloom.operators import embeddings as E
 from clickloom.operators import hashtable, stats
+from clickloom.operators import sentences as N
 from clickloom.operators.numbering import number_rows
 from clickloom.plans.jobs import text_to_vector_batches
 from clickloom.session import new_path, spread, store, store_counted
@@ -175,6 +176,50 @@ def doc_token_stats(spark, sf):
     return E.doc_token_stats(docs(spark, sf), DIM)
 
 
+# --- sentences ---------------------------------------------------------------
+
+PERIODS = (
+    "bare AS (SELECT regexp_replace(regexp_replace(w, "
+    f"{q(N.BEFORE)}, ''), {q(N.BEHIND)}, '') AS w FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents)), "
+    "stems AS (SELECT lower(case when ends_with(w, '.') then left(w, length(w) - 1) else w end) AS word, "
+    f"ends_with(w, '.') AS ended FROM bare), counts AS MATERIALIZED (SELECT word, count(*) AS n, count(*) FILTER (ended) AS k "
+    f"FROM stems WHERE regexp_matches(word, {q(N.WORD)}) GROUP BY word), "
+    "scores AS (SELECT word, n, k, round(2.0::double * (k * ln(0.99::double) + (n - k) * ln(1 - 0.99::double) - k * ln(p) "
+    "- case when n > k then (n - k) * ln(1 - p) else 0 end) * exp(-m) * (length(word) - m + 1) * pow(m::double, -(n - k)), 6) AS score "
+    "FROM (SELECT *, length(replace(word, '.', '')) AS m, sum(k) over () / sum(n) over () AS p FROM counts) WHERE k > 0)"
+)
+
+
+@query("abbreviation_scores", f"WITH {PERIODS} SELECT word, n, k, score >= 0.3 AS abbreviation FROM scores")
+def abbreviation_scores(spark, sf):
+    """Words by how surely their period is part of them."""
+    scores = N.abbreviation_scores(N.period_counts(docs(spark, sf)))
+    return scores.select("word", "n", "k", (F.col("score") >= N.LEAST_SCORE).alias("abbreviation"))
+
+
+_FORMS = (
+    "SELECT '(^|[\\s\"''“‘(\\[])(' || string_agg(replace(f, '.', '\\.'), '|') || ')\\.(\\s)' AS pattern FROM "
+    "(SELECT DISTINCT unnest([word, upper(left(word, 1)) || substr(word, 2), upper(word)]) AS f FROM scores WHERE score >= 0.3)"
+)
+
+
+def _held(text: str) -> str:
+    return f"case when pattern is null then {text} else regexp_replace({text}, pattern, '\\1\\2{N.HELD}\\3', 'g') end"
+
+
+@query(
+    "tokenize_sentences",
+    f"WITH {PERIODS}, forms AS ({_FORMS}), once AS (SELECT doc_id, pattern, {_held('text')} AS text FROM documents, forms), "
+    f"held AS (SELECT doc_id, {_held('text')} AS text FROM once) SELECT doc_id, "
+    f"translate(array_to_string({tokens_sql('text')}, ' '), '{N.HELD}', '.') AS tokens FROM held",
+)
+def tokenize_sentences(spark, sf):
+    """Tokens with the abbreviations that the texts themselves teach."""
+    texts = docs(spark, sf)
+    known = N.learn_abbreviations(texts)
+    return texts.select("doc_id", joined(N.tokenize(F.col("text"), known)).alias("tokens"))
+
+
 # --- word vectors -----------------------------------------------------------
 
 
