@@ -268,6 +268,7 @@ SUFFIX = ("a", "b", "doc", "uid", "low")
 _SUFFIX_DDL = ", ".join(f"{c} long" for c in SUFFIX) + ", phrase binary"
 #: Conflicts of one trigger that one task compares; more are dealt suffix by suffix.
 TOGETHER = 256
+SALTS = 512  # parts in which the conflicts of one trigger are counted
 
 
 def _sorted_suffixes(parts: list[tuple]) -> pa.RecordBatch:
@@ -414,9 +415,12 @@ def repeated_suffixes(dealt: DataFrame) -> DataFrame:
 
 def _torn(found: DataFrame) -> DataFrame:
     """The conflicts of each row as lists, with whether their trigger has many."""
-    conflicts = found.where("conflict is not null")
-    often = conflicts.groupBy("conflict").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER)
-    marked = conflicts.join(often, "conflict", "left")
+    conflicts = found.where("conflict is not null").withColumn("salt", F.pmod(F.xxhash64("uid", "low"), F.lit(SALTS)))
+    # Counted by part, so that a trigger with a third of all conflicts is no task's alone.
+    parts = conflicts.groupBy("conflict", "salt").agg(F.count(F.lit(1)).alias("n"))
+    often = parts.groupBy("conflict").agg(F.sum("n").alias("n")).where(F.col("n") > TOGETHER)
+    crowded = parts.select("conflict", "salt").join(often, "conflict")
+    marked = conflicts.join(crowded, ["conflict", "salt"], "left")
     item = F.struct("low", "count", F.col("conflict").alias("trigger"), F.col("n").isNotNull().alias("many"))
     lists = marked.groupBy("uid").agg(F.collect_list(item).alias("c"))
     return lists.select(
