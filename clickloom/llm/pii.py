@@ -1,18 +1,21 @@
 """Personal data: fixed formats, and identifiers that bootstrapped contexts find.
 
-Values of the formats (``email``, ``ip``, ``card``, ``phone``) after a cue, which is a word with
-``=`` or ``:``, and identifiers of unmistakable shape are the seeds. A *pattern* is a way of writing an identifier: its left context and its shape. Patterns and
-the values that they extract form a graph. Reliability flows from the seeds to the patterns that
-extract them, from there to the other values of these patterns, and so on (Pantel and Pennacchiotti's
-Espresso). What the patterns of high reliability extract is added as kind ``id``.
-
-A word alone is no cue: in the given tables, valid cards and numbers that fail the check digit
-follow the same words of prose. Values of letters only are no candidates.
+Values of the formats (``email``, ``ip``, ``card``, ``phone``) and identifiers of unmistakable shape
+are the seeds. A *pattern* is a way of writing an identifier: a cue (a word with ``=`` or ``:``), the
+word of prose before or after it, or its first letters, with its shape. Patterns and the values that
+they extract form a graph. Reliability flows from the seeds to the patterns that extract them, from
+there to the other values of these patterns, and so on (Pantel and Pennacchiotti's Espresso). What
+the patterns of high reliability extract is added as kind ``id``; a seed whose patterns are not
+reliable is no such span.
+
+A word of prose stands before other words too, so its reliability is the share of all its occurrences
+in the corpus that have a trusted value there. Values of letters only are no candidates.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -31,6 +34,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
@@ -41,7 +45,12 @@ _SIGN = re.compile(r"[=:]\s?[\"']?(?=[+(A-Za-z0-9])")
 _NUMBER = re.compile(r"\+?\(?[0-9]++(?:[\x20().\-/]{1,2}[0-9]++)*+(?![A-Za-z0-9])")
 _RUN = re.compile(r"(?=[A-Za-z]*[0-9])[A-Za-z0-9]++")
 _HEX = re.compile(r"[0-9a-f]+")
-_CUE = re.compile(r"([^\W\d_]{0,24})(\s?[=:]\s?[\"']?)$")
+# Cues and words of more than 24 letters are none; the slices searched are long enough to see that.
+_CUE = re.compile(r"(?:(?<![^\W\d_])([^\W\d_]{1,24}))?(\s?[=:]\s?[\"']?)$")
+_BEFORE = re.compile(r"(?<!\w)([^\W\d_]{2,24})\s$")
+_AFTER = re.compile(r"\s([^\W\d_]{2,24})(?!\w)")
+_WORD = re.compile(r"(?<!\w)[^\W\d_]{2,24}(?!\w)")
+_OPENS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+(")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -103,17 +112,55 @@ def digits_of(value: str) -> str:
     return f"d{1 << (len(_NOT_DIGITS.sub('', value)).bit_length() - 1)}"
 
 
+def word_patterns(text: str, start: int, stop: int, forms: tuple[str, str]) -> list[str]:
+    """Patterns of the words of prose next to a value; ``forms`` from special to general."""
+    found = []
+    before = _BEFORE.search(text[max(0, start - 27) : start])
+    if before:
+        found += [f"after {before[1].lower()} {f}" for f in forms]
+    after = _AFTER.match(text[stop : stop + 27])
+    if after:
+        found += [f"before {after[1].lower()} {f}" for f in forms]
+    return found
+
+
+def in_prose(
+    text: str, base: list[tuple[int, int, str]]
+) -> Iterator[tuple[int, int, tuple[str, str]]]:
+    """(start, end, forms) of numbers and of runs with a digit that meet no span of ``base``."""
+    at, b = 0, 0
+    digit = _DIGITS.search(text)
+    while digit:
+        start = digit.start()
+        while start > at and text[start - 1] in _OPENS:
+            start -= 1
+        number = _NUMBER.match(text, start)
+        run = number or _RUN.match(text, start) or digit
+        at = run.end()
+        while b < len(base) and base[b][1] <= start:
+            b += 1
+        if b < len(base) and base[b][0] < at:
+            at = max(at, base[b][1])
+        elif run is not digit:
+            value = run[0]
+            yield start, at, (digits_of(value), "number") if number else (shape(value), "run")
+        digit = _DIGITS.search(text, at)
+
+
 def candidates(
     text: str, base: list[tuple[int, int, str]] | None = None
 ) -> list[tuple[int, int, str, list[str], bool]]:
     """(start, end, value, patterns, seed) of the identifier candidates of a text.
 
     Patterns go from special to general: cue word with delimiter and shape, cue word with
-    delimiter, delimiter with shape, and fixed lead letters with shape. A seed is 32 or more
-    hexadecimal digits, or 16 or more capitals and digits: nobody writes words like that. So is
-    what the fixed formats find (``base``) after a cue; an email stands for what names a person.
+    delimiter, delimiter with shape, fixed lead letters with shape, and words next to the value. A
+    seed is 32 or more hexadecimal digits, or 16 or more capitals and digits: nobody writes words
+    like that. So is what the fixed formats find (``base``) in a context; an email stands for what
+    names a person. One value may come several times, with patterns of different kinds.
     """
     found = []
+    if base is None:
+        base = base_spans(text)
     for m in _CANDIDATE.finditer(text):
         value, form = m[0], shape(m[0])
         patterns = []
@@ -129,9 +176,20 @@ def candidates(
             len(value) >= 16 and value.upper() == value
         )
         found.append((m.start(), m.end(), value, patterns, seed))
-    if base is None:
-        base = base_spans(text)
-    starts = {f[0] for f in found}
+    starts = {f[0]: f for f in found}
+    for start, stop, kind in base:
+        value = text[start:stop]
+        forms = ("run", "run") if kind == "email" else (digits_of(value), "number")
+        patterns = word_patterns(text, start, stop, forms)
+        if patterns:
+            found.append((start, stop, value, sorted(set(patterns)), True))
+    for start, stop, forms in in_prose(text, base):
+        patterns = word_patterns(text, start, stop, forms)
+        known = starts.get(start)
+        if patterns and known:
+            known[3].extend(patterns)
+        elif patterns:
+            found.append((start, stop, text[start:stop], patterns, False))
     fixed = {s: (e, kind) for s, e, kind in base}
     at = 0  # the first base span that ends after the next value starts
     for m in _SIGN.finditer(text):
@@ -195,30 +253,60 @@ def scanned(docs: DataFrame) -> DataFrame:
     return framed.mapInArrow(run, T.StructType([framed.schema["row"], *added.fields]))
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``word, occurrences`` of the lower-cased words in ``row.text``; each task counts ahead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in texts_of(batches):
+            counts = Counter(w for t in texts if t for w in _WORD.findall(t.lower()))
+            yield pa.record_batch(
+                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"]
+            )
+
+    counted = rows.select(F.col("row.text").alias("text")).mapInArrow(run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("occurrences"))
+
+
 def reliable_patterns(
-    found: DataFrame, rounds: int = 3, threshold: float = 0.5, support: int = 3
+    found: DataFrame, words: DataFrame, rounds: int = 3, threshold: float = 0.5, support: int = 3
 ) -> DataFrame:
     """Column ``pattern``: those whose reliability reaches ``threshold``.
 
     ``found`` has one row per candidate (``value``, ``patterns``, ``seed``). A value has the
     reliability of its best pattern, a seed 1; a pattern has the mean of its distinct values, if
-    it has ``support`` of them at least. Each round is two aggregations over the edges.
+    it has ``support`` of them at least. A pattern of a word of prose has the sum over its places
+    instead, by all ``occurrences`` of the word (``words``): what is no candidate there counts as 0.
+    Patterns that no round can bring to the threshold go at once: those without enough values, and
+    words with too few candidates. Each round is two aggregations over the edges.
     """
     edges = keep(
         found.where(F.size("patterns") > 0)
-        .select("value", "seed", F.explode("patterns").alias("pattern"))
+        .select("value", "seed", F.explode(F.array_distinct("patterns")).alias("pattern"))
         .groupBy("value", "pattern")
-        .agg(F.max("seed").alias("seed")),
+        .agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("places")),
         "pattern-edges",
     )
+    met = (
+        edges.groupBy("pattern")
+        .agg(F.count(F.lit(1)).alias("values"), F.sum("places").alias("places"))
+        .where(F.col("values") >= support)
+        .withColumn("word", F.regexp_extract("pattern", "^(?:after|before) (\\S+) ", 1))
+    )
+    named = met.where("word <> ''").join(words, "word").where(F.col("places") >= threshold * F.col("occurrences"))
+    likely = met.where("word = ''").select("pattern", F.lit(None).cast("long").alias("occurrences"))
+    likely = keep(likely.unionByName(named.select("pattern", "occurrences")), "likely-patterns")
+    edges = keep(edges.join(likely, "pattern"), "likely-edges")
     seed = F.max(F.col("seed").cast("double"))
     values = keep(edges.groupBy("value").agg(seed.alias("trust")), "pattern-values")
     for _ in range(rounds):
         patterns = keep(
             edges.join(values, "value")
             .groupBy("pattern")
-            .agg(F.avg("trust").alias("trust"), F.count(F.lit(1)).alias("values"))
-            .where(F.col("values") >= support),
+            .agg(
+                F.coalesce(
+                    F.sum(F.col("trust") * F.col("places")) / F.max("occurrences"), F.avg("trust")
+                ).alias("trust")
+            ),
             "patterns",
         )
         values = keep(
@@ -234,7 +322,7 @@ def find(docs: DataFrame) -> DataFrame:
     """``docs`` as one struct column ``row``, with ``base`` spans and all ``spans``.
 
     Null texts are empty. Repeated rows have the same spans each. The spans of kind ``id`` are the
-    candidates that are seeds or that a reliable pattern extracts, unless they equal a base span.
+    candidates that a reliable pattern extracts, unless they equal a base span.
     Lists of spans are as long as one text makes them; patterns reach the candidates by a join, so
     neither their number nor a pattern that holds a third of all candidates matters.
     """
@@ -242,12 +330,10 @@ def find(docs: DataFrame) -> DataFrame:
         scanned(docs).withColumn("_uid", F.monotonically_increasing_id()), "scanned"
     )
     found = rows.where(F.size("found") > 0).select("_uid", F.explode("found").alias("c"))
-    accepted = reliable_patterns(found.select("c.*"))
-    cued = found.where(~F.col("c.seed")).select("_uid", "c.start", "c.stop", F.explode("c.patterns").alias("pattern"))
-    trusted = cued.join(accepted, "pattern", "left_semi").select("_uid", "start", "stop")
-    seeds = found.where("c.seed").select("_uid", "c.start", "c.stop")
+    accepted = reliable_patterns(found.select("c.*"), word_counts(rows))
+    cued = found.select("_uid", "c.start", "c.stop", F.explode("c.patterns").alias("pattern"))
     more = (
-        trusted.union(seeds)
+        cued.join(accepted, "pattern", "left_semi")
         .groupBy("_uid")
         .agg(F.collect_set(F.struct("start", "stop", F.lit("id").alias("kind"))).alias("more"))
     )

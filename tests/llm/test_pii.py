@@ -122,6 +122,51 @@ def test_one_pattern_is_not_enough(docs):
     assert not any(spans(frame).values())
 
 
+def test_words_of_prose_are_weighed_by_all_their_occurrences(docs):
+    phones = [f"please call +1 (988) 555-{2400 + i} the" for i in range(4)]
+    odd = ["we call 555-2485 now", "call 0151 2345678", "the 555-2485", "calls 555-2485", "recall 555-2485", "call me"]
+    long = "w" * 25
+    far = [f"{long} +1 (988) 555-{2500 + i}" for i in range(4)] + [f"{long} 555-2485"]
+    frame = docs(*phones, *odd, *far, *["the other the"] * 5)
+    found = spans(frame)
+    assert found[5] == [(8, 16, "id")] and found[6] == [(5, 17, "id")]
+    assert not any(found[i] for i in (7, 8, 9, 10, 15))
+    # The same values where the word mostly stands before other things.
+    found = spans(docs(*phones, *odd, *["they call us"] * 9))
+    assert not any(found[i] for i in range(5, 11))
+
+
+def test_the_word_after_a_value(docs):
+    mails = [f"{n}@c.de wrote: so" for n in ("ann", "bob", "cy")]
+    found = spans(docs(*mails, "dora42 wrote", "dora42 said", "wrote dora42"))
+    assert found[4] == [(0, 6, "id")] and found[5] == found[6] == []
+
+
+def test_shape_alone_is_no_verdict(docs):
+    digests = [f"({secret(i, 40)})" for i in range(9)]
+    assert not any(spans(docs(*digests)).values())
+    keys = [f"(AKIA{secret(i, 40).upper()[:16]})" for i in range(3)]
+    assert all(spans(docs(*keys)).values())
+
+
+@settings(max_examples=300, deadline=None)
+@examples(st.text(alphabet=st.sampled_from("0123456789+(-. abcAB@=:"), max_size=50))
+def test_prose_values_meet_no_base_span_and_are_whole(text):
+    base = pii.base_spans(text)
+    last = 0
+    for start, stop, _ in pii.in_prose(text, base):
+        assert last <= start < stop and re.search("[0-9]", text[start:stop])
+        assert not any(s < stop and start < e for s, e, _ in base)
+        assert not re.match("[A-Za-z0-9]", text[stop:]) or not text[start].isalnum()
+        last = stop
+
+
+def test_a_very_long_text(docs):
+    text = "x " * 500_000 + "call +1 (988) 555-2485 " * 4 + "w" * 1_000_000 + " a.b@c.de"
+    found = spans(docs(text, None))
+    assert [k for *_, k in found[1]] == ["phone"] * 4 + ["email"] and found[2] == []
+
+
 def test_masking(docs):
     frame = docs("ip 10.0.0.1, a@b.co é", None, "", "plain", (4, "plain"), extra="spans long, text2 long")
     out = pii.masked(frame)
