@@ -93,14 +93,18 @@ URL_RULES = (
     url_filter.Rule("block", "net", "/es/"),
     url_filter.Rule("block", "net", "/fr/"),
 )
-URL_TERMS = ("spam", "pills", "bets", "adult", "casino")
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{}', '{}')".format(
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 )
+_PLAIN = r"trim(regexp_replace({}, '[\x20\x09-\x0D]+', ' ', 'g'))"
+_ARTICLE = "regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1)"
+_ARTICLE = f"regexp_replace(regexp_replace({_ARTICLE}, '(?s)<h1>.*?</h1>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _from, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    _ARTICLE = f"replace({_ARTICLE}, '{_from}', '{_to}')"
 _URL_SQL = rf"""
 WITH p AS (
-  SELECT page_id, {_HOST} AS host,
+  SELECT page_id, {_HOST} AS host, {_PLAIN.format(_ARTICLE)} AS article,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 c AS (
@@ -117,7 +121,8 @@ c AS (
   FROM p),
 l AS (
   SELECT DISTINCT canonical FROM c
-  WHERE canonical <> '' AND ({" OR ".join(f"contains(host, '{t}')" for t in URL_TERMS)}))
+  WHERE canonical <> '' AND article <> '' AND article IN (
+    SELECT {_PLAIN.format("coalesce(text, '')")} FROM documents JOIN labels USING (doc_id) WHERE toxic = 1))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END AS verdict
@@ -129,9 +134,13 @@ FROM c
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clickloom.llm.common import keep
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = keep(url_filter.listed_urls(pages, URL_TERMS), "listed-urls")
-    found = url_filter.judged(pages, URL_RULES, listed, listed.count())
+    pages = table(spark, sf_dir, "pages")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    digest = url_filter.text_digest(url_filter.plain_text(F.col("text")))
+    # The digests meet the labels, not the texts, so no text goes through a shuffle.
+    texts = table(spark, sf_dir, "documents").select("doc_id", digest.alias("digest")).join(toxic, "doc_id")
+    listed = keep(url_filter.listed_urls(pages.select("url", "html"), texts), "listed-urls")
+    found = url_filter.judged(pages.select("page_id", "url"), URL_RULES, listed, listed.count())
     return found.select("row.page_id", "host", "path", "rule", "verdict")
 
 

@@ -1,7 +1,8 @@
 """URL filter: rules by host and path, then a list of canonical URLs behind a blocked Bloom filter.
 
 A probe of the filter touches one block of 512 bits. What passes is possibly listed; an exact hash
-join with the list removes the false positives, so the filter only saves work.
+join with the list removes the false positives, so the filter only saves work. The list holds the URLs
+of pages that publish given texts; what a URL says about itself does not count.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def judged(
     """``pages`` as one struct column ``row`` with ``host``, ``path``, ``rule``, ``verdict``.
 
     ``listed`` has distinct canonical URLs in ``canonical``, none empty. Null URLs and URLs without
-    ``://`` have empty host and path, no rule, and are allowed. Rows that a rule decides skip the
+    ``://`` have empty host and path, no rule, and are allowed. URLs of any length are read whole. Rows that a rule decides skip the
     filter. Repeated rows are judged each; a URL that holds a third of all rows is a skewed key of
     a plain left join to a table of distinct keys, which Spark splits.
     """
@@ -161,7 +162,41 @@ def judged(
     )
 
 
-def listed_urls(pages: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Distinct canonical URLs of ``pages`` whose host names one of ``terms``: a list to filter by."""
-    named = reduce(Column.__or__, [host_of(F.col("url")).contains(t) for t in terms])
-    return pages.where(named).select(canonical(F.col("url")).alias("canonical")).where("canonical <> ''").distinct()
+def plain_text(text: Column) -> Column:
+    """``text`` with every run of white space as one space, and none around it; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
+
+
+def article(html: Column) -> Column:
+    """What the ``article`` of a page says after its heading, without tags, as ``plain_text``."""
+    own = F.regexp_extract(F.coalesce(html, F.lit("")), r"(?s)<article>(.*?)</article>", 1)
+    own = F.regexp_replace(F.regexp_replace(own, r"(?s)<h1>.*?</h1>", " "), r"<[^>]*>", " ")
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        own = F.replace(own, F.lit(entity), F.lit(character))
+    return plain_text(own)
+
+
+SALTS = 32
+
+
+def text_digest(plain: Column) -> Column:
+    """SHA-256 of what ``plain_text`` or ``article`` returns; null if that is empty."""
+    return F.when(plain != "", F.sha2(plain, 256))
+
+
+def listed_urls(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct canonical URLs (``canonical``) of ``pages`` whose article is one of ``texts``.
+
+    ``texts`` has the ``digest`` (``text_digest``) of each. The list comes from what is published, so a
+    page that is judged by it may have another article, or none. Null, empty and repeated texts, null
+    ``html`` and URLs without ``://`` list nothing. A text that very many pages publish is met in
+    ``SALTS`` parts.
+    """
+    wanted = texts.where("digest is not null").select("digest").distinct()
+    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    published = pages.select(
+        canonical(F.col("url")).alias("canonical"), text_digest(article(F.col("html"))).alias("digest")
+    )
+    published = published.where("canonical <> '' and digest is not null").distinct()
+    published = published.withColumn("salt", F.pmod(F.xxhash64("canonical"), F.lit(SALTS)).cast("int"))
+    return published.join(wanted, ["digest", "salt"], "left_semi").select("canonical").distinct()

@@ -104,6 +104,32 @@ def test_urls(spark):
     assert all(r.rule is None for r in url_filter.judged(pages, [], listed, 1).collect())
 
 
+def page(body, heading="some"):
+    return f"<html><body><nav>x</nav><article>\n<h1>{heading}</h1>{body}</article><p>more</p></body></html>"
+
+
+def test_a_list_of_what_pages_publish(spark):
+    bad = "one two\n\nthree & <four> \"five\""
+    long = "word " * 300_000
+    html = page("<p><b>one</b> two</p> <p>three &amp; &lt;four&gt; &quot;five&quot;</p>")
+    pages = [
+        (1, "http://plain.org/a", html), (1, "http://plain.org/a", html),  # no telling word, listed
+        (2, "https://www.plain.org/a/?x=1", page("other")),  # judged by its URL, not by its own article
+        (3, "http://casino-spam.org/b", page("clean")), (4, "http://casino-spam.org/c", None),
+        (5, None, html), (6, "no scheme", html), (7, "http://long.org/" + "z" * 100_000, page(f"<p>{long}</p>")),
+        (8, "http://empty.org/", page("")), (9, "http://none.org/", "one two three"), (10, "http://some.com/a", html),
+    ]
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    texts = spark.createDataFrame([(bad,), (bad,), ("",), (None,), (long,)], "text string")
+    texts = texts.select("text", url_filter.text_digest(url_filter.plain_text(F.col("text"))).alias("digest"))
+    listed = url_filter.listed_urls(pages, texts)
+    assert sorted(r[0] for r in listed.collect()) == ["long.org/" + "z" * 100_000, "plain.org/a", "some.com/a"]
+    got = url_filter.judged(pages, RULES, listed, 3).select("row.page_id", "verdict").collect()
+    assert {r[0] for r in got if r[1] == "block"} == {1, 2, 7} and len(got) == 11
+    assert url_filter.listed_urls(pages, texts.limit(0)).collect() == []
+    assert url_filter.listed_urls(pages.limit(0), texts).collect() == []
+
+
 @pytest.mark.parametrize("size", [1, 1000, 20_000])
 def test_bloom_has_no_false_negatives(spark, size):
     keys = spark.range(size).select(F.xxhash64("id").alias("key"))
