@@ -253,12 +253,23 @@ def scanned(docs: DataFrame) -> DataFrame:
     return framed.mapInArrow(run, T.StructType([framed.schema["row"], *added.fields]))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """``word, occurrences`` of the lower-cased words in ``row.text``; each task counts ahead."""
+FEW_WORDS = 100_000  # words of contexts that every task may hold: a few megabytes
+
+
+def word_counts(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``word, occurrences`` of the lower-cased words in ``row.text``, for those in ``named`` at least.
+
+    Up to ``FEW_WORDS`` of them are sent to all tasks, which count no others; beyond, all words are
+    counted. Each task counts ahead.
+    """
+    wanted = [r[0] for r in named.limit(FEW_WORDS + 1).collect()]
+    only = frozenset(wanted) if len(wanted) <= FEW_WORDS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in texts_of(batches):
-            counts = Counter(w for t in texts if t for w in _WORD.findall(t.lower()))
+            counts = Counter(
+                w for t in texts if t for w in _WORD.findall(t.lower()) if only is None or w in only
+            )
             yield pa.record_batch(
                 [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"]
             )
@@ -268,14 +279,14 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def reliable_patterns(
-    found: DataFrame, words: DataFrame, rounds: int = 3, threshold: float = 0.5, support: int = 3
+    found: DataFrame, rows: DataFrame, rounds: int = 3, threshold: float = 0.5, support: int = 3
 ) -> DataFrame:
     """Column ``pattern``: those whose reliability reaches ``threshold``.
 
     ``found`` has one row per candidate (``value``, ``patterns``, ``seed``). A value has the
     reliability of its best pattern, a seed 1; a pattern has the mean of its distinct values, if
     it has ``support`` of them at least. A pattern of a word of prose has the sum over its places
-    instead, by all ``occurrences`` of the word (``words``): what is no candidate there counts as 0.
+    instead, by all occurrences of the word in ``row.text`` of ``rows``: what is no candidate counts as 0.
     Patterns that no round can bring to the threshold go at once: those without enough values, and
     words with too few candidates. Each round is two aggregations over the edges.
     """
@@ -286,13 +297,15 @@ def reliable_patterns(
         .agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("places")),
         "pattern-edges",
     )
-    met = (
+    met = keep(
         edges.groupBy("pattern")
         .agg(F.count(F.lit(1)).alias("values"), F.sum("places").alias("places"))
         .where(F.col("values") >= support)
-        .withColumn("word", F.regexp_extract("pattern", "^(?:after|before) (\\S+) ", 1))
+        .withColumn("word", F.regexp_extract("pattern", "^(?:after|before) (\\S+) ", 1)),
+        "met-patterns",
     )
-    named = met.where("word <> ''").join(words, "word").where(F.col("places") >= threshold * F.col("occurrences"))
+    named = met.where("word <> ''")
+    named = named.join(word_counts(rows, named.select("word").distinct()), "word").where(F.col("places") >= threshold * F.col("occurrences"))
     likely = met.where("word = ''").select("pattern", F.lit(None).cast("long").alias("occurrences"))
     likely = keep(likely.unionByName(named.select("pattern", "occurrences")), "likely-patterns")
     edges = keep(edges.join(likely, "pattern"), "likely-edges")
@@ -330,7 +343,7 @@ def find(docs: DataFrame) -> DataFrame:
         scanned(docs).withColumn("_uid", F.monotonically_increasing_id()), "scanned"
     )
     found = rows.where(F.size("found") > 0).select("_uid", F.explode("found").alias("c"))
-    accepted = reliable_patterns(found.select("c.*"), word_counts(rows))
+    accepted = reliable_patterns(found.select("c.*"), rows)
     cued = found.select("_uid", "c.start", "c.stop", F.explode("c.patterns").alias("pattern"))
     more = (
         cued.join(accepted, "pattern", "left_semi")

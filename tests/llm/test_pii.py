@@ -122,7 +122,9 @@ def test_one_pattern_is_not_enough(docs):
     assert not any(spans(frame).values())
 
 
-def test_words_of_prose_are_weighed_by_all_their_occurrences(docs):
+@pytest.mark.parametrize("few", [0, pii.FEW_WORDS])
+def test_words_of_prose_are_weighed_by_all_their_occurrences(docs, monkeypatch, few):
+    monkeypatch.setattr(pii, "FEW_WORDS", few)
     phones = [f"please call +1 (988) 555-{2400 + i} the" for i in range(4)]
     odd = ["we call 555-2485 now", "call 0151 2345678", "the 555-2485", "calls 555-2485", "recall 555-2485", "call me"]
     long = "w" * 25
