@@ -117,23 +117,31 @@ def vocabulary_of(ranked: DataFrame) -> DataFrame:
 
 
 class Ranks:
-    """Bits of one column as words, with the number of bits before each word."""
+    """Bits of one column as words, with the number of bits before each word.
+
+    Only the buckets that have a value are held, whatever the largest value is.
+    """
 
     def __init__(self, buckets: np.ndarray, bits: np.ndarray):
-        self.words = np.zeros(int(buckets.max(initial=0)) * BITS // 64, np.uint64)
-        self.words.reshape(-1, BITS // 64)[buckets - 1] = bits.view(np.uint64)
+        order = np.argsort(buckets)
+        self.place = np.full(int(buckets.max(initial=0)), -1, np.int32)
+        self.place[buckets[order] - 1] = np.arange(len(order))
+        self.words = bits[order].view(np.uint64).reshape(-1)
         counts = np.bitwise_count(self.words).astype(np.int64)
         self.before = np.cumsum(counts) - counts
 
     def lookup(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of values, and which of them are there."""
-        inside = (values >= 0) & (values < 64 * len(self.words))
+        inside = (values >= 0) & (values < BITS * len(self.place))
         held = np.where(inside, values, 0)
         if not len(self.words):
             return held, inside
-        word = self.words[held >> 6]
+        place = self.place[held // BITS].astype(np.int64)
+        inside &= place >= 0
+        at = np.maximum(place, 0) * (BITS // 64) + (held % BITS >> 6)
+        word = self.words[at]
         shift = (held & 63).astype(np.uint64)
-        rank = self.before[held >> 6] + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+        rank = self.before[at] + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
         return rank, inside & ((word >> shift) & np.uint64(1)).astype(bool)
 
 

@@ -67,3 +67,14 @@ def test_values_out_of_range(spark):
         df = spark.createDataFrame([(bad,), (3,)], "a long")
         with pytest.raises(Exception, match="outside 0 to 99"):
             B.value_bitmaps(df, ["a"], 100).collect()
+
+
+def test_ranks_hold_only_their_buckets():
+    """A column with two far values takes two buckets, not all below the larger one."""
+    bits = np.zeros((2, B.BITS // 8), np.uint8)
+    bits[0, 0], bits[1, 0] = 1, 5  # unordered: the far bucket first
+    ranks = B.Ranks(np.array([BELOW // B.BITS, 1]), bits)
+    assert ranks.words.nbytes + ranks.before.nbytes + ranks.place.nbytes < 100_000
+    ids, known = ranks.lookup(np.array([0, 1, 2, 40000, BELOW - B.BITS, BELOW, -1]))
+    assert known.tolist() == [True, False, True, False, True, False, False]
+    assert ids[known].tolist() == [0, 1, 2]
