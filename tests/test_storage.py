@@ -256,3 +256,12 @@ def test_two_pass_job(spark, tmp_path):
     jobs.two_pass_vocabulary(spark, rows, paths[1] + "-2", spec, 8192)
     jobs.two_pass_apply(spark, rows, paths[1] + "-2", paths[2] + "-2", spec, 8192, kind="parquet", broadcast_rows=0)
     assert sorted(r["col_2"] for r in spark.read.parquet(paths[2] + "-2").collect()) == [0, 0, 1]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """A thousand ranges of a file are read by one task, in order and whole."""
+    path = str(tmp_path / "records")
+    records.write_records(spark.range(0, 1000, 1, 1).select("id", "id"), path)
+    found = records.read_records(spark, path, fields=2, range_bytes=8)
+    assert found.rdd.getNumPartitions() == 1
+    assert [r["f_0"] for r in found.collect()] == list(range(1000))
