@@ -44,14 +44,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Deal the rows of a few large splits to all cores, before costly work.
 
-    An input with at least as many splits as cores comes back as it is, so
-    large inputs are never shuffled.
+    An input with at least as many splits as cores comes back as it is, unless ``rows`` are given:
+    then there are as many parts that none is dealt more than ``rows`` rows, for work whose rows are
+    far larger than those read. Plain files are counted from their footers.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.rdd.getNumPartitions()
+    wanted = cores if rows is None else max(cores, -(-df.count() // rows))
+    return df if parts >= wanted else df.repartition(wanted)
 
 
 def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SPLITS = 24
+# Rows of the click log that one task makes: about 1 KB each, from some 20 bytes of an event.
+TASK_ROWS = 250_000
 M = 8192
 M_LARGE = 2**29
 DENSE = STANDARD.dense
@@ -65,7 +67,8 @@ def clicklog(spark: SparkSession, sf_dir: str, spec: FeatureSpec = STANDARD) ->
         value = F.substring(F.md5(F.concat(F.lit(f"{j}|"), keys[j % 4])), 1, 8)
         columns.append(F.when((e + j) % 13 == 0, "").otherwise(value).alias(c))
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return spread(events).select(
+    rows = TASK_ROWS * len(STANDARD.columns) // len(spec.columns)
+    return spread(events, rows).select(
         e.alias("row_id"), (e % SPLITS).cast("int").alias("split"), *columns
     )
 
