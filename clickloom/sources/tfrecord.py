@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from clickloom.operators.chains import reached
 from clickloom.session import store
-from clickloom.sources.files import FileRange, JobParts, list_files, open_fs
+from clickloom.sources.files import TASK_BYTES, FileRange, JobParts, list_files, open_fs
 
 # Fixed values of the file format: the reflected CRC-32C polynomial and the
 # constant added to a rotated checksum.
@@ -29,6 +29,7 @@ _MASK_DELTA = 0xA282EAD8
 _BATCH_BYTES = 8 * 1024 * 1024
 _HEAD = 12
 _MOST_TASKS = 20_000
+_FEW_TASKS = 128  # up to so many, every range has its own task
 RANGE_BYTES = 128 * 1024 * 1024
 
 
@@ -248,7 +249,7 @@ def _links(cut: DataFrame, uri: str) -> DataFrame:
 def _read_cut(
     spark: SparkSession, uri: str, files: Sequence[tuple[str, int]], range_bytes: int
 ) -> DataFrame:
-    """Records of files that are read in byte ranges, each by a task of its own.
+    """Records of files that are read in byte ranges; small ranges share a task.
 
     A payload may hold records itself, so a length with a right checksum is only a possible start.
     Starts count if the chain of records from the file's beginning reaches them.
@@ -257,8 +258,11 @@ def _read_cut(
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
     cut = sized.select("path", "size", F.explode(starts).alias("start"))
     cut = cut.select("*", F.least(F.col("start") + range_bytes, "size").alias("stop"))
-    # A number is given: rows are few bytes, and Spark would merge their partitions.
-    tasks = sum(-(-s // range_bytes) for _, s in files) or 1
+    # A number is given: rows are few bytes, and Spark would merge their partitions. Beyond
+    # ``_FEW_TASKS``, small ranges share tasks of ``TASK_BYTES``.
+    ranges = sum(-(-s // range_bytes) for _, s in files) or 1
+    cores = spark.sparkContext.defaultParallelism
+    tasks = min(ranges, max(_FEW_TASKS, 4 * cores, sum(s for _, s in files) // TASK_BYTES))
     cut = store(cut.repartition(min(tasks, _MOST_TASKS), "path", "start"), "byte-ranges")
     links = store(_links(cut.repartition(min(tasks, _MOST_TASKS), "path", "start"), uri), "record-starts")
     begin = sized.select("path", F.lit(0).cast("long").alias("offset"))

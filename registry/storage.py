@@ -215,7 +215,7 @@ def scan_tfrecord(spark, sf):
 
 @query("scan_tfrecord_ranges", PAYLOADS)
 def scan_tfrecord_ranges(spark, sf):
-    """Files cut into ranges of 100,000 bytes, each read by a task of its own."""
+    """Files cut into ranges of 100,000 bytes, of which a task reads many."""
     return payload_digests(tfrecord.read_tfrecords(spark, tfrecord_log(spark, sf), range_bytes=100_000))
 
 

@@ -61,3 +61,11 @@ def test_damage(spark, tmp_path, spoil):
     (tmp_path / "a").write_bytes(data[:-3] if spoil == "end" else data)
     with pytest.raises(Exception, match="broken|checksum"):
         R.read_tfrecords(spark, str(tmp_path), range_bytes=200).collect()
+
+
+def test_many_ranges_share_tasks(spark, tmp_path):
+    wanted = payloads()
+    (tmp_path / "a.tfrecord").write_bytes(b"".join(map(record, wanted)))
+    found = R.read_tfrecords(spark, str(tmp_path), range_bytes=20)
+    assert found.rdd.getNumPartitions() <= R._FEW_TASKS
+    assert sorted(bytes(r.payload) for r in found.collect()) == sorted(wanted)
