@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,20 +45,66 @@ TOKEN_RULES = (
     (r"(['’])(\s)", r" \1\2"),
 )
 
+# Rules in runs, with what a text must contain for any rule of the run to match, in small letters for
+# the last but one. A text without it skips the run: a search for a few characters costs far less than a
+# match. No rule adds characters other than spaces, so what is missing before a run is missing inside it.
+_QUOTES = ("'", "’")
+_TWO_WORDS = ("cannot", "gimme", "lemme", "gonna", "wanna", "gotta")
+_RUNS = (
+    (tuple("\"“”„‘«»[](){}<>;!?#$%&*@…`"), TOKEN_RULES[:1]),
+    ((",", ":"), TOKEN_RULES[1:2]),
+    (("--",), TOKEN_RULES[2:3]),
+    (("..",), TOKEN_RULES[3:4]),
+    ((".",), TOKEN_RULES[4:7]),
+    (_QUOTES, TOKEN_RULES[7:10]),
+    (_TWO_WORDS, TOKEN_RULES[10:14]),
+    (_QUOTES, TOKEN_RULES[14:]),
+)
+
 # Fixed value: a token made of letters only.
 LETTERS = r"^\p{L}+$"
+# The same between the spaces of a spaced text.
+_SPACED_LETTERS = r"(?<!\S)\p{L}++(?!\S)"
+
+
+def _bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is made once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _contains(text: Column, needles: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [text.contains(n) for n in needles])
 
 
 def strip_markup(text: Column) -> Column:
-    return F.translate(text, MARKUP, "")
+    return _bound(text, lambda t: F.when(_contains(t, MARKUP), F.translate(t, MARKUP, "")).otherwise(t))
+
+
+def _spaced(text: Column) -> Column:
+    """The text with a space on both ends and between its tokens."""
+
+    def run(needles: Sequence[str], rules: Sequence[tuple[str, str]]) -> Callable[[Column], Column]:
+        def applied(t: Column) -> Column:
+            out = t
+            for pattern, replacement in rules:
+                out = F.regexp_replace(out, pattern, replacement.replace("\\", "$"))
+            if needles is _TWO_WORDS:
+                possible = F.exists(F.array(F.lower(t)), lambda low: _contains(low, needles))
+            else:
+                possible = _contains(t, needles)
+            return F.when(possible, out).otherwise(t)
+
+        return applied
+
+    spaced = F.array(F.concat(F.lit(" "), text, F.lit(" ")))
+    for needles, rules in _RUNS:
+        spaced = F.transform(spaced, run(needles, rules))
+    return F.get(spaced, F.lit(0))
 
 
 def tokenize(text: Column) -> Column:
     """Word and punctuation tokens of a text, in order."""
-    spaced = F.concat(F.lit(" "), text, F.lit(" "))
-    for pattern, replacement in TOKEN_RULES:
-        spaced = F.regexp_replace(spaced, pattern, replacement.replace("\\", "$"))
-    return F.array_remove(F.split(spaced, r"\s+"), "")
+    return F.array_remove(F.split(_spaced(text), r"\s+"), "")
 
 
 def lowercase_tokens(text: Column) -> Column:
@@ -63,12 +112,13 @@ def lowercase_tokens(text: Column) -> Column:
 
 
 def keep_alpha(tokens: Column) -> Column:
-    return F.filter(tokens, lambda t: t.rlike(LETTERS))
+    # Java's $ also matches before a line's end, such as U+0085.
+    return F.filter(tokens, lambda t: t.rlike(LETTERS.replace("$", r"\z")))
 
 
 def preprocess_text(text: Column) -> Column:
     """Markup removed, tokenized, letter-only tokens kept."""
-    return keep_alpha(tokenize(strip_markup(text)))
+    return F.regexp_extract_all(_spaced(strip_markup(text)), F.lit(_SPACED_LETTERS), F.lit(0))
 
 
 def chunk_text(text: Column, k: int) -> Column:

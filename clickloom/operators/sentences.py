@@ -30,13 +30,15 @@ HELD = "\ue000"
 
 def period_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per word in small letters: ``n`` occurrences, ``k`` of them with one period behind."""
+    # Words as they stand are counted first, so that each is looked at once.
     words = docs.select(F.explode(F.split(F.col(text), r"\s+")).alias("w"))
-    bare = words.select(F.regexp_replace(F.regexp_replace("w", BEFORE, ""), BEHIND, "").alias("w"))
+    words = words.groupBy("w").agg(F.count(F.lit(1)).alias("times"))
+    bare = words.select(F.regexp_replace(F.regexp_replace("w", BEFORE, ""), BEHIND, "").alias("w"), "times")
     ended = F.col("w").endswith(".")
     stem = F.when(ended, F.expr("substring(w, 1, char_length(w) - 1)")).otherwise(F.col("w"))
-    stems = bare.select(F.lower(stem).alias("word"), ended.alias("ended")).where(F.col("word").rlike(WORD))
+    stems = bare.select(F.lower(stem).alias("word"), ended.alias("ended"), "times").where(F.col("word").rlike(WORD))
     return stems.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("ended").alias("k")
+        F.sum("times").alias("n"), F.sum(F.when(F.col("ended"), F.col("times")).otherwise(0)).alias("k")
     )
 
 

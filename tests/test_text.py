@@ -1,5 +1,6 @@
 """Tokens, hashes, vectors and hash tables."""
 
+import random
 import statistics
 
 import pytest
@@ -198,3 +199,31 @@ def test_lookup_order_and_batches(spark, limit, monkeypatch):
     assert [order[1, p] for p in range(40, 45)] == [43, 40, 44, 41, 42]
     rates = {r["doc_id"]: (r["in_vocab"], r["out_vocab"]) for r in E.known_rate(found).collect()}
     assert rates == {1: (43, 2), 3: (1, 1)}
+
+
+@pytest.mark.parametrize("text,tokens", [("abc\u0085 def", ["def"]), ("a\u2028 CANNOT. Gonna", ["CAN", "NOT", "Gon", "na"])])
+def test_letters_end_where_the_token_ends(spark, text, tokens):
+    """As in the SQL; a character that ends a line is no letter."""
+    assert value(spark, X.preprocess_text, text) == tokens
+    assert value(spark, lambda c: X.keep_alpha(X.tokenize(c)), text) == tokens
+
+
+def test_rules_are_skipped_only_where_they_do_nothing(spark):
+    rng = random.Random(3)
+    bits = [*" \t.,:'’-()[]<@\"…«!0é", *[" "] * 9, "can", "Cannot", "not", "LEMME", "wanna", "n't", "'S", "..", "--", ".'", "Word", "it"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "c string")
+    plain = F.concat(F.lit(" "), F.col("c"), F.lit(" "))
+    for pattern, replacement in X.TOKEN_RULES:
+        plain = F.regexp_replace(plain, pattern, replacement.replace("\\", "$"))
+    every = F.array_remove(F.split(plain, r"\s+"), "")
+    assert df.where(~X.tokenize(F.col("c")).eqNullSafe(every)).count() == 0
+
+
+def test_words_are_looked_at_once(spark):
+    from clickloom.operators import sentences as N
+
+    docs = spark.createDataFrame([("etc. (etc. cat etc cat. cat",)] * 3, "text string")
+    counts = N.period_counts(docs)
+    assert sorted(map(tuple, counts.collect())) == [("cat", 9, 3), ("etc", 9, 6)]
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
