@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from clickloom.functions.draws import digest, gaussian_rows, gaussian_vectors
 from clickloom.functions.text import preprocess_text
 from clickloom.operators.lookup import SAMPLE, skewed_lookup
+from clickloom.session import store
 from clickloom.sources.vector_store import VectorStore, opened, write_vector_store
 
 # Bytes of a word table that may be broadcast: words, vectors and 64 bytes a row.
@@ -22,10 +23,23 @@ BATCH = 512
 TASK_FLOATS = 1 << 21  # components that a task makes at once
 
 
+def tokenized(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents with their letter-only tokens for their text, kept so that tokens are made once.
+
+    All functions here take such documents as well.
+    """
+    return store(docs.select(doc, preprocess_text(F.col(text)).alias(text)), "tokens")
+
+
+def _tokens(docs: DataFrame, text: str) -> Column:
+    made = isinstance(docs.schema[text].dataType, T.ArrayType)
+    return F.col(text) if made else preprocess_text(F.col(text))
+
+
 def token_rows(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, pos, token)`` for the letter-only tokens of each document."""
     return docs.select(
-        doc, F.posexplode(preprocess_text(F.col(text))).alias("pos", "token")
+        doc, F.posexplode(_tokens(docs, text)).alias("pos", "token")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -54,14 +68,23 @@ def lookup_words(
     size, dim = table_shape(words)
     if size > BROADCAST_BYTES and dim:
         return lookup_in_store(docs, write_vector_store(words, dim), doc, text)
-    tokens = token_rows(docs, doc, text)
+    if size > BROADCAST_BYTES:
+        return lookup_shuffled(docs, words, doc, text)
     table = words.withColumnRenamed("word", "token")
-    if size <= BROADCAST_BYTES:
-        return tokens.join(F.broadcast(table), "token", "left").select(
-            doc, "pos", "token", "idx", "vec"
-        )
-    sampled = token_rows(docs.sample(SAMPLE, seed=7), doc, text)
-    return skewed_lookup(tokens, table, ["token"], [doc, "pos"], sampled)
+    return token_rows(docs, doc, text).join(F.broadcast(table), "token", "left").select(
+        doc, "pos", "token", "idx", "vec"
+    )
+
+
+def lookup_shuffled(
+    docs: DataFrame, words: DataFrame, doc: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``lookup_words`` by a join: only tokens outside the most frequent words are shuffled."""
+    made = isinstance(docs.schema[text].dataType, T.ArrayType)
+    kept = docs if made else tokenized(docs, doc, text)
+    sampled = token_rows(kept.sample(SAMPLE, seed=7), doc, text)
+    table = words.withColumnRenamed("word", "token")
+    return skewed_lookup(token_rows(kept, doc, text), table, ["token"], sampled=sampled)
 
 
 def _tokens_and_keys(docs: DataFrame, vectors: VectorStore, doc: str, text: str) -> DataFrame:
@@ -71,7 +94,7 @@ def _tokens_and_keys(docs: DataFrame, vectors: VectorStore, doc: str, text: str)
     expression, which would make them again.
     """
     both = F.transform(
-        F.array(preprocess_text(F.col(text))),
+        F.array(_tokens(docs, text)),
         lambda ts: F.struct(ts.alias("tokens"), vectors.keys(ts).alias("keys")),
     )
     return docs.select(doc, F.col(doc).cast("string").alias("named"), F.get(both, F.lit(0)).alias("both"))

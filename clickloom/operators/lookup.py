@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from clickloom.session import store
 
 HOT_KEYS = 4096
-SALTS = 4096
 SAMPLE = 0.01
 SKETCH_ITEMS = 512  # values that a sketch of one column holds
 
@@ -54,7 +53,7 @@ def skewed_lookup(
     probe: DataFrame,
     table: DataFrame,
     on: Sequence[str],
-    spread: Sequence[str],
+    spread: Sequence[str] = (),
     sampled: DataFrame | None = None,
     heavy: DataFrame | None = None,
 ) -> DataFrame:
@@ -62,26 +61,16 @@ def skewed_lookup(
 
     Heavy keys are answered from a broadcast of at most ``HOT_KEYS`` table
     rows: those of ``heavy`` (``on`` columns, at most ``HOT_KEYS`` rows), or else
-    the most frequent of ``sampled``. Their rows then carry a salted key that matches nothing, so they
-    spread evenly over the shuffle that serves the other keys. ``on[0]`` must
-    be a text column; ``spread`` names columns that vary between rows.
+    the most frequent of ``sampled``. Only rows of other keys are shuffled, without
+    any value of the table. ``probe`` is read twice, so rows that cost work are kept before.
+    ``spread`` is without effect: rows of heavy keys stay where they are.
     """
     values = [c for c in table.columns if c not in on]
     asked = heavy_keys(sampled, on) if heavy is None else heavy
     # The keys go to the table, at most HOT_KEYS rows, so the table is not shuffled for them.
     answered = store(table.join(F.broadcast(asked), list(on)), "heavy-rows")
-    hot = asked.join(F.broadcast(answered), list(on), "left").select(
-        *on, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values]
-    )
-    salt = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("string"))
-    routed = probe.join(F.broadcast(hot), list(on), "left").withColumn(
-        "_route", F.when(F.col("_hot"), salt).otherwise(F.col(on[0]))
-    )
-    others = table.withColumnsRenamed({c: f"_t_{c}" for c in table.columns})
-    match = F.col("_route") == F.col(f"_t_{on[0]}")
-    for key in on[1:]:
-        match = match & (F.col(key) == F.col(f"_t_{key}"))
-    return routed.join(others, match, "left").select(
-        *probe.columns,
-        *[F.coalesce(F.col(f"_hot_{v}"), F.col(f"_t_{v}")).alias(v) for v in values],
-    )
+    hot = asked.join(F.broadcast(answered), list(on), "left").withColumnsRenamed({v: f"_hot_{v}" for v in values})
+    others = probe.join(F.broadcast(asked), list(on), "left_anti").join(table, list(on), "left")
+    columns = [F.col(c) for c in probe.columns]
+    found = probe.join(F.broadcast(hot), list(on)).select(*columns, *[F.col(f"_hot_{v}").alias(v) for v in values])
+    return found.unionByName(others.select(*columns, *values))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import draws
@@ -66,22 +68,28 @@ def micro(c):
     return F.floor(c.cast("double") * 1000000).cast("bigint")
 
 
+def total(vec):
+    """Sum of a vector's components in whole millionths: compiled for ``DIM`` of them, else a loop."""
+    each = reduce(Column.__add__, [micro(F.get(vec, F.lit(i))) for i in range(DIM)])
+    loop = F.aggregate(vec, F.lit(0).cast("bigint"), lambda a, v: a + micro(v))
+    return F.when(F.size(vec) == DIM, each).otherwise(loop)
+
+
 def vector_columns():
     """First, last and sum of a vector's components, in whole millionths."""
-    total = F.aggregate(F.col("vec"), F.lit(0).cast("bigint"), lambda a, v: a + micro(v))
     return [
         micro(F.get("vec", F.lit(0))).alias("v_first"),
         micro(F.get("vec", F.lit(DIM - 1))).alias("v_last"),
-        total.alias("v_sum"),
+        total(F.col("vec")).alias("v_sum"),
     ]
 
 
-def word_table(spark, sf) -> DataFrame:
+def word_table(spark, sf, tokens: DataFrame | None = None) -> DataFrame:
     """Tokens by frequency; as many get a vector as there are embeddings."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     placed = number_rows(vectors, [F.col("vec_id")], name="idx", rows=vectors.count())
     return store(
-        all_words(spark, sf).join(placed, "idx").select(
+        all_words(spark, sf, tokens).join(placed, "idx").select(
             "word", "idx", F.col("embedding").alias("vec")
         ),
         "words",
@@ -237,7 +245,8 @@ def scan_word_vectors(spark, sf):
     f"WITH {WORDS} SELECT doc_id, pos, token, idx, {ENDS} FROM tok LEFT JOIN words ON token = word",
 )
 def embedding_lookup(spark, sf):
-    found = E.lookup_words(docs(spark, sf), word_table(spark, sf))
+    tokens = E.tokenized(docs(spark, sf))
+    found = E.lookup_words(tokens, word_table(spark, sf, tokens))
     return found.select("doc_id", "pos", "token", "idx", *vector_columns())
 
 
@@ -247,8 +256,9 @@ def embedding_lookup(spark, sf):
 )
 def embedding_lookup_large(spark, sf):
     """The way for word tables too large to broadcast: mapped files."""
-    vectors = write_vector_store(word_table(spark, sf), DIM)
-    found = E.lookup_in_store(docs(spark, sf), vectors)
+    tokens = E.tokenized(docs(spark, sf))
+    vectors = write_vector_store(word_table(spark, sf, tokens), DIM)
+    found = E.lookup_in_store(tokens, vectors)
     return found.select("doc_id", "pos", "token", "idx", *vector_columns())
 
 
@@ -258,11 +268,8 @@ def embedding_lookup_large(spark, sf):
 )
 def embedding_lookup_shuffled(spark, sf):
     """The way for large word tables whose vectors differ in length."""
-    from clickloom.operators.lookup import skewed_lookup
-
-    tokens = E.token_rows(docs(spark, sf))
-    words = word_table(spark, sf).withColumnRenamed("word", "token")
-    found = skewed_lookup(tokens, words, ["token"], ["doc_id", "pos"], tokens)
+    tokens = E.tokenized(docs(spark, sf))
+    found = E.lookup_shuffled(tokens, word_table(spark, sf, tokens))
     return found.select("doc_id", "pos", "token", "idx", *vector_columns())
 
 
@@ -272,8 +279,8 @@ def embedding_lookup_shuffled(spark, sf):
     "FROM tok LEFT JOIN words ON token = word GROUP BY doc_id",
 )
 def split_in_out_vocab(spark, sf):
-    tokens = E.token_rows(docs(spark, sf))
-    known, unknown = E.split_known(tokens, word_table(spark, sf))
+    tokens = E.tokenized(docs(spark, sf))
+    known, unknown = E.split_known(E.token_rows(tokens), word_table(spark, sf, tokens))
     sides = known.select("doc_id", F.lit(1).alias("k")).unionByName(
         unknown.select("doc_id", F.lit(0).alias("k"))
     )
@@ -318,7 +325,8 @@ FILLED = (
     f"WITH {WORDS}, filled AS ({FILLED}) SELECT doc_id, pos, token, {ENDS} FROM filled WHERE idx IS NULL",
 )
 def embedding_oov_random(spark, sf):
-    found = E.lookup_words(docs(spark, sf), word_table(spark, sf))
+    tokens = E.tokenized(docs(spark, sf))
+    found = E.lookup_words(tokens, word_table(spark, sf, tokens))
     filled = E.fill_unknown(found.where(F.col("idx").isNull()), DIM, seed=17)
     return filled.select("doc_id", "pos", "token", *vector_columns())
 
@@ -331,7 +339,8 @@ def embedding_oov_random(spark, sf):
     "(partition by doc_id, batch order by is_oov, pos) - 1 AS out_pos FROM t",
 )
 def embedding_batch_order(spark, sf):
-    found = E.lookup_words(docs(spark, sf), word_table(spark, sf))
+    tokens = E.tokenized(docs(spark, sf))
+    found = E.lookup_words(tokens, word_table(spark, sf, tokens))
     return E.batch_order(found).select("doc_id", "pos", "token", "is_oov", "out_pos")
 
 
@@ -341,16 +350,13 @@ def embedding_batch_order(spark, sf):
     f"cast(sum((pos + 1) * {SUM} % 1000003) as bigint) AS checksum FROM filled GROUP BY ALL",
 )
 def text_to_vectors_(spark, sf):
-    batches = text_to_vector_batches(docs(spark, sf), word_table(spark, sf), DIM, seed=17)
-    total = lambda vec: F.aggregate(vec, F.lit(0).cast("bigint"), lambda a, v: a + micro(v))
-    weighted = F.transform(
-        "vecs", lambda vec, i: (F.col("batch") * 512 + i + 1) * total(vec) % 1000003
-    )
-    return batches.select(
-        "doc_id",
-        "batch",
-        F.size("tokens").cast("bigint").alias("n"),
-        F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, v: a + v).alias("checksum"),
+    tokens = E.tokenized(docs(spark, sf))
+    batches = text_to_vector_batches(tokens, word_table(spark, sf, tokens), DIM, seed=17)
+    # Rows of single vectors, which stay in their task until they are summed.
+    each = batches.select("doc_id", "batch", F.posexplode("vecs").alias("i", "vec"))
+    weighted = (F.col("batch") * 512 + F.col("i") + 1) * total(F.col("vec")) % 1000003
+    return each.groupBy("doc_id", "batch").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(weighted).alias("checksum")
     )
 
 
@@ -389,8 +395,10 @@ ALL_WORDS = (
 )
 
 
-def all_words(spark, sf) -> DataFrame:
-    counted = E.token_rows(docs(spark, sf)).groupBy(F.col("token").alias("word")).count()
+def all_words(spark, sf, tokens: DataFrame | None = None) -> DataFrame:
+    """All words by frequency, of the documents or of tokens made before."""
+    tokens = docs(spark, sf) if tokens is None else tokens
+    counted = E.token_rows(tokens).groupBy(F.col("token").alias("word")).count()
     counts, rows = store_counted(counted, "word-counts")
     order = [F.col("count").desc(), F.col("word")]
     return store(number_rows(counts, order, name="idx", rows=rows).drop("count"), "all-words")

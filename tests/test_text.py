@@ -220,6 +220,17 @@ def test_rules_are_skipped_only_where_they_do_nothing(spark):
     assert df.where(~X.tokenize(F.col("c")).eqNullSafe(every)).count() == 0
 
 
+def test_tokens_are_made_once(spark):
+    """Documents whose tokens are made already give the same lookups, also by a join."""
+    docs = spark.createDataFrame([(1, "The cat -- the cat's hat."), (2, None), (3, "a b"), (4, "")], "doc_id bigint, text string")
+    words = spark.createDataFrame([("cat", 0, [1.0]), ("the", 1, [2.0])], "word string, idx bigint, vec array<float>")
+    expected = sorted(map(str, E.lookup_words(docs, words).collect()))
+    kept = E.tokenized(docs)
+    assert "regexp" not in E.token_rows(kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, E.lookup_words(kept, words).collect())) == expected
+    assert sorted(map(str, E.lookup_shuffled(docs, words).collect())) == expected
+
+
 def test_words_are_looked_at_once(spark):
     from clickloom.operators import sentences as N
 

@@ -179,3 +179,13 @@ def test_frequent_values_are_found(spark):
     kept, heavy = store_with_heavy(rows.repartition(5), ["a", "n", "s"], "rows", keys=2)
     assert kept.count() == 20_000
     assert [h[:2] for h in heavy] == [("s", "x"), ("a", 7)]
+
+
+def test_rows_of_frequent_keys_are_not_shuffled(spark):
+    df = spark.range(2000).selectExpr("id", "if(id % 10 = 0, concat('k', id), 'hot') AS k")
+    table = spark.createDataFrame([("hot", [1.0]), ("k10", [2.0])], "k string, vec array<float>")
+    heavy = spark.createDataFrame([("hot",)], "k string")
+    out = skewed_lookup(df, table, ["k"], heavy=heavy)
+    assert out.where("vec[0] = 1").count() == 1800 and out.where("vec[0] = 2").count() == 1 and out.count() == 2000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "_route" not in plan
