@@ -156,3 +156,20 @@ def test_preprocess_fails_on_bad_hex(spark):
     df = spark.createDataFrame([("1", "1", "1g")], spec.struct())
     with pytest.raises(Exception, match="not hexadecimal"):
         preprocess(df, spec, 100).collect()
+
+
+def test_wide_rows_are_made_once_a_cell(spark):
+    """Rows beyond Spark's limit of compiled columns give what narrow ones give, each value made once."""
+    spec = FeatureSpec.from_counts(90, 20)
+    made = [F.when(F.col("id") % 7 == j % 7, "").otherwise((F.col("id") * j - 40).cast("string")).alias(c) for j, c in enumerate(spec.dense)]
+    made += [F.when(F.col("id") % 5 == j % 5, None).otherwise(F.substring(F.md5(F.concat(F.lit(j), "id")), 1, 8)).alias(c) for j, c in enumerate(spec.sparse)]
+    log = spark.range(20).select("id", F.lit("1").alias(spec.label), *made)
+    wide = jobs.preprocess(log, spec, 64, ["id"])
+    for dense, sparse in ((spec.dense[:45], ()), (spec.dense[45:], spec.sparse)):
+        part = jobs.preprocess(log, FeatureSpec(spec.label, dense, sparse), 64, ["id"])
+        assert wide.select(part.columns).schema == part.schema
+        assert sorted(map(tuple, wide.select(part.columns).collect())) == sorted(map(tuple, part.collect()))
+    assert wide.columns == ["id", *spec.columns]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= len(spec.sparse)
+    with pytest.raises(Exception, match="cannot be read"):
+        jobs.preprocess(log.withColumn(spec.dense[3], F.lit("x")), spec, 64, ["id"]).collect()
