@@ -366,19 +366,29 @@ def _heavy_cells(long: DataFrame, heavy: list[tuple]) -> DataFrame:
 def _apply_shuffled(
     df: DataFrame, features: Sequence[str], vocabulary: DataFrame, row_key: str, heavy: list[tuple]
 ) -> DataFrame:
-    """Look all cells of ``features`` up together and turn them back into rows."""
+    """Look the cells of ``features`` up together and put the ids beside their rows.
+
+    Frequent values, at most ``HOT_KEYS``, are answered where their rows are. Only cells of other
+    values are shuffled, and of these only the known ones come back to their rows.
+    """
     long = cells(df, features, [row_key])
-    found = skewed_lookup(
-        long,
-        vocabulary.select("feature", "value", "idx"),
-        on=["feature", "value"],
-        spread=[row_key, "feature"],
-        heavy=_heavy_cells(long, heavy),
+    asked = _heavy_cells(long, heavy)
+    entries = vocabulary.select("feature", "value", "idx")
+    answered = store(entries.join(F.broadcast(asked), ["feature", "value"]).coalesce(1), "heavy-rows")
+    rare = long.join(F.broadcast(asked), ["feature", "value"], "left_anti")
+    names = F.array(*[F.lit(f) for f in features])
+    coded = [F.array_position(names, F.col("feature")).cast("int").alias("_code"), "value"]
+    found = rare.select(row_key, *coded).join(entries.select(*coded, "idx"), ["_code", "value"])
+    # Dealt by row before they are gathered: as narrow rows, not with a column for each feature.
+    ids = found.select(row_key, "_code", "idx").repartition(row_key).groupBy(row_key).agg(
+        *[F.max(F.when(F.col("_code") == i, F.col("idx"))).alias(f"_i_{f}") for i, f in enumerate(features, start=1)]
     )
-    ids = found.groupBy(row_key).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("idx"))).alias(f"_i_{f}") for f in features]
-    )
-    return df.join(ids, row_key, "left")
+    out = df.join(ids, row_key, "left")
+    for f in sorted({c for c, _, _ in heavy}):
+        part = answered.where(F.col("feature") == f).select(F.col("value").alias("_v"), F.col("idx").alias("_hot"))
+        out = out.join(F.broadcast(part), quoted(f) == F.col("_v"), "left")
+        out = out.withColumn(f"_i_{f}", F.coalesce("_hot", quoted(f"_i_{f}"))).drop("_v", "_hot")
+    return out
 
 
 def apply_to_files(
@@ -408,9 +418,7 @@ def apply_to_files(
         used = named.select("source", *[quoted(c) for c in dict.fromkeys([*keys, *features])])
         kept, heavy = store_with_heavy(used, features, "cells")
         long = cells(kept, features, ["source", *keys])
-        found = skewed_lookup(
-            long, wanted, ["feature", "value"], ["source", *keys, "feature"], heavy=_heavy_cells(long, heavy)
-        )
+        found = skewed_lookup(long, wanted, ["feature", "value"], heavy=_heavy_cells(long, heavy))
     found = found.withColumn("idx", _settle(F.col("idx"), "oov", oov_id))
     out = found.select("source", *[quoted(k) for k in keys], "feature", "idx")
     out.write.partitionBy("feature", "source").parquet(path)

@@ -189,3 +189,14 @@ def test_rows_of_frequent_keys_are_not_shuffled(spark):
     assert out.where("vec[0] = 1").count() == 1800 and out.where("vec[0] = 2").count() == 1 and out.count() == 2000
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "_route" not in plan
+
+
+def test_ids_come_back_as_narrow_rows(spark):
+    """Cells are dealt by row before they are gathered, and unknown ones do not come back."""
+    rows = spark.range(400).selectExpr("id", "if(id % 4 = 0, null, id) AS `a-b`", "if(id % 2 = 0, 7, id) AS b")
+    fitted = V.fit_vocabulary(rows.where("id < 200"), ["a-b", "b"], "sorted")
+    out = V.apply_vocabulary(rows, ["a-b", "b"], fitted, "oov", row_key="id", broadcast_rows=0)
+    plain = V.apply_vocabulary(rows, ["a-b", "b"], fitted, "oov")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "LeftAnti" in plan
