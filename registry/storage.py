@@ -12,7 +12,7 @@ from clickloom.sinks import files as sinks
 from clickloom.sinks import stages
 from clickloom.sources import clicklog as tsv
 from clickloom.sources import generate, records, tfrecord
-from clickloom.sources.text import read_documents
+from clickloom.sources.text import read_documents, write_documents
 from clickloom.spec import STANDARD, WIDE
 from registry.base import (
     DENSE, M, ROW, SPARSE, clicklog, fill, hexmod, hexv, listed, query, table, with_f1,
@@ -66,8 +66,8 @@ def scan_parquet_rows(spark, sf):
 def scan_text_docs(spark, sf):
     path = new_path(spark, "documents")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # The text writer ends each file with a line break.
-    spread(docs).write.partitionBy("doc_id").text(path)
+    # The writer ends each file with a line break.
+    write_documents(docs, path)
     text = F.regexp_replace(F.col("text"), r"\n\z", "")
     return read_documents(spark, path).select(
         F.substring_index("doc_id", "/", 1).alias("folder"),

@@ -265,3 +265,16 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     found = records.read_records(spark, path, fields=2, range_bytes=8)
     assert found.rdd.getNumPartitions() == 1
     assert [r["f_0"] for r in found.collect()] == list(range(1000))
+
+
+def test_documents_are_written_whole(spark, tmp_path):
+    """One file a row, also for empty texts and for rows that repeat a key or a whole document."""
+    from clickloom.sources import text
+
+    rows = [("a", "one\ntwo\n"), ("a", "other"), ("b", ""), ("b", None), ("c/d e", "é"), ("z", "same"), ("z", "same")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    path = str(tmp_path / "docs")
+    text.write_documents(docs, path)
+    found = [(r["doc_id"].split("/")[0], r["text"]) for r in text.read_documents(spark, path).collect()]
+    names = {"c/d e": "c%2Fd e"}
+    assert sorted(found) == sorted((f"doc_id={names.get(k, k)}", f"{t or ''}\n") for k, t in rows)
