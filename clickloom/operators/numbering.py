@@ -13,10 +13,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.session import store
+from clickloom.session import shuffle_parts, store
 
 # A table this small may be numbered by one window: a single task can hold it.
 PLAIN_ROWS = 500_000
+# Rows of one range, beyond the ranges that the session's shuffle partitions make.
+RANGE_ROWS = 1_000_000
 # Files whose starts are broadcast.
 BROADCAST_FILES = 1_000_000
 _TASK_BITS = 33  # monotonically_increasing_id keeps the task in the bits above
@@ -30,16 +32,18 @@ def number_rows(
     start: int = 0,
     rows: int | None = None,
     lead: Column | None = None,
+    plain_rows: int = PLAIN_ROWS,
 ) -> DataFrame:
     """Number rows from ``start`` in ``order_by`` order, anew per ``within`` group.
 
     ``order_by`` must order the rows of a group without ties. ``rows`` is the
-    row count when the caller knows it; only then may the plain window be used.
+    row count when the caller knows it; only then may the plain window be used, up to ``plain_rows``,
+    and only then do the ranges grow in number with the rows.
     ``lead`` may give a BIGINT that never decreases in (group, order): Spark
     compares one number about three times faster than a group and its order.
     """
     groups = list(within)
-    if rows is not None and rows <= PLAIN_ROWS:
+    if rows is not None and rows <= plain_rows:
         window = Window.partitionBy(*groups).orderBy(*order_by)
         number = F.row_number().over(window).cast("bigint") + (start - 1)
         return df.withColumn(name, number)
@@ -47,8 +51,10 @@ def number_rows(
     order = [*[F.col(g) for g in groups], *order_by]
     if lead is not None:
         order = [lead, *order]
+    wanted = -(-(rows or 0) // RANGE_ROWS)
+    more = [wanted] if wanted > shuffle_parts(df.sparkSession) else []
     sequenced = store(
-        df.repartitionByRange(*order)
+        df.repartitionByRange(*more, *order)
         .sortWithinPartitions(*order)
         .withColumn("_seq", F.monotonically_increasing_id()),
         "ranged",

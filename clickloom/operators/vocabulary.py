@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from clickloom.functions.rows import quoted
 from clickloom.operators.lookup import skewed_lookup, store_with_heavy
 from clickloom.operators.numbering import lead_of, number_rows
-from clickloom.session import store, store_counted
+from clickloom.session import shuffle_parts, store, store_counted
 
 # Rows of all vocabularies broadcast in one query; about 150 MB per executor.
 # Text values count one more row for every 64 bytes.
@@ -105,6 +105,11 @@ def _integer_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
     found = df.select(*[quoted(f) for f in names]).mapInArrow(run, "feature string, value long, cnt long")
     kind = "bigint" if any(not isinstance(df.schema[f].dataType, T.IntegerType) for f in names) else "int"
+    # Runs are counted already, so nothing is lost by dealing them before they are added up: to as many
+    # tasks as the rows have, if the session's number is smaller.
+    parts = df.rdd.getNumPartitions()
+    if parts > shuffle_parts(df.sparkSession):
+        found = found.repartition(parts, "feature", "value")
     total = found.groupBy("feature", "value").agg(F.sum("cnt").alias("cnt"))
     return total.withColumn("value", F.col("value").cast(kind))
 

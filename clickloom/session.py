@@ -57,6 +57,11 @@ def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df if parts >= wanted else df.repartition(wanted)
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """Partitions of a shuffle that names no number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def store(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

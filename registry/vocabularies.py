@@ -129,9 +129,9 @@ def vocab_by_frequency(spark, sf):
 @query("vocab_by_frequency_large", _vocab_sql("frequency", M_LARGE))
 def vocab_by_frequency_large(spark, sf):
     """The way for vocabularies of any size: numbered by ranges."""
-    counts = V.store(V.value_counts(reduced(spark, sf, M_LARGE), SPARSE), "value-counts")
+    counts, rows = V.store_counted(V.value_counts(reduced(spark, sf, M_LARGE), SPARSE), "value-counts")
     order = [F.col("cnt").desc(), F.col("value").cast("string").desc()]
-    return vocab(V.number_rows(counts, order, within=["feature"], name="idx"))
+    return vocab(V.number_rows(counts, order, within=["feature"], name="idx", rows=rows, plain_rows=0))
 
 
 @query(

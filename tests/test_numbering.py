@@ -128,3 +128,22 @@ def test_check_split_sizes_passes_and_fails(spark):
     assert stats.check_split_sizes(df, df, "split").count() == 0
     found = stats.check_split_sizes(df, df.where("id <> 4 and split = 0"), "split").collect()
     assert sorted(map(tuple, found)) == [(0, 5, 4), (1, 5, 0)]
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """A task's share of the counts and of the sort does not grow with the input."""
+    from clickloom.operators import numbering
+    from clickloom.operators import vocabulary as V
+
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 100)
+    df = spark.range(3000).selectExpr("(id * 7) % 3000 AS k")
+    out = numbering.number_rows(df, [F.col("k")], rows=3000, plain_rows=0)
+    assert out.rdd.getNumPartitions() >= 1 and out.where("k <> pos").count() == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        counts = V.value_counts(df.repartition(5), ["k"])
+        assert "RepartitionByExpression" in counts._jdf.queryExecution().optimizedPlan().toString()
+        assert counts.agg(F.sum("cnt"), F.count("*")).first()[:] == (3000, 3000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
