@@ -19,6 +19,8 @@ from clickloom.session import shuffle_parts, store
 PLAIN_ROWS = 500_000
 # Rows of one range, beyond the ranges that the session's shuffle partitions make.
 RANGE_ROWS = 1_000_000
+# Rows that one task sorts when wide rows are numbered.
+BLOCK_ROWS = 250_000
 # Files whose starts are broadcast.
 BROADCAST_FILES = 1_000_000
 _TASK_BITS = 33  # monotonically_increasing_id keeps the task in the bits above
@@ -87,6 +89,85 @@ def number_rows(
     )
 
 
+def block_of(value: Column, bounds: Sequence, low: int = 0) -> Column:
+    """Index of the block that holds ``value``: a search tree of comparisons.
+
+    ``bounds`` are the ascending first values of blocks 1, 2, ...
+    """
+    if not bounds:
+        return F.lit(low)
+    middle = len(bounds) // 2
+    return F.when(
+        value < F.lit(bounds[middle]), block_of(value, bounds[:middle], low)
+    ).otherwise(block_of(value, bounds[middle + 1 :], low + middle + 1))
+
+
+def _block_of_group(group: Column, key: Column, blocks: Sequence[tuple]) -> Column:
+    """Block of a row from ``(group, bounds, first block)`` by group: a search tree of search trees."""
+    if len(blocks) == 1:
+        return block_of(key, *blocks[0][1:])
+    if blocks[0][0] is None:
+        return F.when(group.isNull(), block_of(key, *blocks[0][1:])).otherwise(
+            _block_of_group(group, key, blocks[1:])
+        )
+    middle = len(blocks) // 2
+    return F.when(group < F.lit(blocks[middle][0]), _block_of_group(group, key, blocks[:middle])).otherwise(
+        _block_of_group(group, key, blocks[middle:])
+    )
+
+
+def number_wide_rows(
+    df: DataFrame,
+    order_by: Sequence[Column],
+    within: str,
+    key: Column,
+    narrow: DataFrame,
+    name: str = "pos",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``number_rows`` for wide rows: each moves once, straight to the task that sorts its block.
+
+    ``narrow`` has the columns that ``order_by``, ``within`` and ``key`` use, of the same rows. ``key``
+    is an integer that never decreases in ``order_by`` inside a group. Approximate quantiles of it cut
+    each group into blocks of about ``block_rows`` rows, fewer if cores would idle; these are counted, so a row's number is its
+    block's start and its place there. Any bounds give the same numbers.
+    """
+    total = narrow.count()
+    if not total:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    block_rows = min(block_rows, -(-total // cores))
+    shares = -(-total // block_rows)
+    cuts = F.array(*[F.lit(i / shares) for i in range(1, shares)] or [F.lit(0.5)])
+    found = narrow.groupBy(within).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(key, cuts, 10_000).alias("cuts")
+    )
+    blocks, first = [], 0
+    # One row per group, with as many bounds as there are blocks.
+    for r in sorted(found.collect(), key=lambda r: (r[within] is not None, r[within])):
+        wanted = min(-(-r["n"] // block_rows), shares)
+        bounds = sorted({r["cuts"][i * shares // wanted - 1] for i in range(1, wanted)})
+        blocks.append((r[within], bounds, first))
+        first += len(bounds) + 1
+    block = _block_of_group(F.col(within), key, blocks)
+    sizes = {r["_block"]: r["count"] for r in narrow.groupBy(block.alias("_block")).count().collect()}
+    starts = []
+    for _, bounds, low in blocks:
+        at = 0
+        for b in range(low, low + len(bounds) + 1):
+            starts.append(at)
+            at += sizes.get(b, 0)
+    # Partition and block have the same number, so a row's place in its partition is its place in the block.
+    sequenced = (
+        df.withColumn("_block", block)
+        .repartitionById(first, F.col("_block"))
+        .sortWithinPartitions(within, *order_by)
+        .withColumn("_seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _TASK_BITS) - 1)))
+    )
+    start = F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("_block"))
+    return sequenced.select(*df.columns, (start + F.col("_seq")).alias(name))
+
+
 def lead_of(code: Column, codes: int, key: Column) -> Column:
     """``lead`` for groups coded 0 to ``codes - 1`` that are ordered by a BIGINT.
 

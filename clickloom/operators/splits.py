@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.draws import draw
 from clickloom.functions.permute import permute
-from clickloom.operators.numbering import number_rows, positions_in_files
+from clickloom.operators.numbering import block_of, number_rows, number_wide_rows, positions_in_files
 
 
 def block_starts(rows: int, blocks: int) -> list[int]:
@@ -18,19 +18,6 @@ def block_starts(rows: int, blocks: int) -> list[int]:
     return [b * size + min(b, extra) for b in range(blocks)]
 
 
-def block_of(value: Column, bounds: Sequence, low: int = 0) -> Column:
-    """Index of the block that holds ``value``: a search tree of comparisons.
-
-    ``bounds`` are the ascending first values of blocks 1, 2, ...
-    """
-    if not bounds:
-        return F.lit(low)
-    middle = len(bounds) // 2
-    return F.when(
-        value < F.lit(bounds[middle]), block_of(value, bounds[:middle], low)
-    ).otherwise(block_of(value, bounds[middle + 1 :], low + middle + 1))
-
-
 def block_bounds(df: DataFrame, key: str, blocks: int) -> list:
     """First key of blocks 1, 2, ...: only the key column is sorted."""
     numbered = number_rows(df.select(key), [F.col(key)], name="_pos")
@@ -77,14 +64,22 @@ def shuffle_within_split(
     seed: int = 0,
     pinned: int | None = None,
     name: str = "slot",
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
-    """New position of each row inside its split; ``pinned`` keeps key order."""
+    """New position of each row inside its split; ``pinned`` keeps key order.
+
+    ``narrow``, split and integer key of the same rows, says that the rows are wide: they move once.
+    """
     order = draw(seed, F.col(key))
     if pinned is not None:
         order = F.when(F.col(split) != pinned, order)
     drawn = df.withColumn("_draw", order)
     ordered = [F.col("_draw"), F.col(key)]
-    return number_rows(drawn, ordered, within=[split], name=name).drop("_draw")
+    if narrow is None:
+        return number_rows(drawn, ordered, within=[split], name=name).drop("_draw")
+    first = F.coalesce("_draw", key)  # a split has draws in all rows or in none
+    keys = narrow.withColumn("_draw", order)
+    return number_wide_rows(drawn, ordered, split, first, keys, name).drop("_draw")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 0, name: str = "slot") -> DataFrame:
@@ -94,24 +89,29 @@ def shuffle_rows(df: DataFrame, key: str, seed: int = 0, name: str = "slot") ->
 
 
 def shuffle_into_splits(
-    df: DataFrame, split: str, key: str, last: int | None = None, seed: int = 0
+    df: DataFrame, split: str, key: str, last: int | None = None, seed: int = 0,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
     """Deal all rows at random to buckets as large as the original splits.
 
     Adds ``bucket`` and ``slot``. Cutting one random order of the rows at the
     split offsets fills every bucket exactly and is random inside each one.
-    The ``last`` split, when given, keeps its rows in key order.
+    The ``last`` split, when given, keeps its rows in key order. ``narrow`` is as in
+    ``shuffle_within_split``.
     """
-    open_sizes = rows_per_split(df.where(~F.col(split).eqNullSafe(F.lit(last))), split)
+    known = df if narrow is None else narrow
+    open_sizes = rows_per_split(known.where(~F.col(split).eqNullSafe(F.lit(last))), split)
     offsets = split_offsets(open_sizes, split).orderBy(split)
     open_splits = [(r[split], r["offset"]) for r in offsets.collect()]  # one per split
+    pin = F.col(split).eqNullSafe(F.lit(last)).cast("int")
     dealt = shuffle_within_split(
-        df.withColumn("_pin", F.col(split).eqNullSafe(F.lit(last)).cast("int")),
+        df.withColumn("_pin", pin),
         "_pin",
         key,
         seed,
         pinned=1 if last is not None else None,
         name="_pos",
+        narrow=None if narrow is None else narrow.withColumn("_pin", pin),
     )
     index = block_of(F.col("_pos"), [start for _, start in open_splits[1:]])
     ids = F.array(*[F.lit(s) for s, _ in open_splits])

@@ -147,3 +147,16 @@ def test_ranges_grow_with_the_rows(spark, monkeypatch):
         assert counts.agg(F.sum("cnt"), F.count("*")).first()[:] == (3000, 3000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 100, 10**6])
+def test_wide_rows_are_numbered_in_blocks(spark, block_rows):
+    """The same numbers as by ranges, in groups of any size, one of them without a name."""
+    rows = spark.range(-100, 400).selectExpr(
+        "id * 37 % 1009 AS k", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 10 = 1 THEN -4 ELSE id % 3 END AS g", "id AS v"
+    ).repartition(5)
+    order = [F.col("k")]
+    found = numbering.number_wide_rows(rows, order, "g", F.col("k"), rows.select("g", "k"), block_rows=block_rows)
+    wanted = numbering.number_rows(rows, order, within=["g"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, wanted.collect()), key=repr)
+    assert numbering.number_wide_rows(rows.limit(0), order, "g", F.col("k"), rows.limit(0)).count() == 0

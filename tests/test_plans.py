@@ -145,3 +145,22 @@ def test_days_evaluate_their_input_three_times_at_most(spark, tmp_path):
     by_day = jobs.prepare_days(days, spec, "row_id", 3, 8192, split="day").collect()
     assert all(r["split"] == r["row_id"] % 3 for r in by_day)
     assert sorted(r["slot"] for r in by_day if r["split"] == 1) == list(range(100))
+
+
+@pytest.mark.parametrize("randomize", ["none", "day", "total"])
+def test_days_move_wide_rows_once(spark, tmp_path, randomize):
+    """Rows go straight to their block: one exchange, and nothing is joined to them."""
+    df = spark.read.parquet(log(spark, tmp_path))
+    text = plan(jobs.prepare_days(df, SPEC, "row_id", 3, 8192, randomize=randomize))
+    assert "Join" not in text and text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("randomize", ["none", "day", "total"])
+def test_days_with_text_keys(spark, tmp_path, randomize):
+    """Text keys are numbered beside the rows; places are a permutation of each day."""
+    df = spark.read.parquet(log(spark, tmp_path)).selectExpr(
+        "concat('r', row_id) AS row_id", "* EXCEPT (row_id)", "cast(row_id % 3 as int) AS day"
+    )
+    rows = jobs.prepare_days(df, SPEC, "row_id", 3, 8192, randomize=randomize, split="day").collect()
+    for day, n in ((0, 67), (1, 67), (2, 66)):
+        assert sorted(r["slot"] for r in rows if r["split"] == day) == list(range(n))
