@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from clickloom.sources.tfrecord import read_tfrecords, write_tfrecords
 
 # Rows per group when small files are merged.
 COMPACT_GROUP_ROWS = 3_000_000
+# Bytes of rows that a task holds while it deals them to files.
+DEALT_BYTES = 64 * 1024 * 1024
 
 
 def write_snappy(df: DataFrame, path: str) -> None:
@@ -71,12 +76,52 @@ def write_tsv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
     df.select(row_to_tsv(df, columns or df.columns).alias("value")).write.text(path)
 
 
+def dealt_to_files(df: DataFrame, files: int, held_bytes: int = DEALT_BYTES) -> DataFrame:
+    """The rows of ``df`` in ``files`` partitions of about equal size, shuffled as compressed runs of rows.
+
+    Each task deals its rows in turn, starting at its own number. Far fewer bytes move than row by row,
+    as a run is compressed as a whole; a task holds at most ``held_bytes`` and one batch. ``df`` must
+    give the same rows in the same order when a task is retried, as a scan of files does.
+    """
+    names = df.columns
+
+    def packed(parts: list[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        for k in range(min(files, table.num_rows)):
+            run = table.take(np.arange(k, table.num_rows, files)).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, run.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(run)
+            yield pa.record_batch([pa.array([(at + k) % files], pa.int32()), [sink.getvalue().to_pybytes()]], ["file", "run"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held, rows = TaskContext.get().partitionId(), [], 0, 0
+        for batch in batches:
+            parts.append(batch)
+            held += batch.nbytes
+            rows += batch.num_rows
+            if held >= held_bytes:
+                yield from packed(parts, at)
+                at, parts, held, rows = at + rows, [], 0, 0
+        if rows:
+            yield from packed(parts, at)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch["run"]:
+                for part in pa.ipc.open_stream(run.as_buffer()):
+                    yield part.rename_columns(names)
+
+    runs = df.mapInArrow(pack, "file int, run binary").repartitionById(files, F.col("file"))
+    return runs.mapInArrow(unpack, df.schema)
+
+
 def reshard_text(spark: SparkSession, source: str, target: str, files: int = 256) -> None:
-    spark.read.text(source).repartition(files).write.text(target)
+    dealt_to_files(spark.read.text(source), files).write.text(target)
 
 
 def reshard_tfrecords(spark: SparkSession, source: str, target: str, files: int = 256) -> None:
-    write_tfrecords(read_tfrecords(spark, source).repartition(files), target)
+    write_tfrecords(dealt_to_files(read_tfrecords(spark, source), files), target)
 
 
 def write_vocabulary(vocabulary: DataFrame, path: str, kind: str = "parquet") -> None:

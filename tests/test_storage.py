@@ -5,6 +5,7 @@ import struct
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from clickloom import session
 from clickloom.functions.rows import row_to_tsv
@@ -217,6 +218,32 @@ def test_reshard_text(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "b")).distinct().count() == 50
 
 
+def test_dealt_to_files(spark):
+    """Every row once, in files of equal size, whether runs are of one batch or of all."""
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(0, 1000, 1, 3).selectExpr("id", "IF(id % 7 = 0, NULL, repeat('x\\ny', id % 5)) AS t", "array(id) AS a")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+        for held in (1, 1 << 26):
+            dealt = sinks.dealt_to_files(rows, 7, held)
+            assert sorted(dealt.collect()) == sorted(rows.collect()) and dealt.schema == rows.schema
+            sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 7 and max(sizes) - min(sizes) <= 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert sinks.dealt_to_files(rows.limit(0), 7).count() == 0
+
+
+def test_resharding_moves_compressed_runs(spark, tmp_path):
+    spark.range(20_000).selectExpr("concat(md5(cast(id % 50 as string)), id) AS value").write.text(str(tmp_path / "a"))
+    scanned = spark.read.text(str(tmp_path / "a"))
+    text = sinks.dealt_to_files(scanned, 5)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "RoundRobin" not in text and text.count("MapInArrow") == 2
+    sinks.reshard_text(spark, str(tmp_path / "a"), str(tmp_path / "b"), files=5)
+    assert len(list((tmp_path / "b").glob("part-*"))) == 5
+    assert sorted(spark.read.text(str(tmp_path / "b")).collect()) == sorted(scanned.collect())
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("line one\nline two\n", encoding="utf-8")
     (tmp_path / "b.txt").write_text("é", encoding="utf-8")
