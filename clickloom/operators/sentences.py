@@ -7,8 +7,10 @@ and words with inner periods count more, every occurrence without the period cou
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,15 @@ from clickloom.session import store
 # Fixed values of the method: how sure a period follows an abbreviation, and the least score.
 FOLLOWED = 0.99
 LEAST_SCORE = 0.3
-# Abbreviations that a tokenizer's pattern may hold: those of the highest scores.
-MOST = 1000
+# Forms of abbreviations that one pattern names, for it tries them one by one; more are looked up in a set.
+PATTERN_FORMS = 300
 # What may stand before and behind a word, and what a word is.
 BEFORE = r"^[\"'“”‘’(\[{]+"
 BEHIND = r"[\"'“”’)\]},;:!?]+$"
 WORD = r"^\p{L}+(\.\p{L}+)*$"
+# What may stand before an abbreviation, and behind its period; what stands between the two, as Java reads it.
+_STARTS, _SPACE = r"\s\"'“‘(\[", r"[ \t\n\x0b\f\r]"
+_RUN = re.compile(rf"(?<![^{_STARTS}])([^{_STARTS}]+)\.(?={_SPACE})".replace(r"\s", _SPACE[1:-1]))
 # A character for private use stands for the period of an abbreviation while a text is cut.
 HELD = "\ue000"
 
@@ -60,15 +65,36 @@ def abbreviation_scores(counts: DataFrame) -> DataFrame:
     return counts.where("k > 0").select("word", "n", "k", F.round(score, 6).alias("score"))
 
 
-def learn_abbreviations(docs: DataFrame, text: str = "text", most: int = MOST) -> list[str]:
-    """Abbreviations of the texts, without their last period, at most ``most``, the surest first."""
+def learn_abbreviations(docs: DataFrame, text: str = "text", most: int | None = None) -> list[str]:
+    """Abbreviations of the texts, without their last period, the surest first; ``most`` keeps the first ones."""
     scores = abbreviation_scores(period_counts(docs, text)).where(F.col("score") >= LEAST_SCORE)
-    return [r["word"] for r in scores.orderBy(F.desc("score"), "word").limit(most).collect()]
+    words = scores.orderBy(F.desc("score"), "word").select("word")
+    return [r["word"] for r in (words if most is None else words.limit(most)).collect()]
 
 
-def _pattern(abbreviations: Sequence[str]) -> str:
-    forms = dict.fromkeys(f for a in abbreviations for f in (a, a[:1].upper() + a[1:], a.upper()))
-    return r"(^|[\s\"'“‘(\[])(" + "|".join(f.replace(".", r"\.") for f in forms) + r")\.(\s)"
+def _forms(abbreviations: Iterable[str]) -> dict[str, None]:
+    return dict.fromkeys(f for a in abbreviations for f in (a, a[:1].upper() + a[1:], a.upper()))
+
+
+def _pattern(forms: Iterable[str]) -> str:
+    return rf"(^|[{_STARTS}])(" + "|".join(f.replace(".", r"\.") for f in forms) + r")\.(\s)"
+
+
+def _held_from(forms: Iterable[str]) -> Callable[[Column], Column]:
+    """What two passes of ``_pattern`` do, at a cost that does not grow with the number of forms.
+
+    No form has a space or a character of ``_STARTS``, so what stands between one of these and a period
+    with a space behind it is the only form that can match there.
+    """
+    known = frozenset(forms)
+
+    def held(texts: pa.Array) -> pa.Array:
+        def one(found: re.Match) -> str:
+            return found[1] + HELD if found[1] in known else found[0]
+
+        return pa.array([None if t is None else _RUN.sub(one, t) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(held, "string")
 
 
 def hold_periods(text: Column, abbreviations: Sequence[str]) -> Column:
@@ -78,8 +104,11 @@ def hold_periods(text: Column, abbreviations: Sequence[str]) -> Column:
     """
     if not abbreviations:
         return text
+    forms = _forms(abbreviations)
+    if len(forms) > PATTERN_FORMS:
+        return _held_from(forms)(text)
     for _ in range(2):
-        text = F.regexp_replace(text, _pattern(abbreviations), f"$1$2{HELD}$3")
+        text = F.regexp_replace(text, _pattern(forms), f"$1$2{HELD}$3")
     return text
 
 

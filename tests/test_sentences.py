@@ -83,3 +83,32 @@ def test_letters_only(spark):
 def test_no_texts(spark):
     assert N.learn_abbreviations(table(spark, [None, "", "no period here"])) == []
     assert N.learn_abbreviations(table(spark, [])) == []
+
+
+def many_words(n):
+    return [f"{chr(98 + i // 400)}{chr(98 + i // 20 % 20)}{chr(98 + i % 20)}" for i in range(n)]
+
+
+def test_all_abbreviations_count(spark):
+    """More abbreviations than one pattern would hold: all are learned, and all are left whole."""
+    words = many_words(1500)
+    lines = [f"We saw {w}. and {w}. here " + "in the old town " * 10 for w in words]
+    known = N.learn_abbreviations(table(spark, lines))
+    assert set(known) == set(words)
+    for w in (words[0], words[-1], known[-1]):
+        assert tokens(spark, f"A {w}. came. So {w.upper()}. {w.title()}. left.", known) == \
+            ["A", f"{w}.", "came", ".", "So", f"{w.upper()}.", f"{w.title()}.", "left", "."]
+
+
+def test_set_and_pattern_agree(spark, monkeypatch):
+    known = ["dr", "mr", "a.m", "st", "é", "ß", "z.b"]
+    texts = ["Dr. Mr. St. Lee", "(Dr. x) [a.m. \"st. 'mr. “é. ‘ß. SS. É. \n", "x.dr. dr.. dr. x dr. x dr.\x0bx\tdr.\rz",
+             "dr.", " dr. ", "dr.dr. a.a.m. ..dr. d'mr. d’mr. Z.B. z.B. Z.b.  st.\x85x", "", None, "st.,x {dr. }dr. *dr. x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def held():
+        return [tuple(r) for r in df.select("i", N.hold_periods(F.col("t"), known)).orderBy("i").collect()]
+
+    by_pattern = held()
+    monkeypatch.setattr(N, "PATTERN_FORMS", 0)
+    assert held() == by_pattern and sum((t or "").count(N.HELD) for _, t in by_pattern) > 15
