@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clickloom.functions import arrays as A
 from clickloom.functions import dense as D
 from clickloom.functions import sparse as S
 from clickloom.functions.rows import apply_by_role, fill_missing_rows, map_as_arrays, quoted
@@ -33,11 +35,12 @@ WIDE_COLUMNS = 100
 
 
 def preprocess(
-    df: DataFrame, spec: FeatureSpec, modulus: int, keep: Sequence[str] = ()
+    df: DataFrame, spec: FeatureSpec, modulus: int, keep: Sequence[str] = (), places: int | None = None
 ) -> DataFrame:
     """Fill, clip and log dense columns, reduce sparse ones: one projection.
 
-    Sparse text is hexadecimal; integer sparse columns are only reduced.
+    Sparse text is hexadecimal; integer sparse columns are only reduced. Dense values are rounded to
+    ``places`` if given.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
@@ -50,16 +53,19 @@ def preprocess(
     def dense(name: str):
         text = kinds[name].typeName() in ("string", "char", "varchar")
         filled = D.fill_missing(quoted(name)) if text else F.coalesce(quoted(name), F.lit(0))
-        return D.log1p(D.neg_to_zero(D.dense_double(filled)))
+        value = D.log1p(D.neg_to_zero(D.dense_double(filled)))
+        return value if places is None else F.round(value, places)
 
     tune(df.sparkSession)
     wide = len(spec.columns) > WIDE_COLUMNS
     if wide and all(kinds[c].typeName() == "string" for c in (*spec.dense, *spec.sparse)):
-        labelled = df.withColumn(spec.label, D.label_int(quoted(spec.label)))
-        clip_log = lambda c: D.log1p(D.neg_to_zero(c))
-        reduced = lambda c: S.hex_mod(c, modulus, T.StringType())
-        roles = [(spec.dense, [D.fill_missing, D.dense_double, clip_log]), (spec.sparse, [D.fill_missing, reduced])]
-        return map_as_arrays(labelled, roles, [*keep, spec.label])
+        if kinds[spec.label] != T.IntegerType():
+            df = df.withColumn(spec.label, D.label_int(quoted(spec.label)))
+        clip_log = [A.fill_missing, A.dense_double, A.neg_to_zero, A.log1p]
+        clip_log += [] if places is None else [partial(A.round_half_up, places=places)]
+        reduced = [A.fill_missing, partial(A.hex_mod, m=modulus)]
+        roles = [(spec.dense, clip_log, T.DoubleType()), (spec.sparse, reduced, T.LongType())]
+        return map_as_arrays(df, roles, [*keep, spec.label])
     return df.select(
         *[quoted(c) for c in keep],
         D.label_int(quoted(spec.label)).alias(spec.label),

@@ -5,11 +5,19 @@ Every query is registered with the SQL that must give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import sys
+from collections.abc import Callable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.functions.rows import map_batches
+from clickloom.plans.jobs import WIDE_COLUMNS
 from clickloom.session import spread, tune
 from clickloom.spec import STANDARD, FeatureSpec
 
@@ -27,6 +35,9 @@ DENSE = STANDARD.dense
 SPARSE = STANDARD.sparse
 ROW = ["row_id", "split"]
 
+# Tasks get the functions that make wide rows with the job, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name`` with its SQL."""
@@ -52,6 +63,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def clicklog(spark: SparkSession, sf_dir: str, spec: FeatureSpec = STANDARD) -> DataFrame:
     """Raw text click log: one row per event, with missing fields."""
+    if len(spec.columns) > WIDE_COLUMNS:
+        return wide_clicklog(spark, sf_dir, spec)
     e = F.col("event_id")
     keys = [
         F.col("user_id").cast("string"),
@@ -73,6 +86,48 @@ def clicklog(spark: SparkSession, sf_dir: str, spec: FeatureSpec = STANDARD) ->
     )
 
 
+def wide_clicklog(spark: SparkSession, sf_dir: str, spec: FeatureSpec) -> DataFrame:
+    """The same rows for specs of hundreds of columns, made a column of a batch at a time."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    rows = TASK_ROWS * len(STANDARD.columns) // len(spec.columns)
+    ids = "row_id BIGINT, split INT, "
+    text = ", ".join(f"`{c}` STRING" for c in (*spec.dense, *spec.sparse))
+    names, n_dense, n_sparse = [*ROW, *spec.columns], len(spec.dense), len(spec.sparse)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(_wide_columns(batch, n_dense, n_sparse), names)
+
+    return map_batches(spread(events, rows), made, f"{ids}`{spec.label}` INT, {text}")
+
+
+def _wide_columns(batch: pa.RecordBatch, n_dense: int, n_sparse: int) -> list[pa.Array]:
+    event_id, user_id, event_type = batch.columns
+    unknown = event_id.is_null().to_numpy(zero_copy_only=False)
+    e = pc.fill_null(event_id, 0).to_numpy(zero_copy_only=False)
+    if len(e) and max(-int(e.min()), int(e.max())) > (2**63 - 1) // (n_dense + 60) - n_dense:
+        raise OverflowError("event_id is too large")
+    click = pc.fill_null(pc.equal(event_type, "click"), False).cast(pa.int32())
+    columns = [event_id, pa.array(np.fmod(e, SPLITS), pa.int32(), mask=unknown), click]
+    # The text of every possible dense value, and that of a missing field behind them.
+    texts = pa.array([*map(str, range(-3000, 1001)), ""], pa.string())
+    left, fits, of_13 = np.fmod(e, 2001).astype(np.int32), np.mod(np.mod(e, 11) * 31, 11), np.mod(e, 13)
+    for j in range(1, n_dense + 1):
+        at = np.fmod(left * np.int32(j + 3), np.int32(2001)) + np.int32(2000)
+        at[fits == -7 * j % 11] = len(texts) - 1
+        columns.append(texts.take(pa.array(at, mask=unknown)))
+    keys = [user_id.cast(pa.string()), event_type, pa.array(np.fmod(e, 97), mask=unknown).cast(pa.string()),
+            event_id.cast(pa.string())]
+    coded = [k.dictionary_encode() for k in keys]
+    codes = [pc.fill_null(k.indices, -1).to_numpy(zero_copy_only=False) for k in coded]
+    for j in range(1 + n_dense, 1 + n_dense + n_sparse):
+        names, at = coded[j % 4].dictionary.to_pylist(), codes[j % 4].copy()
+        digests = [md5(f"{j}|{x}".encode(), usedforsecurity=False).hexdigest()[:8] for x in names]
+        at[(of_13 == -j % 13) & ~unknown] = len(names)
+        columns.append(pa.array([*digests, ""], pa.string()).take(pa.array(at, mask=at < 0)))
+    return columns
+
+
 def clicklog_sql(spec: FeatureSpec = STANDARD) -> str:
     keys = [
         "cast(user_id as varchar)",

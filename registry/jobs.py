@@ -33,7 +33,7 @@ def preprocess_no_vocab_large(spark, sf):
 @query("preprocess_wide", with_f1(prepared_sql(M, WIDE), WIDE))
 def preprocess_wide(spark, sf):
     """504 dense and 42 sparse columns."""
-    return rounded(jobs.preprocess(clicklog(spark, sf, WIDE), WIDE, M, ROW), WIDE.dense)
+    return jobs.preprocess(clicklog(spark, sf, WIDE), WIDE, M, ROW, places=6)
 
 
 def encoded_sql(order: str, m: int = M, unseen: str = "idx", rows: str = "f1", more: str = "") -> str:

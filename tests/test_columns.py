@@ -2,17 +2,21 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.plans import jobs
 from clickloom.spec import FeatureSpec
+from clickloom.functions import arrays as A
 from clickloom.functions import dense as D
 from clickloom.functions import sparse as S
 from clickloom.functions.rows import row_to_tsv
 from clickloom.plans.jobs import preprocess
 from clickloom.spec import STANDARD, WIDE, FeatureSpec
+from registry import base
 
 
 def one(spark, expression, value, kind="string"):
@@ -173,3 +177,73 @@ def test_wide_rows_are_made_once_a_cell(spark):
     assert wide._jdf.queryExecution().optimizedPlan().toString().count("md5(") <= len(spec.sparse)
     with pytest.raises(Exception, match="cannot be read"):
         jobs.preprocess(log.withColumn(spec.dense[3], F.lit("x")), spec, 64, ["id"]).collect()
+
+
+def test_array_functions_give_the_same_bits(spark):
+    """Functions of Arrow arrays against those of columns, on odd text and on numbers of every size."""
+    texts = ["", "\n", None, "0", "1", "-1", "+1", " 1 ", "1.", "1.5e3", ".5", "-.5", "1d", "1F", "NaN", "nan", "-NaN", "inf", "-INF",
+             "Infinity", "0x1p3", "0x1.8P-2d", "1e999", "1e-999", "007", "\x0b7", "4.9e-324", "1e39", "0.1", "9007199254740993"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").coalesce(1)
+    filled = A.fill_missing(pa.array(texts))
+    assert filled.to_pylist() == [r[0] for r in df.select(D.fill_missing("c")).collect()]
+    value = D.dense_double(D.fill_missing("c"))
+    wanted = df.select(value.alias("v"), D.fill_missing("c").cast("float").alias("f")).toPandas()
+    np.testing.assert_array_equal(A.dense_double(filled), wanted["v"])
+    np.testing.assert_array_equal(A.to_float(filled), wanted["f"])
+    for bad in ("x", "nan(1)", "-nan", "0x10", "1_0", "1e", "٣", " "):
+        with pytest.raises(ValueError, match="dense value cannot be read"):
+            A.dense_double(pa.array(["1", bad]))
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.arange(5000.0), rng.integers(0, 0x7FF << 52, 20000).view(np.float64), rng.random(5000), 2.0 ** np.arange(-80, 1023),
+                        2.0 ** np.arange(60) - 1, rng.integers(0, 10**7, 9000) / 2e6, [-0.0, 5e-324, np.inf, np.nan, 1e-9]])
+    numbers = spark.createDataFrame(pa.table({"i": np.arange(len(x)), "x": x}))
+    out = numbers.select("i", F.log1p("x").alias("l"), F.round("x", 6).alias("r"), F.round(-F.col("x"), 6).alias("n")).toArrow().sort_by("i")
+    for name, made in (("l", A.log1p(x)), ("r", A.round_half_up(x, 6)), ("n", A.round_half_up(-x, 6))):
+        np.testing.assert_array_equal(made.view(np.int64)[~np.isnan(x)], out[name].to_numpy().view(np.int64)[~np.isnan(x)])
+        assert np.isnan(made[np.isnan(x)]).all()
+    np.testing.assert_array_equal(A.neg_to_zero(np.array([-2.0, 3.0, np.nan])), [0.0, 3.0, np.nan])
+
+
+def test_array_hexadecimal_and_whole_numbers(spark):
+    texts = ["0", "ff", "Ff", "f" * 15, "7" + "f" * 15, "0" * 30 + "ab", "a1b2c3d4"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "a" * 40]], "c string").coalesce(1)
+    for m in (7, 8192, 2**57 + 3):
+        assert A.hex_mod(pa.array([*texts, "a" * 40]), m).tolist() == [r[0] for r in df.select(S.hex_mod(F.col("c"), m)).collect()]
+    assert A.hex_to_int(pa.array(texts)).tolist() == [int(t, 16) for t in texts]
+    assert A.hex_to_int(pa.array([None, *texts]).slice(3)).tolist() == [int(t, 16) for t in texts[2:]]
+    for bad in ("", "g", "1g", "-1", "0x1", " 1", "é"):
+        with pytest.raises(ValueError, match="not hexadecimal"):
+            A.hex_mod(pa.array(["1", bad]), 7)
+    for bad in ("8" + "0" * 15, "f" * 16, "g"):
+        with pytest.raises(ValueError, match="not hexadecimal, or too large"):
+            A.hex_to_int(pa.array(["1", bad]))
+    whole = ["7", "-7", "+7", " 7\t", "7\x7f", "-9223372036854775808", "007"]
+    assert A.to_long(pa.array(whole)).tolist() == [r[0] for r in spark.createDataFrame([(t,) for t in whole], "c string").coalesce(1).select(F.col("c").cast("bigint")).collect()]
+    for bad in ("0x1f", "1.", "", "9223372036854775808", "1d"):
+        with pytest.raises(ValueError, match="whole number"):
+            A.to_long(pa.array(["1", bad]))
+    assert A.unsigned_32(np.array([-1, 5, -1000])).tolist() == [2**32 - 1, 5, 2**32 - 1000]
+
+
+def test_wide_rows_meet_no_engine_between_steps(spark, tmp_path):
+    """Making and preparing wide rows is one pass, and rounds as Spark does; the rows are those of narrow specs."""
+    rows = [(i * 37 - 400 if i % 17 else None, i % 7 if i % 5 else None, ("click", "view", None)[i % 3]) for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    spec = FeatureSpec.from_counts(80, 30)
+    log = base.clicklog(spark, str(tmp_path), spec)
+    prepared = jobs.preprocess(log, spec, 64, ["row_id"], places=6)
+    plan = prepared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    key = lambda r: tuple((v is None, v) for v in r)
+    for dense, sparse in ((80, 10), (80, 0)):
+        part = FeatureSpec.from_counts(dense, sparse)
+        narrow = base.clicklog(spark, str(tmp_path), part)
+        names = [*base.ROW, *part.columns]
+        assert sorted(map(tuple, log.select(names).collect()), key=key) == sorted(map(tuple, narrow.select(names).collect()), key=key)
+        done = jobs.preprocess(narrow, part, 64, ["row_id"], places=6)
+        assert sorted(map(tuple, prepared.select(done.columns).collect()), key=key) == sorted(map(tuple, done.collect()), key=key)
+    at_most = spark.createDataFrame([(2**62, 1, "click")], "event_id long, user_id long, event_type string")
+    at_most.write.parquet(str(tmp_path / "large" / "events.parquet"))
+    with pytest.raises(Exception, match="too large"):
+        base.clicklog(spark, str(tmp_path / "large"), spec).collect()
