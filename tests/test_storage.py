@@ -3,12 +3,14 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from clickloom import session
-from clickloom.functions.rows import row_to_tsv
+from clickloom.functions.rows import map_batches, row_to_tsv
 from clickloom.plans import jobs
 from clickloom.sinks import files as sinks
 from clickloom.sources import clicklog, generate, records, tfrecord, text
@@ -305,3 +307,25 @@ def test_documents_are_written_whole(spark, tmp_path):
     found = [(r["doc_id"].split("/")[0], r["text"]) for r in text.read_documents(spark, path).collect()]
     names = {"c/d e": "c%2Fd e"}
     assert sorted(found) == sorted((f"doc_id={names.get(k, k)}", f"{t or ''}\n") for k, t in rows)
+
+
+def test_records_of_worker_batches(spark, tmp_path):
+    """Batches made by workers are written by them; a job that fails leaves no data, and jobs append."""
+    def doubled(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"a": pc.multiply(b.column(0), 2), "b": b.column(0).cast(pa.float32())})
+
+    def broken(batches):
+        for b in batches:
+            if 7 in b.column(0).to_pylist():
+                raise ValueError("broken batch")
+            yield b
+
+    path = str(tmp_path / "records")
+    df = spark.range(0, 20, 1, 3)
+    records.write_records(map_batches(df, doubled, "a long, b float"), path)
+    records.write_records(map_batches(df, doubled, "a long, b float"), path)
+    with pytest.raises(Exception, match="broken batch"):
+        records.write_records(map_batches(df, broken, "a long"), path)
+    found = records.read_records(spark, path, fields=2, kinds=["uint32", "float32"]).collect()
+    assert sorted(map(tuple, found)) == sorted((2 * i, float(i)) for i in range(20) for _ in range(2))
