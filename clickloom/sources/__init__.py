@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from clickloom.sources import files, records, tfrecord
+from clickloom.sources import files, records, text, tfrecord
 
 # Tasks get the data sources with the job, so executors need no installation.
-for _module in (files, records, tfrecord):
+for _module in (files, records, text, tfrecord):
     cloudpickle.register_pickle_by_value(_module)

@@ -1,5 +1,6 @@
 """Files: sources, sinks and the shared folder."""
 
+import gzip
 import struct
 
 import numpy as np
@@ -329,3 +330,32 @@ def test_records_of_worker_batches(spark, tmp_path):
         records.write_records(map_batches(df, broken, "a long"), path)
     found = records.read_records(spark, path, fields=2, kinds=["uint32", "float32"]).collect()
     assert sorted(map(tuple, found)) == sorted((2 * i, float(i)) for i in range(20) for _ in range(2))
+
+
+def test_documents_are_listed_by_tasks(spark, tmp_path):
+    """What tasks list and read is what Spark's reader finds, and the driver holds no file's name."""
+    files = {
+        "a.txt": b"x\ny\n", "empty.txt": b"", "_hidden.txt": b"h", ".hidden.txt": b"h", "_k=1/a.txt": b"k", "_z/a.txt": b"z",
+        ".q/a.txt": b"q", "x y/a+b%20c.txt": b"p", "x y/é {a},b.txt": b"\xff\xfe no text", "n/o/p/a.md": b"m", "n/o/p/b.txt._COPYING_": b"c",
+        "n/b.txt": b"\xef\xbb\xbfmark", "n/c.txt.gz": gzip.compress(b"packed"), "n/[d].txt": b"d", "_metadata/a.txt": b"m", "n/_metadata.txt": b"m",
+    }
+    files |= {f"many/{i}/{i}.txt": f"{i}\n".encode() for i in range(100)}
+    for name, content in files.items():
+        (tmp_path / "docs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / name).write_bytes(content)
+    root = str(tmp_path / "docs")
+    for pattern in ("*.txt", "*", "*.{md,txt}", "?.t[xy]t", "[^a]*.txt", "*.gz", r"\[d].txt", "none"):
+        reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+        path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+        wanted = reader.text(root, wholetext=True).select(F.substring_index(path, f"{root}/", -1), F.hex("value"))
+        found = text.read_documents(spark, root, pattern)
+        assert found.columns == ["doc_id", "text"]
+        assert sorted(map(tuple, found.select("doc_id", F.hex("text")).collect())) == sorted(map(tuple, wanted.collect()))
+    found = text.read_documents(spark, root)
+    assert not [f for f in found.inputFiles() if f.endswith(".txt")]
+    assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    listed, many, size = text.list_documents(spark, root, "*.txt")
+    assert many == listed.count() == text.read_documents(spark, root).count()
+    assert size == listed.agg(F.sum("size")).first()[0]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        text.read_documents(spark, str(tmp_path / "absent"))
